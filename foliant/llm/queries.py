@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, chat, quality, secrets, url_filter
+from foliant.llm import bpe, chat, exact_dedup, mixing, quality, secrets, url_filter
 from foliant.runtime import ship, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -23,6 +23,10 @@ def vocabulary(path: str | None = None) -> bytes:
     return bpe.load(path)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -31,6 +35,10 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -62,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: Where SQL can express a query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_exact": exact_dedup.ORACLE}
