@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, chat, exact_dedup, mixing, quality, secrets, url_filter
+from foliant.llm import bpe, chat, exact_dedup, minhash, mixing, quality, secrets, url_filter
 from foliant.runtime import ship, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -65,6 +65,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(more))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
