@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, chat, exact_dedup, minhash, mixing, quality, secrets, suffix_dedup, url_filter
+from foliant.llm import bpe, chat, embed_dedup, exact_dedup, minhash, mixing, quality, secrets, suffix_dedup, url_filter
 from foliant.runtime import ship, table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -70,6 +70,11 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(rows.unionByName(more))
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
