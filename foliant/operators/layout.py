@@ -1,21 +1,28 @@
 """Folds over the objects of one page whose steps depend on the ones before: suppression of
-overlaps, visual rows, recursive cuts. They run as ``applyInPandas`` by page; a page's objects
-are few, whatever the number of pages. All orders are total (ties go by obj_id).
+overlaps, visual rows, recursive cuts. They run on Arrow batches of many pages (``fold_groups``);
+a page's objects are few, whatever the number of pages. All orders are total (ties go by obj_id).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from foliant.grouped import Fold, fold_groups
 
 EDGES = ["x0", "y0", "x1", "y1"]
+Page = Mapping[str, np.ndarray]
+
+
+def by_page(objects: DataFrame, fold: Fold, order: Sequence[str | Column], reads: Sequence[str] = (), keeps: Sequence[str] = ("page_id", "obj_id"), **adds: str) -> DataFrame:
+    return fold_groups(objects, "page_id", order, [*reads, *EDGES], keeps, fold, adds)
 
 
-def by_page(objects: DataFrame, fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str, page: str = "page_id") -> DataFrame:
-    return objects.groupBy(page).applyInPandas(fold, schema)
+def edges(page: Page) -> np.ndarray:
+    return np.stack([page[e] for e in EDGES], 1).astype(float)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray, mode: str) -> np.ndarray:
@@ -42,20 +49,18 @@ def keep_best(boxes: np.ndarray, kinds: np.ndarray, same: float, different: floa
 def nms(objects: DataFrame, same: float = 0.6, different: float = 0.98) -> DataFrame:
     """page_id, obj_id that stay; rows have kind and score."""
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", "obj_id"], ascending=[False, True])
-        return p.iloc[keep_best(p[EDGES].to_numpy(float), p["kind"].to_numpy(), same, different)][["page_id", "obj_id"]]
+    def fold(p: Page):
+        return keep_best(edges(p), p["kind"], same, different), {}
 
-    return by_page(objects.select("page_id", "obj_id", "kind", "score", *EDGES), fold, "page_id long, obj_id long")
+    return by_page(objects, fold, [F.desc("score"), "obj_id"], ["kind"])
 
 
 def without_overlaps(objects: DataFrame, ratio: float = 0.7, inline: float = 0.5, smallest: float = 6) -> DataFrame:
     """page_id, obj_id that stay. In order, the smaller of two that overlap goes; inline formulas
     go at a lower ratio; a picture and another kind may overlap; slivers go."""
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("obj_id")
-        b, kinds = p[EDGES].to_numpy(float), p["kind"].tolist()
+    def fold(p: Page):
+        b, kinds = edges(p), p["kind"].tolist()
         areas = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
         gone: set[int] = set()
         for i in range(len(b)):
@@ -82,9 +87,9 @@ def without_overlaps(objects: DataFrame, ratio: float = 0.7, inline: float = 0.5
                     else:
                         gone.add(i)
                         break
-        return p.iloc[[i for i in range(len(b)) if i not in gone]][["page_id", "obj_id"]]
+        return [i for i in range(len(b)) if i not in gone], {}
 
-    return by_page(objects.select("page_id", "obj_id", "kind", *EDGES), fold, "page_id long, obj_id long")
+    return by_page(objects, fold, ["obj_id"], ["kind"])
 
 
 def visual_rows(objects: DataFrame) -> DataFrame:
@@ -116,16 +121,13 @@ def visual_rows(objects: DataFrame) -> DataFrame:
             rows.append(row)
         return rows
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["y1", "obj_id"], ascending=[False, True]).reset_index(drop=True)
-        b = p[EDGES].to_numpy(float)
-        out = []
-        for n, row in enumerate(peel(b)):
-            row = sorted(row, key=lambda i: (b[i, 0], i))
-            out += [(p["page_id"][i], p["obj_id"][i], n, k) for k, i in enumerate(row)]
-        return pd.DataFrame(out, columns=["page_id", "obj_id", "row", "place"])
+    def fold(p: Page):
+        b = edges(p)
+        out = [(i, n, k) for n, row in enumerate(peel(b)) for k, i in enumerate(sorted(row, key=lambda i: (b[i, 0], i)))]
+        at, row, place = zip(*out, strict=True)
+        return at, {"row": row, "place": place}
 
-    return by_page(objects.select("page_id", "obj_id", *EDGES), fold, "page_id long, obj_id long, row int, place int")
+    return by_page(objects, fold, [F.desc("y1"), "obj_id"], row="int", place="int")
 
 
 def _gap(lo: np.ndarray, hi: np.ndarray) -> float | None:
@@ -165,22 +167,20 @@ def cut_order(b: np.ndarray) -> list[int]:
 def xy_cut(objects: DataFrame) -> DataFrame:
     """page_id, obj_id, place in reading order."""
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("obj_id").reset_index(drop=True)
-        order = cut_order(p[EDGES].to_numpy(float))
-        return p.iloc[order][["page_id", "obj_id"]].assign(place=range(len(order)))
+    def fold(p: Page):
+        order = cut_order(edges(p))
+        return order, {"place": range(len(order))}
 
-    return by_page(objects.select("page_id", "obj_id", *EDGES), fold, "page_id long, obj_id long, place int")
+    return by_page(objects, fold, ["obj_id"], place="int")
 
 
 def two_columns(objects: DataFrame, page_width: float) -> DataFrame:
     """page_id, obj_id, place: between objects that span the middle, left column before right."""
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["y1", "obj_id"], ascending=[False, True]).reset_index(drop=True)
+    def fold(p: Page):
         middle, order, part = page_width / 2, [], []
         side = np.where(p["x1"] <= middle, 0, np.where(p["x0"] >= middle, 1, 2))
-        for i in [*range(len(p)), None]:
+        for i in [*range(len(side)), None]:
             if i is None or side[i] == 2:
                 order += [j for s in (0, 1) for j in part if side[j] == s]
                 part = []
@@ -188,18 +188,18 @@ def two_columns(objects: DataFrame, page_width: float) -> DataFrame:
                     order.append(i)
             else:
                 part.append(i)
-        return p.iloc[order][["page_id", "obj_id"]].assign(place=range(len(order)))
+        return order, {"place": range(len(order))}
 
-    return by_page(objects.select("page_id", "obj_id", *EDGES), fold, "page_id long, obj_id long, place int")
+    return by_page(objects, fold, [F.desc("y1"), "obj_id"], place="int")
 
 
 def merge_regions(regions: DataFrame) -> DataFrame:
     """page_id, x0, y0, x1, y1: in order, a region joins the first earlier one that it touches or
     whose band (y within 3) it shares; one pass."""
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
+    def fold(p: Page):
         done: list[list[float]] = []
-        for r in p.sort_values("obj_id")[EDGES].to_numpy(float).tolist():
+        for r in edges(p).tolist():
             for m in done:
                 touch = max(m[0], r[0]) <= min(m[2], r[2]) and max(m[1], r[1]) <= min(m[3], r[3])
                 if touch or abs(m[1] - r[1]) <= 3 and abs(m[3] - r[3]) <= 3:
@@ -207,9 +207,9 @@ def merge_regions(regions: DataFrame) -> DataFrame:
                     break
             else:
                 done.append(r)
-        return pd.DataFrame([(p["page_id"].iloc[0], *m) for m in done], columns=["page_id", *EDGES])
+        return [0] * len(done), dict(zip(EDGES, zip(*done, strict=True), strict=True))
 
-    return by_page(regions.select("page_id", "obj_id", *EDGES), fold, "page_id long, x0 double, y0 double, x1 double, y1 double")
+    return by_page(regions, fold, ["obj_id"], keeps=["page_id"], **dict.fromkeys(EDGES, "double"))
 
 
 def line_grid(lines: DataFrame) -> DataFrame:
@@ -219,11 +219,11 @@ def line_grid(lines: DataFrame) -> DataFrame:
     right and down, and reaches to the next line through in each direction.
     """
 
-    def fold(p: pd.DataFrame) -> pd.DataFrame:
-        b = p[EDGES].to_numpy(float)
+    def fold(p: Page):
+        b = edges(p)
         h, v = b[b[:, 1] == b[:, 3]], b[b[:, 0] == b[:, 2]]
         xs, ys = sorted(set(v[:, 0])), sorted(set(h[:, 1]), reverse=True)
-        out, page = [], p["page_id"].iloc[0]
+        out = []
         covers_h = lambda y, a, c: bool(((h[:, 1] == y) & (h[:, 0] <= a) & (h[:, 2] >= c)).any())
         covers_v = lambda x, a, c: bool(((v[:, 0] == x) & (v[:, 1] <= a) & (v[:, 3] >= c)).any())
         for r in range(len(ys) - 1):
@@ -233,7 +233,8 @@ def line_grid(lines: DataFrame) -> DataFrame:
                 right = next((k for k in range(c + 1, len(xs)) if covers_v(xs[k], ys[r + 1], ys[r])), None)
                 down = next((k for k in range(r + 1, len(ys)) if covers_h(ys[k], xs[c], xs[c + 1])), None)
                 if right is not None and down is not None:
-                    out.append((page, r, c, down - r, right - c, xs[c], ys[down], xs[right], ys[r]))
-        return pd.DataFrame(out, columns=["page_id", "row", "col", "row_span", "col_span", *EDGES])
+                    out.append((r, c, down - r, right - c, xs[c], ys[down], xs[right], ys[r]))
+        return [0] * len(out), dict(zip(names, zip(*out, strict=True), strict=False))
 
-    return by_page(lines.select("page_id", *EDGES), fold, "page_id long, row int, col int, row_span int, col_span int, x0 double, y0 double, x1 double, y1 double")
+    names = ["row", "col", "row_span", "col_span", *EDGES]
+    return by_page(lines, fold, EDGES, keeps=["page_id"], **{n: "double" if n in EDGES else "int" for n in names})

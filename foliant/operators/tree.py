@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.grouped import fold_groups
+
 
 def parents(items: DataFrame, group: str = "doc_id", order: str = "seq", level: str = "level", deepest: int = 9) -> DataFrame:
     """Add ``parent``: the last earlier item of a smaller level; null at the top.
@@ -74,22 +73,19 @@ def infer_levels(headings: DataFrame, group: str = "doc_id", order: str = "seq",
     A fold: each heading's level depends on the stack that those before it left. It reads the
     headings of one document at a time, in order.
     """
-    kinds = dict(headings.dtypes)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
+    def fold(rows):
         stack: list[str] = []
         levels = []
-        for s in pdf[style]:
+        for s in rows[style]:
             if s in stack:
                 del stack[stack.index(s) + 1 :]
             else:
                 stack.append(s)
             levels.append(len(stack))
-        return pdf.assign(level=levels)
+        return range(len(levels)), {"level": levels}
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in headings.columns) + ", level int"
-    return headings.groupBy(group).applyInPandas(fold, schema)
+    return fold_groups(headings, group, [order], [style], headings.columns, fold, {"level": "int"})
 
 
 def markdown_headings(text: str | Column, deepest: int = 6) -> Column:
@@ -105,8 +101,3 @@ def tree_markdown(nodes: DataFrame, group: str = "doc_id") -> DataFrame:
     block = F.concat_ws("\n\n", F.when(F.col("title").isNotNull(), head), F.nullif(F.col("body"), F.lit("")))
     return nodes.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", block.alias("b")))), lambda x: x["b"]), "\n\n").alias("markdown"))
 
-
-def grouped(rows: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
-    """Frames of single groups out of sorted frames."""
-    for frame in rows:
-        yield from (part for _, part in frame.groupby(key, sort=False))

@@ -254,7 +254,7 @@ def bbox_expand(s, d):
     return boxes(s, d).select("page_id", "obj_id", g.expand(spatial.box(), -30, 5).alias("b")).select("page_id", "obj_id", "b.*")
 
 
-@query(with_sql(BOXES) + "SELECT page_id, obj_id, (x1 - x0) * (y1 - y0) * 1.0 AS area, -y1 AS x0, x0 AS y0, -y0 AS x1, x1 AS y1 FROM boxes")
+@query(with_sql(BOXES) + "SELECT page_id, obj_id, CAST((x1 - x0) * (y1 - y0) AS DOUBLE) AS area, -y1 AS x0, x0 AS y0, -y0 AS x1, x1 AS y1 FROM boxes")
 def bbox_transform(s, d):
     m = g.matrix(0, 1, -1, 0, 0, 0)
     b = g.transform(spatial.box(), m)
@@ -308,6 +308,6 @@ def page_thirds(s, d):
     return sequence.balanced_split(boxes(s, d), ["page_id"], [F.desc("y1"), F.col("obj_id")], 3).select("page_id", "obj_id", F.col("part").cast("long").alias("part"))
 
 
-@query(with_sql(BOXES) + "SELECT kind, page_id, count(*) AS n, CAST(grouping(kind) AS INTEGER) AS level FROM boxes WHERE page_id < 100 GROUP BY ROLLUP (kind, page_id)")
+@query(with_sql(BOXES) + "SELECT kind, obj_id, count(*) AS n, CAST(grouping(kind) AS INTEGER) AS level FROM boxes GROUP BY ROLLUP (kind, obj_id)")
 def kind_rollup(s, d):
-    return boxes(s, d).where("page_id < 100").rollup("kind", "page_id").agg(F.count("*").alias("n"), F.grouping("kind").cast("int").alias("level"))
+    return boxes(s, d).rollup("kind", "obj_id").agg(F.count("*").alias("n"), F.grouping("kind").cast("int").alias("level"))

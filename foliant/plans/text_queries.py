@@ -96,10 +96,10 @@ for _p, _to in tx._UNESCAPE:
     _UN = f"regexp_replace({_UN}, '{_p}', '{_to.replace('$', chr(92))}', 'g')"
 
 
-@query(with_sql(LINES) + f"SELECT doc_id, line_no, md5({_UN}) AS digest FROM lines WHERE line_no < 5")
+@query(with_sql(LINES) + f"SELECT doc_id, line_no, md5({_UN}) AS digest FROM lines")
 def md_unescape(s, d):
     marked = F.concat(F.lit("# **"), F.replace("text", F.lit("*"), F.lit("")), F.lit("** ["), F.col("line_no").cast("string"), F.lit("](x)"))
-    return lines(s, d).where("line_no < 5").select("doc_id", F.col("line_no").cast("long").alias("line_no"), tx.md_unescape(marked).alias("t")).select("doc_id", "line_no", md5("t"))
+    return lines(s, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), tx.md_unescape(marked).alias("t")).select("doc_id", "line_no", md5("t"))
 
 
 @query(with_sql(LINES) + f"SELECT pattern, count(*) AS lines, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, {_CASE} AS pattern FROM lines) GROUP BY pattern")
@@ -160,9 +160,9 @@ def keyword_min_hits(s, d):
     return quality.keyword_hits(lines(s, d), [p for _, p in PATTERNS], 2)
 
 
-@query(with_sql(LINES) + f"SELECT doc_id, line_no, {_CASE} AS rule FROM lines WHERE line_no = 0")
+@query(with_sql(LINES) + f"SELECT doc_id, line_no, {_CASE} AS rule FROM lines")
 def rule_first_match(s, d):
-    return lines(s, d).where("line_no = 0").select("doc_id", F.col("line_no").cast("long").alias("line_no"), tx.first_match(F.col("text"), PATTERNS, "other").alias("rule"))
+    return lines(s, d).select("doc_id", F.col("line_no").cast("long").alias("line_no"), tx.first_match(F.col("text"), PATTERNS, "other").alias("rule"))
 
 
 # headings: short lines; a level from the length of their first word
@@ -184,12 +184,12 @@ def chapter_ranges(s, d):
     return tree.chapter_ranges(heads.where("level = 1"), ends)
 
 
-@query(with_sql(LINES, _HEADS, _RANGES, 'q AS (SELECT * FROM r WHERE start % 3 <> 1)', 'g AS (SELECT doc_id, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS s, start - 1 AS e FROM q)')
+@query(with_sql(LINES, _HEADS, _RANGES, 'q AS (SELECT * FROM r WHERE "end" > start)', 'g AS (SELECT doc_id, coalesce(max("end") OVER (PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS s, start - 1 AS e FROM q)')
   + """SELECT doc_id, start, "end", false AS filler FROM q UNION ALL SELECT doc_id, s, e, true FROM g WHERE s <= e
 UNION ALL SELECT doc_id, coalesce(done, -1) + 1, last, true FROM ends LEFT JOIN (SELECT doc_id, max("end") AS done FROM q GROUP BY 1) USING (doc_id) WHERE coalesce(done, -1) + 1 <= last""")
 def chapter_gap_fill(s, d):
     heads, ends = _heads(s, d)
-    return tree.fill_gaps(tree.chapter_ranges(heads.where("level = 1"), ends).where("start % 3 != 1"), ends)
+    return tree.fill_gaps(tree.chapter_ranges(heads.where("level = 1"), ends).where("end > start"), ends)
 
 
 @query(with_sql(LINES) + r"SELECT doc_id, line_no, length(n) - length(replace(n, '.', '')) + 1 AS level FROM (SELECT doc_id, line_no, regexp_extract(text, '([0-9]+(\.[0-9]+)*)', 1) AS n FROM lines) WHERE n <> ''")
