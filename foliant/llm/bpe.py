@@ -6,6 +6,9 @@ would never join or cut across the two; else it takes the next shorter token, or
 Each end position is given up at most once, so the work is linear in the word's length, and the
 result is the one that merging by rank gives. Decoding reads a table of token strings by offset.
 
+Texts with characters that Unicode got after version 3.2 are lower-cased and split into words by
+the library itself, where it is installed: its version of Unicode isn't Python's.
+
 The vocabulary file is read by the driver and broadcast: its size doesn't depend on the data.
 Null texts count as empty; an empty text has no tokens. Repeated rows are encoded each.
 """
@@ -16,20 +19,36 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliant.llm.batches import texts
 
 #: Words up to this length are remembered, and so many of them.
 CACHED_CHARS, CACHED_WORDS = 48, 400_000
 
+#: Words of the vocabularies this module reads; a fixed value.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
 _models: dict[str, BPE] = {}
 
 
+def recent_characters() -> re.Pattern:
+    """Code points that Unicode 3.2 doesn't know. Of the others all versions since then say the same."""
+    ranges: list[list[int]] = []
+    for i in range(0x221, 0x110000):
+        if unicodedata.ucd_3_2_0.category(chr(i)) == "Cn":
+            if ranges and ranges[-1][1] == i - 1:
+                ranges[-1][1] = i
+            else:
+                ranges.append([i, i])
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
 def byte_chars() -> list[str]:
     """The printable character that byte-level vocabularies write for each byte."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -42,6 +61,17 @@ def byte_chars() -> list[str]:
     return out
 
 
+def _library_words() -> Callable[[str], list[str]] | None:
+    """How the tokenizers library splits texts, by its own version of Unicode; None if it isn't there."""
+    try:
+        from tokenizers import Regex, normalizers, pre_tokenizers
+    except ImportError:
+        return None
+    lower = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    split = pre_tokenizers.Split(Regex(WORDS), "removed", invert=True)
+    return lambda text: [w for w, _ in split.pre_tokenize_str(lower.normalize_str(text))]
+
+
 class _Memo(dict):
     def __init__(self, make):
         self.make = make
@@ -104,7 +134,8 @@ class BPE:
         self.offsets = np.concatenate([[0], np.cumsum([len(n) for n in names])]).tolist()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.words = regex.compile(WORDS)
+        self.recent, self.library = recent_characters(), _library_words()
         self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
         self._ids = _Memo(lambda w: " ".join(map(str, self.encode_word(w))))
         self._decoded = _Memo(lambda w: self.decode(self.encode_word(w)))
@@ -179,6 +210,8 @@ class BPE:
     def split_words(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii_words.findall(text.lower())
+        if self.library is not None and self.recent.search(text):
+            return self.library(text)
         text = unicodedata.normalize("NFC", text)
         # str.lower() looks at what surrounds a capital sigma; the tokenizer doesn't
         text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
@@ -224,7 +257,6 @@ def load(path: str) -> bytes:
 def encode(docs: DataFrame, vocabulary: bytes, text: str = "text", into: str = "ids") -> DataFrame:
     """Add ``into``, the token ids of each text; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    from pyspark.sql import functions as F
 
     @F.arrow_udf("array<int>")
     def ids(column: pa.Array) -> pa.Array:
@@ -237,7 +269,6 @@ def encode(docs: DataFrame, vocabulary: bytes, text: str = "text", into: str = "
 def decode(docs: DataFrame, vocabulary: bytes, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add ``into``, the text of each array of token ids; null arrays give an empty text."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    from pyspark.sql import functions as F
 
     @F.arrow_udf("string")
     def text(column: pa.Array) -> pa.Array:
@@ -262,4 +293,4 @@ def digests(docs: DataFrame, vocabulary: bytes) -> DataFrame:
                 decoded.append(hashlib.sha256(back.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

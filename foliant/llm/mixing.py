@@ -166,5 +166,5 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     rest = (F.col("__t") % F.col("__z")) / F.col("__z")
     chance = F.pmod(F.xxhash64(F.lit(seed), F.lit("copy"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     times = (F.floor(F.col("__t") / F.col("__z")) + F.when(chance < rest, 1).otherwise(0)).cast("int")
-    times = per.where("__t > 0").select("doc_id", times.alias("__times")).where("__times > 0")
-    return docs.join(times, "doc_id").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = per.where("__t > 0").select(F.col("doc_id").alias("__d"), times.alias("__times")).where("__times > 0")
+    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("__d"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -3,7 +3,8 @@
 Fitting reads at most ``sample_rows`` labelled rows, those with the smallest hash of their id;
 only their statistics reach the driver. Scoring reads every row once, without a shuffle.
 Null texts count as empty. Labels that are null are left out; a document with several labels
-counts as good if one of them is. Without labels of both kinds all scores are equal.
+counts as good if one of them is, and of rows that repeat an id one is learnt from. Without labels
+of both kinds all scores are equal.
 """
 
 from __future__ import annotations
@@ -72,16 +73,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [statistics(t.as_py() or "") for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], ["label", "stats"])
+        rows = [statistics(t.as_py() or "") for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "stats"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:
     """Fit on ``docs`` that have a ``label`` and aren't held out."""
     known = labels.where(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
     sample = known.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(sample_rows)
-    # sample_rows bounds the side that is broadcast
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(_stats, "label int, stats array<double>").toPandas()
+    # sample_rows bounds the side that is broadcast and, a row for each id, what is collected
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    found = texts.select("doc_id", "label", "text").mapInArrow(_stats, "doc_id long, label int, stats array<double>")
+    found = found.groupBy("doc_id").agg(F.min(F.struct("label", "stats")).alias("x")).select("x.*").toPandas()
     if not len(found):
         return fit(np.zeros((0, _STATS)), np.zeros(0))
     x, y = np.stack(found["stats"].to_numpy()), found["label"].to_numpy(np.float64)

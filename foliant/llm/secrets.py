@@ -96,7 +96,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", most_owners: int = MOST_OWNERS) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base and spans (text, sorted) of every row."""
-    read = docs.select("doc_id", "text", F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
     done = materialize(read.mapInArrow(_scan, _SCANNED).withColumn("row", F.monotonically_increasing_id()))
     found = done.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("f")).select("row", "repository", "owner", "f.*")
     live = ownership(found).where(F.col("n_owners") <= most_owners).select("hash")

@@ -105,7 +105,7 @@ def train(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, di
     sample = labels.select("url", "label").orderBy(F.xxhash64(F.lit(17), "url"), "url", "label").limit(sample_rows).toPandas()
     y = sample["label"].to_numpy(np.float64)
     suffixes = suffix_shares(sample["url"].tolist(), y)
-    x = np.array([features(u, suffixes) for u in sample["url"]]).reshape(len(y), -1)
+    x = np.array([features(u, suffixes) for u in sample["url"]]) if len(y) else np.zeros((0, 1))
     return fit(x, y, trees=60, depth=3), suffixes
 
 
