@@ -1 +1,6 @@
+"""Queries over the driver's tables, by name, and the same in SQL where SQL has it."""
 
+from foliant.plans import box_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **box_queries.QUERIES}
+SQL = {**text_queries.SQL, **box_queries.SQL}
