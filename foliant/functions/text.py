@@ -5,6 +5,7 @@ Java's classes are ASCII; where Unicode white space is meant, patterns begin wit
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -160,3 +161,52 @@ def title_score(text: Column, target: Column) -> Column:
         .when(target.startswith(text) & (F.length(text) >= 4), 80)
         .otherwise(0)
     )
+
+
+def positions(c: Column) -> Column:
+    """0-based places in a text of the characters that ``canonical`` keeps: its i-th character comes
+    from the i-th place, so ranges of the one can be read in the other."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    marked = F.transform(chars, lambda x, i: F.when(x.rlike(r"(?U)^\s$"), -1).otherwise(i))
+    return F.filter(marked, lambda i: i >= 0)
+
+
+def original_range(places: Column, start: Column, end: Column) -> Column:
+    """(start, end) in the text of a range of its canonical form; null for an empty one."""
+    ok = (start < end) & (end <= F.size(places))
+    return F.when(ok, F.struct(F.get(places, start).alias("start"), (F.get(places, end - 1) + 1).alias("end")))
+
+
+def _ligature_map() -> dict[str, str]:
+    """Typographic characters that stand for several, by their compatibility decomposition."""
+    return {c: unicodedata.normalize("NFKC", c) for c in [*map(chr, range(0xFB00, 0xFB07)), "…", "‼"]}
+
+
+def expand_ligatures(c: Column) -> Column:
+    """Typographic ligatures as the letters that they join."""
+    for one, many in _ligature_map().items():
+        c = F.replace(c, F.lit(one), F.lit(many))
+    return c
+
+
+def to_ligature(c: Column) -> Column:
+    """The character that stands for a whole string, null for none."""
+    turned = {v: k for k, v in reversed(_ligature_map().items())}
+    return F.create_map(*[F.lit(x) for kv in turned.items() for x in kv])[c]
+
+
+def is_ligature(c: Column) -> Column:
+    return c.isin(*_ligature_map())
+
+
+def split_dotted(c: Column) -> Column:
+    """Parts of a dotted path; quotes keep dots."""
+    parts = F.regexp_extract_all(c, F.lit(r"""\s*("[^"]*"|'[^']*'|[^.]+)\s*(\.|$)"""), F.lit(1))
+    return F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"""^\s*["']|["']\s*$""", "")))
+
+
+def dominant_color(colors: Column) -> Column:
+    """The most common value of an array, the smallest of equals."""
+    counted = F.transform(F.array_distinct(colors), lambda x: F.struct(F.size(F.filter(colors, lambda y: y == x)).alias("n"), x.alias("v")))
+    top = F.array_max(F.transform(counted, lambda s: s["n"]))
+    return F.array_min(F.transform(F.filter(counted, lambda s: s["n"] == top), lambda s: s["v"]))

@@ -238,3 +238,46 @@ def line_grid(lines: DataFrame) -> DataFrame:
 
     names = ["row", "col", "row_span", "col_span", *EDGES]
     return by_page(lines, fold, EDGES, keeps=["page_id"], **{n: "double" if n in EDGES else "int" for n in names})
+
+
+def without_contained(objects: DataFrame, ratio: float = 0.7) -> DataFrame:
+    """page_id, obj_id that stay: from the largest down, an object goes if a kept one holds a share of it."""
+
+    def fold(p: Page):
+        b, kept = edges(p), []
+        for i in range(len(b)):
+            area = (b[i, 2] - b[i, 0]) * (b[i, 3] - b[i, 1])
+            k = b[kept]
+            w = np.minimum(b[i, 2], k[:, 2]) - np.maximum(b[i, 0], k[:, 0])
+            h = np.minimum(b[i, 3], k[:, 3]) - np.maximum(b[i, 1], k[:, 1])
+            if not ((np.maximum(0, w) * np.maximum(0, h)) >= ratio * max(area, 1e-9)).any():
+                kept.append(i)
+        return kept, {}
+
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return by_page(objects, fold, [F.desc(size), "obj_id"])
+
+
+def resolved_slots(cells: DataFrame) -> DataFrame:
+    """table_id, row, col, row_span, col_span of cells placed in order: one that finds slots taken
+    shrinks to the largest free rectangle at its corner, or goes."""
+
+    def fold(t: Page):
+        taken: set[tuple[int, int]] = set()
+        at, out = [], []
+        for i, (r, c, rs, cs) in enumerate(zip(*(t[n].tolist() for n in names), strict=True)):
+            best, width = (0, 0, 0), cs
+            for h in range(1, rs + 1):
+                free = next((k for k in range(width) if (r + h - 1, c + k) in taken), width)
+                width = min(width, free)
+                if not width:
+                    break
+                best = max(best, (h * width, h, width))
+            if best[0]:
+                taken |= {(r + i, c + j) for i in range(best[1]) for j in range(best[2])}
+                at.append(i)
+                out.append(best[1:])
+        return at, {"rows": [h for h, _ in out], "cols": [w for _, w in out]}
+
+    names = ["row", "col", "row_span", "col_span"]
+    return fold_groups(cells, "table_id", ["row", "col"], names, ["table_id", "row", "col"], fold, {"rows": "int", "cols": "int"}).withColumnsRenamed({"rows": "row_span", "cols": "col_span"})

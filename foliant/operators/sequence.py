@@ -123,8 +123,8 @@ def seeded_split(df: DataFrame, group: Sequence[str], key: str, ratio: float, se
     """Add ``validation`` for an exact share of each group (1 at least, and not all), drawn by a hash."""
     w = W.partitionBy(*group)
     n = F.count("*").over(w)
-    take = F.least(F.greatest(F.round(n * ratio), F.lit(1)), n - 1)
-    return df.withColumn("validation", F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), key), key)) <= take)
+    take = F.least(F.greatest(F.bround(n * ratio), F.lit(1)), n - 1)
+    return df.withColumn("validation", F.row_number().over(w.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key)) <= take)
 
 
 def head_tail_sample(df: DataFrame, group: Sequence[str], order: Sequence[str], limit: int, head: int, tail: int) -> DataFrame:

@@ -90,3 +90,74 @@ def column_widths(cells: DataFrame, width: float) -> DataFrame:
     upto = F.sum("n").over(w.orderBy("col").rowsBetween(W.unboundedPreceding, 0))
     total = F.sum("n").over(w)
     return per.select(KEY, "col", ((upto - F.col("n")) / total * width).alias("x0"), (upto / total * width).alias("x1"))
+
+
+def stripped_size(cells: DataFrame) -> DataFrame:
+    """table_id, rows, cols without the blank ones, inner ones too, that no span crosses."""
+    slots = grid(cells).withColumn("__full", F.trim(F.coalesce("text", F.lit(""))) != "")
+
+    def lines(at: str, span: str) -> DataFrame:
+        held = F.bool_or(F.col("__full") | (F.col(span) > 1))
+        return slots.groupBy(KEY, at).agg(held.alias("h")).groupBy(KEY).agg(F.count_if("h").alias({"r": "rows", "c": "cols"}[at]))
+
+    return lines("r", "row_span").join(lines("c", "col_span"), KEY)
+
+
+def cell_at(cells: DataFrame, row: int, col: int) -> DataFrame:
+    """The cells that cover one slot of each table."""
+    inside = lambda at, span, v: (F.col(at) <= v) & (F.col(at) + F.col(span) > v)
+    return cells.where(inside("row", "row_span", row) & inside("col", "col_span", col))
+
+
+def split_at(cells: DataFrame, row: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells above a row, cells from it on (numbered anew), and the cells whose span would be cut."""
+    cut = (F.col("row") < row) & (F.col("row") + F.col("row_span") > row)
+    return cells.where(F.col("row") < row), cells.where(F.col("row") >= row).withColumn("row", F.col("row") - row), cells.where(cut)
+
+
+def shared_edges(cells: DataFrame) -> DataFrame:
+    """table_id, col, x0, x1: neighbouring columns meet halfway between their cells."""
+    per = cells.groupBy(KEY, "col").agg(F.min("x0").alias("lo"), F.max("x1").alias("hi"))
+    w = W.partitionBy(KEY).orderBy("col")
+    before, after = F.lag("hi").over(w), F.lead("lo").over(w)
+    return per.select(KEY, "col", F.coalesce((before + F.col("lo")) / 2, F.col("lo")).alias("x0"), F.coalesce((F.col("hi") + after) / 2, F.col("hi")).alias("x1"))
+
+
+def aligned(cells: DataFrame, axes: DataFrame, least: float = 0.8) -> DataFrame:
+    """table_id, fits: whether cells may move to new column edges (table_id, col, x0, x1): refused if
+    any would hold less than a share of its content's width."""
+    a = axes.select(KEY, "col", F.col("x0").alias("a0"), F.col("x1").alias("a1"))
+    held = F.greatest(F.lit(0), F.least("a1", "x1") - F.greatest("a0", "x0")) >= least * (F.col("x1") - F.col("x0"))
+    return cells.join(a, [KEY, "col"], "left").groupBy(KEY).agg(F.bool_and(F.coalesce(held, F.lit(False))).alias("fits"))
+
+
+def snapped(cells: DataFrame, value: str, tolerance: float) -> DataFrame:
+    """Edges of each table moved to the mean of their cluster (each within a tolerance of the one before)."""
+    w = W.partitionBy(KEY).orderBy(value)
+    new = F.coalesce(F.col(value) - F.lag(value).over(w) > tolerance, F.lit(True)).cast("int")
+    marked = cells.withColumn("__n", new).withColumn("__c", F.sum("__n").over(w.rangeBetween(W.unboundedPreceding, 0)))
+    return marked.withColumn(value, F.avg(value).over(W.partitionBy(KEY, "__c"))).drop("__n", "__c")
+
+
+def seam_pairs(last: DataFrame, first: DataFrame, on: list[str], within: float = 5) -> DataFrame:
+    """Cells of one row and of the next part's first row that stand at the same place (both edges within
+    a distance). Columns get the prefixes a_ and b_."""
+    a = last.select(*on, *(F.col(c).alias(f"a_{c}") for c in last.columns if c not in on))
+    b = first.select(*on, *(F.col(c).alias(f"b_{c}") for c in first.columns if c not in on))
+    near = (F.abs(F.col("a_x0") - F.col("b_x0")) <= within) & (F.abs(F.col("a_x1") - F.col("b_x1")) <= within)
+    return a.join(b, on).where(near)
+
+
+def seam_merge(a: Column, b: Column, type_a: Column, type_b: Column, type_both: Column) -> Column:
+    """Whether two cells at a seam are one: equal texts, a blank continuation, or pieces of one value
+    are; two numbers, or texts of different kinds, aren't; null leaves it open."""
+    number = r"^\d+$"
+    return (
+        F.when((a == "") & (b == ""), None)
+        .when(a.rlike(number) & b.rlike(number), False)
+        .when(a.rlike(number) & (b == ""), True)
+        .when(a == b, True)
+        .when(b == "", True)
+        .when((type_both != "text") & (type_a != type_both), True)
+        .when(type_a != type_b, False)
+    )
