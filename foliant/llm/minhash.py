@@ -16,7 +16,8 @@ Nothing is capped: a bucket that holds a third of the rows is summed in every ta
 join may be split, and its blocks are dealt over many tasks.
 
 Null and empty texts have no shingles and link with nothing; a text of fewer than k words is one
-shingle. Rows that repeat a doc_id share its links; of their texts the smallest is compared.
+shingle. Rows that repeat a doc_id share its links; of their texts the smallest is compared. Rows
+whose doc_id is null link with nothing and stay.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from foliant.llm.batches import bounds, groups
 from foliant.llm.components import components
 from foliant.llm.minhash_sets import band_keys, one_permutation, set_digests, shingle_set, shingles
-from foliant.runtime import materialize
+from foliant.runtime import join_dimension, materialize
 
 BANDS, ROWS = 32, 6
 #: Characters that are hashed together, and documents on each side of a compared block.
@@ -65,7 +66,7 @@ def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "n_shingles", "one", "two", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>")
 
 
 def similar(common: np.ndarray | int, total: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -152,8 +153,8 @@ def _blocks(members: DataFrame) -> DataFrame:
     Members of other components (side 0) meet each other and all members of the first (side 1).
     """
     other = F.col("root") != F.col("first")
-    sizes = members.groupBy("bucket").agg(F.sum(other.cast("int")).alias("others"))
-    rows = members.join(sizes, "bucket").withColumn("chunks", F.ceil(F.col("others") / CHUNK).cast("int"))
+    sizes = materialize(members.groupBy("bucket").agg(F.count_if(other).alias("others"), F.count_if(~other).alias("firsts")))
+    rows = join_dimension(members, sizes, ["bucket"]).withColumn("chunks", F.ceil(F.col("others") / CHUNK).cast("int"))
     spread = lambda n: F.pmod(F.xxhash64(F.lit(3), "doc"), n).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     own = spread(F.col("chunks"))
@@ -161,25 +162,23 @@ def _blocks(members: DataFrame) -> DataFrame:
     outer = rows.where(other).withColumn("c", own).withColumn("o", F.explode(every))
     outer = outer.select("bucket", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), F.lit(0).alias("side"), "doc", "root")
     # the left side of a block against members of the first component: j < 0
-    against = rows.join(members.where("root = first").groupBy("bucket").agg(F.count("*").alias("firsts")), "bucket")
     parts = F.ceil(F.col("firsts") / CHUNK).cast("int")
-    inner = against.where(~other).withColumn("j", -1 - spread(parts)).withColumn("i", F.explode(every)).select("bucket", "i", "j", F.lit(1).alias("side"), "doc", "root")
-    left = against.where(other).withColumn("i", own).withColumn("j", F.explode(F.sequence(-parts, F.lit(-1)))).select("bucket", "i", "j", F.lit(0).alias("side"), "doc", "root")
+    inner = rows.where(~other).withColumn("j", -1 - spread(parts)).withColumn("i", F.explode(every)).select("bucket", "i", "j", F.lit(1).alias("side"), "doc", "root")
+    left = rows.where(other & (F.col("firsts") > 0)).withColumn("i", own).withColumn("j", F.explode(F.sequence(-parts, F.lit(-1)))).select("bucket", "i", "j", F.lit(0).alias("side"), "doc", "root")
     return outer.unionByName(inner).unionByName(left)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
-    made = signatures(docs, k, bands, rows)
-    made = materialize(made)
-    empty = made.where("n_shingles = 0")
+    made = materialize(signatures(docs, k, bands, rows))
     sets = made.where("n_shingles > 0")
-    first = sets.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep"))
+    # what joins back to the rows of hot groups is written first, so that Spark may split the join
+    first = materialize(sets.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep")))
     equal = sets.select("doc_id", "n_shingles", "one", "two").join(first, ["n_shingles", "one", "two"])
     equal = materialize(equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
     reps = equal.where("a = b").select(F.col("a").alias("doc_id")).distinct()
     keyed = materialize(sets.select("doc_id", F.explode("keys").alias("key")).join(reps.hint("shuffle_hash"), "doc_id", "left_semi").select("key", F.col("doc_id").alias("doc")))
-    hubs = keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub")
+    hubs = materialize(keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
     near = materialize(keyed.join(hubs, "key").select("key", "doc", "hub"))
     stars = materialize(near.where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
     wanted = stars.select("a").union(stars.select("b")).distinct()
@@ -200,7 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     final = components(every).withColumnsRenamed({"node": "doc_id", "root": "component"})
     out = made.select("doc_id", "n_shingles").join(final, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
