@@ -7,7 +7,8 @@ texts of one length are equal if and only if their last numbers are.
 
 Only texts that share their length and SHA-256 with another row are named: others can't have an
 equal. Each numbering is written before use, so lost executors can't change it. A group's
-largest id is found by partial aggregation; the join back to its rows may be split when skewed.
+largest id is found by partial aggregation and written, too: so the join back to the group's rows
+is a plain one, which Spark splits when one group holds most rows.
 
 Null texts count as empty. Repeated rows count in ``group_size``; rows that repeat the id that
 stays all stay. A null doc_id is smaller than any other.
@@ -34,8 +35,12 @@ def normalized(text: str | Column = "text") -> Column:
 
 
 def number(rows: DataFrame, keys: list[str], into: str) -> DataFrame:
-    """Distinct ``keys`` in sorted order, each with an integer of its own; written once."""
-    names = rows.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    """Distinct ``keys``, sorted within hash partitions, each with an integer of its own; written once.
+
+    Names need not follow one order over all partitions, so no range bounds are sampled: those
+    would send whole blocks to the driver, more of them the more partitions there are.
+    """
+    names = rows.select(*keys).distinct().sortWithinPartitions(*keys)
     return materialize(names.withColumn(into, F.monotonically_increasing_id()))
 
 
@@ -67,7 +72,7 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     data = normalized().cast("binary")
     slim = materialize(docs.select("doc_id", F.sha2(data, 256).alias("sha"), F.octet_length(data).alias("n")))
     units = slim.groupBy("doc_id", "sha", "n").agg(F.count("*").alias("copies"))
-    shared = slim.groupBy("sha", "n").agg(F.count("*").alias("rows")).where("rows > 1").select("sha", "n")
+    shared = materialize(slim.groupBy("sha", "n").agg(F.count("*").alias("rows")).where("rows > 1").select("sha", "n"))
     wanted = materialize(units.join(shared, ["sha", "n"]))
     longest = wanted.agg(F.max("n")).first()[0]
     plain = slim.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
@@ -79,7 +84,7 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     named = identities(texts, longest, block).withColumnsRenamed({"doc_id": "d", "sha": "s", "n": "m"})
     same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s")) & (F.col("n") == F.col("m"))
     members = materialize(wanted.join(named, same).select("doc_id", "sha", "n", "name", "copies"))
-    groups = members.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = materialize(members.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
     found = members.join(groups, ["n", "name"]).select(F.col("doc_id").alias("d"), F.col("sha").alias("s"), "keep_id", "group_size")
     out = slim.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s")), "left")
     own = F.col("s").isNull()
@@ -88,9 +93,10 @@ def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = classes(docs, block).where("not kept").select("doc_id")
-    return docs.join(gone.distinct().hint("shuffle_hash"), "doc_id", "left_anti")
+    """The rows of ``docs`` that stay, with all their columns. Rows are told apart by id and text."""
+    gone = classes(docs, block).where("not kept").select(F.col("doc_id").alias("__d"), F.col("text_sha256").alias("__s")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.sha2(normalized().cast("binary"), 256) == F.col("__s"))
+    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
 
 
 ORACLE = """
