@@ -210,3 +210,12 @@ def dominant_color(colors: Column) -> Column:
     counted = F.transform(F.array_distinct(colors), lambda x: F.struct(F.size(F.filter(colors, lambda y: y == x)).alias("n"), x.alias("v")))
     top = F.array_max(F.transform(counted, lambda s: s["n"]))
     return F.array_min(F.transform(F.filter(counted, lambda s: s["n"] == top), lambda s: s["v"]))
+
+
+def md_mark(c: Column, mark: str) -> Column:
+    """A text between marks (such as **); white space at its ends stays outside, a blank text as it is.
+    A space follows marks that end in punctuation."""
+    head, tail = F.regexp_extract(c, r"(?U)^(\s*)", 1), F.regexp_extract(c, r"(?U)(\s*)$", 1)
+    core = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    gap = F.when(core.rlike(r"\p{Punct}$") & (tail == ""), " ").otherwise("")
+    return F.when(core == "", c).otherwise(F.concat(head, F.lit(mark), core, F.lit(mark), gap, tail))

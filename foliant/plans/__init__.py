@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by name, and the same in SQL where SQL has it."""
 
-from foliant.plans import box_queries, structure_queries, text_queries
+from foliant.plans import box_queries, flow_queries, structure_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **box_queries.QUERIES, **structure_queries.QUERIES}
-SQL = {**text_queries.SQL, **box_queries.SQL, **structure_queries.SQL}
+QUERIES = {**text_queries.QUERIES, **box_queries.QUERIES, **structure_queries.QUERIES, **flow_queries.QUERIES}
+SQL = {**text_queries.SQL, **box_queries.SQL, **structure_queries.SQL, **flow_queries.SQL}

@@ -7,7 +7,10 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from foliant.functions import geometry as g
 
 CELL = "row int, col int, row_span int, col_span int, text string"
 _TOKENS = {"<fcel>": "full", "<ecel>": "empty", "<lcel>": "left", "<ucel>": "up", "<xcel>": "cross", "<nl>": "end"}
@@ -94,3 +97,19 @@ def cells(tables: DataFrame, parse: Callable[[str], list[dict]], key: str = "tab
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     return tables.select(key, text).mapInArrow(run, f"{key} long, {CELL}")
+
+
+#: How a chat model marks an object: its type, its box in thousandths, and its text.
+GROUNDED = r"(?s)<\|ref\|>(.*?)<\|/ref\|><\|det\|>\[\[(\d+(?:\s*,\s*\d+){3})\]\]<\|/det\|>(.*?)(?=<\|ref\|>|$)"
+
+
+def grounded_objects(pages: DataFrame, text: str = "text", width: Column | None = None, height: Column | None = None) -> DataFrame:
+    """page_id, seq, type, text, box of the objects in a model's answer; boxes that are empty are left out."""
+    w, h = F.col("width") if width is None else width, F.col("height") if height is None else height
+    part = lambda i: F.regexp_extract_all(text, F.lit(GROUNDED), F.lit(i))
+    rows = pages.select("page_id", w.alias("__w"), h.alias("__h"), F.posexplode(F.arrays_zip(part(1).alias("type"), part(2).alias("box"), part(3).alias("text"))).alias("seq", "o"))
+    bare = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    edges = F.transform(F.split(F.col("o.box"), r"\s*,\s*"), lambda x: x.cast("double"))
+    box = F.struct(*(edges[i].alias(e) for i, e in enumerate(("x0", "y0", "x1", "y1"))))
+    placed = g.from_thousandths(box, F.col("__w"), F.col("__h"))
+    return rows.select("page_id", "seq", bare("o.type").alias("type"), bare("o.text").alias("text"), placed.alias("box")).where("box is not null")
