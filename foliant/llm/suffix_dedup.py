@@ -18,13 +18,15 @@ together by content first, and sorted where they meet:
 
 Results are exact: runs are compared by a 64-bit hash together with their anchor's hash, windows
 by their bytes (in step 3) or a 128-bit digest. Null texts are empty; texts shorter than a
-window keep all. doc_id is a key: rows that repeat both id and text get equal results.
+window keep all. Where ids are null or repeat, texts are told apart and ordered by (id, digest of
+the text), nulls first; rows that repeat both id and text count once and get equal results.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,7 @@ from foliant.runtime import materialize
 #: Bytes that are hashed together, and the most different runs of an anchor that are sorted in a block.
 PIECE, HOT_RUNS = 1_000_000, 20_000
 FREE, REMOVED, SORTED, HOT = 0, 1, 2, 3
+_CONTEXTS = "kind byte, h long, doc long, lo long, n int, data binary"
 _RUNS = "kind byte, doc long, h long, r long, lo long, n int"
 
 
@@ -103,7 +106,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(np.full(len(d), REMOVED, np.int8), d, (d * 2654435761 + a) ^ (a << 20), np.zeros(len(d), np.int64), a, b - a + 1)
 
 
-def _match_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_runs(hot_runs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 2, of rows sorted by h, r, doc, lo."""
     for table in groups(batches, ["h"]):
         kind, doc, h, r, lo, n = (table.column(c).to_numpy() for c in ("kind", "doc", "h", "r", "lo", "n"))
@@ -121,7 +124,7 @@ def _match_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group = np.cumsum(new_h) - 1
         different = np.bincount(group[new_r])[group]
         wanted = new_r & (different > 1)
-        out = np.where(later, REMOVED, np.where(wanted, np.where(different > HOT_RUNS, HOT, SORTED), FREE)).astype(np.int8)
+        out = np.where(later, REMOVED, np.where(wanted, np.where(different > hot_runs, HOT, SORTED), FREE)).astype(np.int8)
         keep = out != FREE
         if keep.any():
             yield _batch(out[keep], doc[keep], h[keep], r[keep], lo[keep], n[keep])
@@ -130,16 +133,17 @@ def _match_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of runs (doc, text, runs), for step 3."""
     for batch in batches:
-        doc, h, lo, n, data = [], [], [], [], []
+        kind, doc, h, lo, n, data = [], [], [], [], [], []
         for d, text, own in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
             t = (text.as_py() or "").encode()
             for x in own:
+                kind.append(x["kind"])
                 doc.append(d)
                 h.append(x["h"])
                 lo.append(x["lo"])
                 n.append(x["n"])
                 data.append(t[x["lo"] : x["lo"] + x["n"] - 1 + WINDOW])
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["h", "doc", "lo", "n", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["kind", "h", "doc", "lo", "n", "data"])
 
 
 def repeated_windows(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,36 +197,49 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(doc, pa.int64()), pa.array(s, pa.int64())], ["w", "doc", "s"])
 
 
-def removed_windows(docs: DataFrame) -> DataFrame:
-    """doc, lo, n: windows that start at lo .. lo + n - 1 of that document are repeats."""
-    found = docs.select("doc_id", "text").mapInArrow(_find_runs, _RUNS)
-    matched = materialize(found.repartition("h").sortWithinPartitions("h", "r", "doc", "lo").mapInArrow(_match_runs, _RUNS).drop("r"))
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc, doc_id, text: ``doc`` is the id, or where ids are null or repeat, a number in their order."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    names = rows.select(F.col("doc_id").alias("d"), digest.alias("s")).distinct().repartitionByRange("d", "s").sortWithinPartitions("d", "s")
+    names = materialize(names.withColumn("doc", F.monotonically_increasing_id()))
+    return rows.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (digest == F.col("s"))).select("doc", "doc_id", "text")
+
+
+def removed_windows(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
+    """doc, lo, n of rows (doc, text): windows that start at lo .. lo + n - 1 of that text are repeats."""
+    found = docs.select("doc", "text").mapInArrow(_find_runs, _RUNS)
+    matched = materialize(found.repartition("h").sortWithinPartitions("h", "r", "doc", "lo").mapInArrow(partial(_match_runs, hot_runs), _RUNS).drop("r"))
     out = matched.where(F.col("kind") == REMOVED).select("doc", "lo", "n")
-    text = docs.select(F.col("doc_id").alias("doc"), "text")
-    schema = "h long, doc long, lo long, n int, data binary"
-    for kind in (SORTED, HOT):
-        wanted = matched.where(F.col("kind") == kind)
-        if kind == HOT and wanted.isEmpty():
-            continue
-        per = wanted.groupBy("doc").agg(F.collect_set(F.struct("h", "lo", "n")).alias("runs"))
-        data = text.join(per.hint("shuffle_hash"), "doc").mapInArrow(_contexts, schema)
-        if kind == SORTED:
-            more = materialize(data.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks, "doc long, lo long, n int"))
-        else:
-            windows = materialize(data.mapInArrow(_digests, "w binary, doc long, s long"))
-            # the first document, then the first start in it, by sums that need no row of the others
-            docs_first = windows.groupBy("w").agg(F.min("doc").alias("d"), F.count("*").alias("c")).where("c > 1").select("w", "d")
-            starts = windows.join(docs_first, "w").where("doc = d").groupBy("w").agg(F.min("doc").alias("d"), F.min("s").alias("f"))
-            more = windows.join(starts, "w").where("doc != d or s != f").select("doc", F.col("s").alias("lo"), F.lit(1).alias("n"))
-        out = out.unionByName(more)
-    return out
+    # the texts are shuffled once for the runs of both kinds
+    wanted = matched.where(F.col("kind").isin(SORTED, HOT))
+    per = wanted.groupBy("doc").agg(F.collect_set(F.struct("kind", "h", "lo", "n")).alias("runs"))
+    data = docs.select("doc", "text").join(per.hint("shuffle_hash"), "doc").mapInArrow(_contexts, _CONTEXTS)
+    hot = not matched.where(F.col("kind") == HOT).isEmpty()
+    if hot:
+        data = materialize(data)
+    sorted_runs = data.where(F.col("kind") == SORTED) if hot else data
+    out = out.unionByName(materialize(sorted_runs.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks, "doc long, lo long, n int")))
+    return out.unionByName(_repeated_by_digest(data.where(F.col("kind") == HOT))) if hot else out
+
+
+def _repeated_by_digest(data: DataFrame) -> DataFrame:
+    """doc, lo, n of the windows of hot anchors' runs that an earlier window equals."""
+    windows = materialize(data.mapInArrow(_digests, "w binary, doc long, s long"))
+    # the first document, then the first start in it, by sums that need no row of the others
+    first_doc = materialize(windows.groupBy("w").agg(F.min("doc").alias("d"), F.count("*").alias("c")).where("c > 1").select("w", "d"))
+    first = materialize(windows.join(first_doc, "w").where("doc = d").groupBy("w").agg(F.min("doc").alias("d"), F.min("s").alias("f")))
+    return windows.join(first, "w").where("doc != d or s != f").select("doc", F.col("s").alias("lo"), F.lit(1).alias("n"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 4: rows (doc, text, gone) with gone as a list of (lo, n)."""
+    """Step 4: rows (doc_id, text, gone) with gone as a list of (lo, n)."""
     for batch in batches:
         rows = []
-        for d, text, gone in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("gone").to_pylist(), strict=True):
+        for d, text, gone in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("gone").to_pylist(), strict=True):
             data = (text.as_py() or "").encode()
             spans = removed_spans(len(data), [(g["lo"], g["n"]) for g in gone or ()])
             kept, at = hashlib.sha256(), 0
@@ -246,27 +263,28 @@ def removed_spans(size: int, gone: list[tuple[int, int]]) -> list[tuple[int, int
     return out
 
 
-def _with_removed(docs: DataFrame) -> DataFrame:
-    per = removed_windows(docs).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("gone"))
-    return docs.select(F.col("doc_id").alias("doc"), "text").join(per.hint("shuffle_hash"), "doc", "left")
+def _with_removed(docs: DataFrame, hot_runs: int) -> DataFrame:
+    rows = keyed(docs)
+    per = removed_windows(rows, hot_runs).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("gone"))
+    return rows.join(per.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "gone")
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    return _with_removed(docs).select("doc", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_removed(docs, hot_runs).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_bytes(docs: DataFrame) -> DataFrame:
+def kept_bytes(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc_id, kept (binary, what is left), spans (array of removed byte ranges)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for d, text, gone in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            for d, text, gone in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
                 data = (text or "").encode()
                 spans = removed_spans(len(data), [(g["lo"], g["n"]) for g in gone or ()])
                 cuts = [0, *(x for s in spans for x in s), len(data)]
                 rows.append({"doc_id": d, "kept": b"".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)), "spans": [{"start": a, "end": b} for a, b in spans]})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("doc_id", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]))
 
-    return _with_removed(docs).select("doc", "text", "gone").mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:long,end:long>>")
+    return _with_removed(docs, hot_runs).mapInArrow(run, "doc_id long, kept binary, spans array<struct<start:long,end:long>>")
