@@ -51,7 +51,8 @@ def identities(units: DataFrame, longest: int, block: int = BLOCK) -> DataFrame:
     """
     blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
     rows = units.select("doc_id", "sha", "n", blocks.alias("blocks"), "data", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
-    rows = rows.select("doc_id", "sha", "n", "blocks", "i", F.substring("data", F.col("i") * block + 1, F.lit(block)).alias("block"))
+    # written, since they are read twice: to be numbered, and to be joined to their numbers
+    rows = materialize(rows.select("doc_id", "sha", "n", "blocks", "i", F.substring("data", F.col("i") * block + 1, F.lit(block)).alias("block")))
     names = number(rows, ["block"], "name")
     rows = materialize(rows.join(names, "block").drop("block"))
     done = [rows.where("blocks = 1").select("doc_id", "sha", "n", "name")]
