@@ -40,11 +40,20 @@ def repeated_lines(lines: DataFrame, times: int = 3) -> DataFrame:
 
 
 def dominant_line(text: Column, share: float = 0.8, times: int = 3) -> Column:
-    """A text whose lines are mostly one line becomes that line; without a shuffle."""
+    """A text whose lines are mostly one line becomes that line; without a shuffle.
+
+    The lines are sorted and their runs counted in one pass; of equally common ones the largest counts.
+    """
     lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    counted = F.transform(F.array_distinct(lines), lambda x: F.struct(F.size(F.filter(lines, lambda y: y == x)).alias("n"), x.alias("line")))
-    top = F.array_max(counted)
-    return F.when((top["n"] >= times) & (top["n"] >= share * F.size(lines)), top["line"]).otherwise(text)
+    none = F.lit(None).cast("string")
+    start = F.struct(none.alias("at"), F.lit(0).alias("run"), F.lit(0).alias("n"), none.alias("line"))
+
+    def count(a: Column, x: Column) -> Column:
+        run = F.when(a["at"].eqNullSafe(x), a["run"] + 1).otherwise(1)
+        more = run >= a["n"]
+        return F.struct(x.alias("at"), run.alias("run"), F.when(more, run).otherwise(a["n"]).alias("n"), F.when(more, x).otherwise(a["line"]).alias("line"))
+
+    return F.aggregate(F.array_sort(lines), start, count, lambda a: F.when((a["n"] >= times) & (a["n"] >= share * F.size(lines)), a["line"]).otherwise(text))
 
 
 def rule_score(issues: DataFrame, penalties: dict[str, int]) -> DataFrame:

@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -101,5 +102,20 @@ def join_dimension(big: DataFrame, small: DataFrame, on: Sequence[str], how: str
     return salted.join(spread, [*on, "__salt"], how).drop("__salt")
 
 
+def numbered(df: DataFrame, keys: Sequence[str], into: str, first: int = 1) -> DataFrame:
+    """Distinct ``keys``, numbered without gaps in their order, and in many tasks.
+
+    Ranges of keys are sorted in a task each and written; a number is the place in its range after
+    the sizes of the ranges before, of which there is one for each task.
+    """
+    rows = df.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    rows = materialize(rows.withColumn("__id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("__p", before.alias("__before"))
+    return join_dimension(rows.withColumn("__p", part), offsets, ["__p"]).select(*keys, (F.col("__before") + place + first).alias(into))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.runtime import join_dimension, numbered
+
 LABELS = "imagePath string, imageWidth int, imageHeight int, shapes array<struct<label string, points array<array<double>>, shape_type string>>"
 
 
@@ -22,13 +23,9 @@ def annotations(files: DataFrame, known: list[str], add_new: bool = False) -> Da
 
 
 def coco(found: DataFrame) -> DataFrame:
-    """Adds image_id and category_id, numbered from 1 in order of path and label, and each box's area.
-
-    Both numberings rank distinct values first: images and labels are few beside annotations.
-    """
-    images = found.select("path").distinct().withColumn("image_id", F.row_number().over(W.orderBy("path")))
-    labels = found.select("label").distinct().withColumn("category_id", F.row_number().over(W.orderBy("label")))
-    return found.join(images, "path").join(labels, "label").withColumn("area", F.col("w") * F.col("h"))
+    """Adds image_id and category_id, numbered from 1 in order of path and label, and each box's area."""
+    images, labels = numbered(found, ["path"], "image_id"), numbered(found, ["label"], "category_id")
+    return join_dimension(found.join(images, "path"), labels, ["label"]).withColumn("area", F.col("w") * F.col("h"))
 
 
 def statistics(files: DataFrame, known: list[str]) -> DataFrame:

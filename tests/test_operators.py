@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.functions import lists
 from foliant.functions import text as tx
 from foliant.operators import contents, layout, quality, regions, sequence, spatial, tables, tree
-from foliant.runtime import is_small, join_dimension
+from foliant.runtime import is_small, join_dimension, numbered
 from foliant.streaming import tasks
 
 BOX = "page_id long, obj_id long, kind string, score double, x0 double, y0 double, x1 double, y1 double"
@@ -182,6 +182,8 @@ def test_intervals_and_splits(spark):
 def test_quality_folds(spark):
     assert one(spark, quality.dominant_line(F.lit("a\na\na\nb\na"))) == "a"
     assert one(spark, quality.dominant_line(F.lit("a\nb"))) == "a\nb"
+    assert one(spark, quality.dominant_line(F.lit("b\na\nb\na\nb\na"), share=0.5)) == "b"
+    assert one(spark, quality.dominant_line(F.lit(""))) == "" and one(spark, quality.dominant_line(F.lit(None).cast("string"))) is None
 
 
 def test_spatial(spark):
@@ -203,6 +205,14 @@ def test_dimension_joins(spark):
     assert "broadcast" not in plan.lower()
 
 
+def test_numbers_without_gaps(spark):
+    rows = spark.range(2000).selectExpr("id % 700 as a", "cast(id % 3 as string) as b").repartition(7)
+    got = numbered(rows, ["a", "b"], "n", first=0).orderBy("n").collect()
+    assert [r.n for r in got] == list(range(len(got)))
+    assert [(r.a, r.b) for r in got] == sorted({(i % 700, str(i % 3)) for i in range(2000)})
+    assert numbered(rows.limit(0), ["a"], "n").count() == 0
+
+
 def test_streams(spark, tmp_path):
     """Files arrive in two batches; windows and task states come out as a batch run gives them."""
     src = tmp_path / "events"
