@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.batches import bounded_sample
 from foliant.llm.trees import Forest, fit
 
 #: Most labelled rows that a fit reads.
@@ -80,7 +81,7 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:
     """Fit on ``docs`` that have a ``label`` and aren't held out."""
     known = labels.where(F.col(label).isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
-    sample = known.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(sample_rows)
+    sample = bounded_sample(known, sample_rows, ["doc_id"])
     # sample_rows bounds the side that is broadcast and, a row for each id, what is collected
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     found = texts.select("doc_id", "label", "text").mapInArrow(_stats, "doc_id long, label int, stats array<double>")

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm.batches import bounded_sample
 from foliant.llm.trees import Forest, fit
 
 #: Most labelled URLs that a fit reads.
@@ -102,7 +103,7 @@ def labelled(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 
 def train(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, dict[str, float]]:
     """Fit on rows (url, label), at most ``sample_rows`` of them, those with the smallest hashes."""
-    sample = labels.select("url", "label").orderBy(F.xxhash64(F.lit(17), "url"), "url", "label").limit(sample_rows).toPandas()
+    sample = bounded_sample(labels.select("url", "label"), sample_rows, ["url", "label"]).toPandas()
     y = sample["label"].to_numpy(np.float64)
     suffixes = suffix_shares(sample["url"].tolist(), y)
     x = np.array([features(u, suffixes) for u in sample["url"]]) if len(y) else np.zeros((0, 1))

@@ -53,6 +53,17 @@ def test_sample_bound(spark, sf_dir):
     assert forest.value.shape[1] == 16
 
 
+def test_bounded_sample(spark):
+    from foliant.llm.batches import bounded_sample
+
+    df = spark.range(30_000).withColumnRenamed("id", "k")
+    got = [r.k for r in bounded_sample(df, 1000, ["k"]).collect()]
+    assert len(set(got)) == 1000
+    assert got == [r.k for r in bounded_sample(df.repartition(9), 1000, ["k"]).collect()]
+    assert set(r.k for r in bounded_sample(df, 100, ["k"]).collect()) == set(got[:100])
+    assert bounded_sample(df.limit(50), 1000, ["k"]).count() == 50 and bounded_sample(df.limit(0), 5, ["k"]).count() == 0
+
+
 def test_trees_learn_and_flatten():
     r = np.random.default_rng(1)
     x = r.standard_normal((2000, 5))
