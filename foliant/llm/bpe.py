@@ -34,6 +34,9 @@ CACHED_CHARS, CACHED_WORDS = 48, 400_000
 #: Words of the vocabularies this module reads; a fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
+#: Bytes of UTF-8 texts whose characters are all below U+0200; none of those is recent.
+_BELOW_200 = bytes(range(0xC8))
+
 _models: dict[str, BPE] = {}
 
 
@@ -210,7 +213,7 @@ class BPE:
     def split_words(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii_words.findall(text.lower())
-        if self.library is not None and self.recent.search(text):
+        if self.library is not None and text.encode().translate(None, _BELOW_200) and self.recent.search(text):
             return self.library(text)
         text = unicodedata.normalize("NFC", text)
         # str.lower() looks at what surrounds a capital sigma; the tokenizer doesn't
