@@ -57,6 +57,12 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
 
 
+def op6_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op 6, what the counts say of each span; a query of its own, since op6_secrets has fixed columns."""
+    ship(spark)
+    return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", "spans", "verdicts")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())

@@ -79,6 +79,18 @@ def test_ownership_tells_examples_from_live_tokens(spark):
     assert got[3] == "token:4:28,token:35:59" and got[4] == "token:6:30"
 
 
+def test_copies_within_one_owner_and_of_base_kinds_are_examples(spark):
+    spread, key, own = "Zx9Qw7Er5Ty3Ui1Op0As2Df4", "AKIA" + "B2" * 9, "Mn8Bv6Cx4Za2"
+    many = [(i, f"copied {spread}", "a") for i in range(secrets.MOST_REPOSITORIES + 1)]
+    rows = [*many, (100, key, "a"), (101, f"secret={key}", "b"), (102, f"password={own}", "a"), (103, f"api_key: {own} {own}", "a")]
+    got = {r.doc_id: (r.base, r.spans, r.verdicts) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[r[0]] == ("", "", "token:7:31:copied") for r in many)
+    assert got[100] == ("access:0:22", "access:0:22", "access:0:22:copied")
+    assert got[101] == ("assign:0:29,access:7:29",) * 2 + ("assign:0:29:copied,access:7:29:copied",)
+    assert got[102] == ("assign:0:21",) * 2 + ("assign:0:21:live",)
+    assert got[103] == ("assign:0:21",) * 2 + ("assign:0:21:live",)
+
+
 def test_edge_rows_have_a_secret(spark):
     got = {r.doc_id: r.n_assign for r in secrets.scan(spark.createDataFrame(edge_rows(), SCHEMA)).collect()}
     assert got[22] == 1
