@@ -5,9 +5,12 @@ prefixes of a conversation and comparing neighbouring outputs gives the span of
 the longer output adds. A template that changes what it wrote before is detected, and reported.
 
 Rows are dealt by conversation, sorted by turn (ties by role, then text) and streamed through;
-a worker holds one conversation's latest ``EXACT`` turns. So many prefixes are rendered in full. If
-they showed that what a turn adds depends on its neighbour only, later turns are rendered after
-the neighbour alone; so a long conversation takes time in proportion to its length.
+a worker holds one conversation. ``EXACT`` prefixes are rendered in full. If they showed that what a
+turn adds depends on its neighbour only, later turns are rendered after the neighbour alone, and
+their spans wait until the whole prefix is rendered: whenever the length has doubled, and at the
+end. If the output isn't what the spans say, every prefix since the last such length, and from there
+on, is rendered in full; so a long conversation takes time in proportion to its length where what
+was assumed holds. A rewrite that begins and is undone between two of those lengths isn't seen.
 
 Null texts count as empty and a null role as an empty one. Rows whose conv_id is null are one
 conversation. Repeated rows are turns of their own.
@@ -53,25 +56,70 @@ class RewritesHistory(ValueError):
     """The template's output for a prefix isn't a prefix of its output for more turns."""
 
 
+class _Prefixes:
+    """Spans of one conversation, fed turn by turn; they come out once a whole prefix confirmed them."""
+
+    def __init__(self, render: Template, exact: int, where: str = ""):
+        self.render, self.exact, self.where = render, exact, where
+        self.turns: list[Turn] = []
+        self.before, self.local = "", True
+        self.waiting: list[str | None] = []
+        self.next = 2 * exact
+
+    def add(self, turn: Turn) -> list[str]:
+        self.turns.append(turn)
+        n = len(self.turns)
+        if n > self.exact and self.local:
+            self.waiting.append(self._after_neighbour())
+            return self.settle() if n >= self.next or self.waiting[-1] is None else []
+        added = self._whole(n)
+        if 1 < n <= self.exact and self.local:
+            self.local = self._after_neighbour() == added
+        return [added]
+
+    def settle(self) -> list[str]:
+        """The spans that wait, compared with the rendering of all turns so far."""
+        out, self.waiting = self.waiting, []
+        if not out:
+            return []
+        now = None if out[-1] is None else self.render(self.turns)
+        if now is not None and self._is_joined(now, out):
+            self.before = now
+        else:
+            self.local = False
+            n = len(self.turns)
+            out = [self._whole(k) for k in range(n - len(out) + 1, n + 1)]
+        self.next = 2 * len(self.turns)
+        return out
+
+    def _is_joined(self, now: str, added: list[str]) -> bool:
+        at = len(self.before)
+        if not now.startswith(self.before):
+            return False
+        for span in added:
+            if not now.startswith(span, at):
+                return False
+            at += len(span)
+        return at == len(now)
+
+    def _whole(self, n: int) -> str:
+        now = self.render(self.turns[:n])
+        if not now.startswith(self.before):
+            raise RewritesHistory(f"{self.where}turn {n - 1} changes what was written before")
+        added, self.before = now[len(self.before) :], now
+        return added
+
+    def _after_neighbour(self) -> str | None:
+        alone, both = self.render(self.turns[-2:-1]), self.render(self.turns[-2:])
+        return both[len(alone) :] if both.startswith(alone) else None
+
+
 def spans(turns: Sequence[Turn], render: Template = template, exact: int = EXACT) -> Iterator[str]:
     """What each turn adds to the output, found by rendering prefixes."""
-    before, local = "", True
-    for k in range(len(turns)):
-        if k < exact or not local:
-            now = render(turns[: k + 1])
-            if not now.startswith(before):
-                raise RewritesHistory(f"turn {k} changes what was written before")
-            added, before = now[len(before) :], now
-            if k:
-                alone = render(turns[k - 1 : k])
-                both = render(turns[k - 1 : k + 1])
-                local = local and both.startswith(alone) and both[len(alone) :] == added
-        else:
-            alone, both = render(turns[k - 1 : k]), render(turns[k - 1 : k + 1])
-            if not both.startswith(alone):
-                raise RewritesHistory(f"turn {k} changes what was written before")
-            added = both[len(alone) :]
-        yield added
+    found = _Prefixes(render, exact)
+    for turn in turns:
+        yield from found.add(turn)
+    yield from found.settle()
 
 
 def rewrites(turns: Sequence[Turn], render: Template) -> bool:
@@ -97,48 +145,42 @@ def loss_mask(span: str, roles: Sequence[str] = ("assistant",)) -> tuple[int, in
 
 
 class _Conversation:
-    """Digests of one conversation, fed turn by turn; keeps the last turns only."""
+    """Digests of one conversation, fed turn by turn."""
 
     def __init__(self, key, render: Template, exact: int):
-        self.key, self.render, self.exact = key, render, exact
-        self.turns: list[Turn] = []
-        self.n, self.n_loss, self.n_chars, self.before, self.local = 0, 0, 0, "", True
+        self.key, self.found = key, _Prefixes(render, exact, f"conversation {key}: ")
+        self.n, self.n_loss, self.n_chars = 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, turn: Turn) -> str:
-        if self.n < self.exact or not self.local:
-            self.turns.append(turn)
-            now = self.render(self.turns)
-            if not now.startswith(self.before):
-                raise RewritesHistory(f"conversation {self.key}: turn {self.n} changes what was written before")
-            added, self.before = now[len(self.before) :], now
-            if self.n:
-                alone, both = self.render(self.turns[-2:-1]), self.render(self.turns[-2:])
-                self.local = self.local and both.startswith(alone) and both[len(alone) :] == added
-        else:
-            self.before = ""
-            self.turns = [self.turns[-1], turn]
-            alone, both = self.render(self.turns[:1]), self.render(self.turns)
-            if not both.startswith(alone):
-                raise RewritesHistory(f"conversation {self.key}: turn {self.n} changes what was written before")
-            added = both[len(alone) :]
-        role, text = parse(added)
-        self.all.update(f"{role}\n{text}\n".encode())
-        a, b = loss_mask(added)
-        under = unescape(added[a:b])
-        self.n_loss += len(under)
-        self.loss.update(under.encode())
-        self.n += 1
-        self.n_chars += len(added)
-        return added
+    def add(self, turn: Turn) -> list[str]:
+        return self._read(self.found.add(turn))
+
+    def end(self) -> list[str]:
+        return self._read(self.found.settle())
+
+    def _read(self, found: list[str]) -> list[str]:
+        for added in found:
+            role, text = parse(added)
+            self.all.update(f"{role}\n{text}\n".encode())
+            a, b = loss_mask(added)
+            under = unescape(added[a:b])
+            self.n_loss += len(under)
+            self.loss.update(under.encode())
+            self.n += 1
+            self.n_chars += len(added)
+        return found
 
     def row(self) -> dict:
+        self.end()
         return {"conv_id": self.key, "n_turns": self.n, "turns_sha256": self.all.hexdigest(), "loss_chars": self.n_loss, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.n_chars}
 
 
 _OUT = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
+_SPANS = pa.schema([("conv_id", pa.int64()), ("seq", pa.int32()), ("span", pa.string()), ("mask_start", pa.int32()), ("mask_end", pa.int32())])
+
+
 def _by_conversation(rows: DataFrame) -> DataFrame:
     read = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
@@ -170,15 +212,24 @@ def formatted(rows: DataFrame, render: Template = template, exact: int = EXACT)
     """conv_id, seq, span (what the turn adds to the output), mask_start and mask_end within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now, out = None, []
+
+        def put(found: list[str]) -> None:
+            for seq, span in enumerate(found, now.n - len(found)):
+                a, b = loss_mask(span)
+                out.append({"conv_id": now.key, "seq": seq, "span": span, "mask_start": a, "mask_end": b})
+
         for batch in batches:
-            out = []
             for key, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if now is None or key != now.key:
+                    if now is not None:
+                        put(now.end())
                     now = _Conversation(key, render, exact)
-                span = now.add((role, text))
-                a, b = loss_mask(span)
-                out.append({"conv_id": key, "seq": now.n - 1, "span": span, "mask_start": a, "mask_end": b})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("conv_id", pa.int64()), ("seq", pa.int32()), ("span", pa.string()), ("mask_start", pa.int32()), ("mask_end", pa.int32())]))
+                put(now.add((role, text)))
+            yield pa.RecordBatch.from_pylist(out, _SPANS)
+            out.clear()
+        if now is not None:
+            put(now.end())
+            yield pa.RecordBatch.from_pylist(out, _SPANS)
 
     return _by_conversation(rows).mapInArrow(run, "conv_id long, seq int, span string, mask_start int, mask_end int")

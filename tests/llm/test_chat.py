@@ -77,3 +77,36 @@ def test_headers_that_depend_on_the_place(spark):
 
     turns = [("user", f"{i}") for i in range(60)]
     assert "".join(chat.spans(turns, opened)) == opened(turns)
+
+
+def last_thirty(turns):
+    return chat.template(turns[-30:])
+
+
+def from_turn_forty(turns):
+    return chat.template([("system", "long"), *turns[1:]] if len(turns) > 40 else turns)
+
+
+@pytest.mark.parametrize("render", [last_thirty, from_turn_forty])
+@pytest.mark.parametrize("n", [44, 60, 200])
+def test_rewrites_of_long_conversations_only_are_found(render, n):
+    turns = [("user", f"{i}") for i in range(n)]
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.spans(turns, render))
+
+
+def test_rewrites_of_long_conversations_fail_queries(spark):
+    df = spark.createDataFrame([(7, i, "user", f"{i}", "") for i in range(44)], SCHEMA)
+    trimmed = lambda turns: chat.template(turns[-30:])
+    for found in (chat.digests, chat.formatted):
+        with pytest.raises(Exception, match="changes what was written before"):
+            found(df, trimmed).collect()
+
+
+def test_late_turns_that_depend_on_the_place_keep_right_spans():
+    def marked(turns):
+        return "".join(("<half>" if i == 30 else "") + chat.template([t]) for i, t in enumerate(turns))
+
+    for n in (24, 25, 31, 48, 49, 100):
+        turns = [("user", f"{i}") for i in range(n)]
+        assert list(chat.spans(turns, marked)) == [("<half>" if i == 30 else "") + chat.template([t]) for i, t in enumerate(turns)]
