@@ -3,7 +3,8 @@
 The longest rule whose host is the url's or a parent of it and whose path begins the url's path
 decides. Where none does, trees decide that were trained from labelled URLs: lengths, depth,
 digit ratio, entropy, numbers of parameters, and how often the host's suffixes were blocked.
-At most ``SAMPLE_ROWS`` labelled URLs are read for that.
+Suffixes are counted over all labelled URLs and joined to the rows; the trees are fitted to at
+most ``SAMPLE_ROWS`` of them.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and goes to the trees.
 Repeated rows are each judged; columns other than page_id and url are not read.
@@ -11,7 +12,7 @@ Repeated rows are each judged; columns other than page_id and url are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Sequence
 from urllib.parse import urlsplit
 
@@ -22,8 +23,9 @@ from pyspark.sql import functions as F
 
 from foliant.llm.batches import bounded_sample
 from foliant.llm.trees import Forest, fit
+from foliant.runtime import join_dimension, materialize
 
-#: Most labelled URLs that a fit reads.
+#: Most labelled URLs that the trees are fitted to.
 SAMPLE_ROWS = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -57,8 +59,8 @@ def _entropy(s: str) -> float:
     return -sum(v / n * np.log2(v / n) for v in Counter(s).values()) if n else 0.0
 
 
-def features(url: str | None, suffixes: dict[str, float]) -> list[float]:
-    """Lexical features of one url; ``suffixes`` has the share that was blocked, by suffix."""
+def features(url: str | None, last: float, last_two: float) -> list[float]:
+    """Lexical features of one url, and the blocked shares of its host's last label and last two."""
     url = url or ""
     try:
         parts = urlsplit(url)
@@ -68,25 +70,38 @@ def features(url: str | None, suffixes: dict[str, float]) -> list[float]:
     labels = [x for x in name.lower().split(".") if x]
     pieces = [x for x in where.split("/") if x]
     n = len(url) or 1
-    usual = suffixes.get("", 0.5)
     return [
         len(url), len(name), len(where), len(query), len(labels), len(pieces), max(map(len, pieces), default=0), max(map(len, labels), default=0),
         sum(c.isdigit() for c in url) / n, sum(c.isdigit() for c in name) / (len(name) or 1), sum(not c.isalnum() for c in url) / n,
         name.count("-"), _entropy(name), _entropy(where), len([x for x in query.split("&") if x]), query.count("="), float(bool(rest)), float(url.startswith("https")), float("." in where.rpartition("/")[2]),
-        suffixes.get(".".join(labels[-1:]), usual), suffixes.get(".".join(labels[-2:]), usual),
+        last, last_two,
     ]
 
 
-def suffix_shares(urls: Sequence[str], blocked: np.ndarray) -> dict[str, float]:
-    """Smoothed share of blocked urls by last label and last two labels; under '' the mean of all."""
-    seen, bad = Counter(), defaultdict(float)
-    for u, b in zip(urls, blocked, strict=True):
-        labels = [x for x in u.partition("://")[2].partition("/")[0].lower().split(".") if x]
-        for k in {".".join(labels[-1:]), ".".join(labels[-2:])}:
-            seen[k] += 1
-            bad[k] += b
-    mean = float(blocked.mean()) if len(blocked) else 0.5
-    return {k: (bad[k] + 5 * mean) / (v + 5) for k, v in seen.items()} | {"": mean}
+def with_suffixes(rows: DataFrame) -> DataFrame:
+    """Add ``last`` and ``last_two``: the last label and the last two labels of the url's host."""
+    labels = F.filter(F.split(host(), r"\."), lambda x: x != "")
+    tail = lambda n: F.concat_ws(".", F.slice(labels, F.greatest(F.size(labels) - (n - 1), F.lit(1)), F.lit(n)))
+    return rows.withColumns({"last": tail(1), "last_two": tail(2)})
+
+
+def suffix_shares(labels: DataFrame) -> DataFrame:
+    """suffix, share: smoothed share of blocked urls by suffix, of all rows (label, last, last_two);
+    under '' the mean of all."""
+    mean = labels.agg(F.avg("label")).first()[0]
+    mean = F.lit(0.5 if mean is None else float(mean))
+    each = labels.select("label", F.explode(F.array_distinct(F.array("last", "last_two"))).alias("suffix")).where("suffix <> ''")
+    shares = each.groupBy("suffix").agg(((F.sum("label") + 5 * mean) / (F.count("*") + 5)).alias("share"))
+    return shares.unionByName(labels.sparkSession.range(1).select(F.lit("").alias("suffix"), mean.alias("share")))
+
+
+def with_shares(rows: DataFrame, shares: DataFrame) -> DataFrame:
+    """Rows with ``last`` and ``last_two`` replaced by the shares of these suffixes, or by the mean."""
+    mean = F.lit(shares.where("suffix = ''").first()["share"])
+    for name, own in (("last", shares.where(~F.col("suffix").contains("."))), ("last_two", shares)):
+        rows = join_dimension(rows, own.select(F.col("suffix").alias(name), F.col("share").alias("__share")), [name], "left")
+        rows = rows.withColumn(name, F.coalesce("__share", mean)).drop("__share")
+    return rows
 
 
 def labelled(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -101,27 +116,30 @@ def labelled(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return pages.select("url", label.alias("label")).where("label is not null").distinct()
 
 
-def train(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, dict[str, float]]:
-    """Fit on rows (url, label), at most ``sample_rows`` of them, those with the smallest hashes."""
-    sample = bounded_sample(labels.select("url", "label"), sample_rows, ["url", "label"]).toPandas()
+def train(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, DataFrame]:
+    """Trees fitted to rows (url, label), at most ``sample_rows`` of them, those with the smallest
+    hashes; and the shares of suffixes over all rows."""
+    rows = materialize(with_suffixes(labels.select("url", "label")))
+    shares = materialize(suffix_shares(rows))
+    sample = with_shares(bounded_sample(rows, sample_rows, ["url", "label"]), shares).toPandas().sort_values(["url", "label"])
     y = sample["label"].to_numpy(np.float64)
-    suffixes = suffix_shares(sample["url"].tolist(), y)
-    x = np.array([features(u, suffixes) for u in sample["url"]]) if len(y) else np.zeros((0, 1))
-    return fit(x, y, trees=60, depth=3), suffixes
+    x = np.array([features(*r) for r in sample[["url", "last", "last_two"]].itertuples(index=False)]) if len(y) else np.zeros((0, 1))
+    return fit(x, y, trees=60, depth=3), shares
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], forest: Forest, suffixes: dict[str, float]) -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule], forest: Forest, suffixes: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict and score of every row."""
 
     @F.arrow_udf("double")
-    def blocked(column: pa.Array) -> pa.Array:
-        if not len(column):
+    def blocked(url: pa.Array, last: pa.Array, last_two: pa.Array) -> pa.Array:
+        if not len(url):
             return pa.array([], pa.float64())
-        return pa.array(forest.score(np.array([features(u.as_py(), suffixes) for u in column])))
+        return pa.array(forest.score(np.array([features(*r) for r in zip(url.to_pylist(), last.to_pylist(), last_two.to_pylist(), strict=True)])))
 
     rule, verdict = F.col("rule"), F.lit(None).cast("string")
     for r, v in rules:
         verdict = F.when(rule == r, F.lit(v)).otherwise(verdict)
-    out = pages.select("page_id", host().alias("host"), path().alias("path"), blocked("url").alias("score"))
+    read = with_shares(with_suffixes(pages.select("page_id", "url")), suffixes)
+    out = read.select("page_id", host().alias("host"), path().alias("path"), blocked("url", "last", "last_two").alias("score"))
     out = out.withColumn("rule", first_rule(rules, F.col("host"), F.col("path")))
     return out.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")

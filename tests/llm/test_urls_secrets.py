@@ -43,6 +43,16 @@ def test_url_trees_learn(spark):
     assert sum(got[i] == ("block" if i % 2 else "allow") for i in range(300)) > 280
 
 
+def test_suffixes_are_counted_over_all_labels(spark):
+    rows = [(f"http://h{i}.bad.test/{i}", 1) for i in range(40)] + [(f"http://h{i}.good.example/{i}", 0) for i in range(360)] + [("http://single/", 1)]
+    _, shares = url_filter.train(spark.createDataFrame(rows, "url string, label int"), 4)
+    got, mean = {r.suffix: r.share for r in shares.collect()}, 41 / 401
+    want = {"": mean, "single": (1 + 5 * mean) / 6} | {k: (40 + 5 * mean) / 45 for k in ("test", "bad.test")} | {k: 5 * mean / 365 for k in ("example", "good.example")}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    pages = url_filter.with_suffixes(spark.createDataFrame([("http://x.BAD.test?q",), ("http://new.test:1/",), (None,)], "url string"))
+    assert sorted(round(r.last_two, 9) for r in url_filter.with_shares(pages, shares).collect()) == sorted(round(x, 9) for x in (want["bad.test"], mean, mean))
+
+
 def check_secrets(rows, texts):
     assert len(rows) == len(texts)
     want = Counter()
