@@ -7,7 +7,7 @@ Each end position is given up at most once, so the work is linear in the word's
 result is the one that merging by rank gives. Decoding reads a table of token strings by offset.
 
 Texts with characters that Unicode got after version 3.2 are lower-cased and split into words by
-the library itself, where it is installed: its version of Unicode isn't Python's.
+the tokenizers library itself: its version of Unicode isn't Python's. Without it the import fails.
 
 The vocabulary file is read by the driver and broadcast: its size doesn't depend on the data.
 Null texts count as empty; an empty text has no tokens. Repeated rows are encoded each.
@@ -64,12 +64,10 @@ def byte_chars() -> list[str]:
     return out
 
 
-def _library_words() -> Callable[[str], list[str]] | None:
-    """How the tokenizers library splits texts, by its own version of Unicode; None if it isn't there."""
-    try:
-        from tokenizers import Regex, normalizers, pre_tokenizers
-    except ImportError:
-        return None
+def _library_words() -> Callable[[str], list[str]]:
+    """How the tokenizers library splits texts, by its own version of Unicode."""
+    from tokenizers import Regex, normalizers, pre_tokenizers
+
     lower = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
     split = pre_tokenizers.Split(Regex(WORDS), "removed", invert=True)
     return lambda text: [w for w, _ in split.pre_tokenize_str(lower.normalize_str(text))]
@@ -213,7 +211,7 @@ class BPE:
     def split_words(self, text: str) -> list[str]:
         if text.isascii():
             return self.ascii_words.findall(text.lower())
-        if self.library is not None and text.encode().translate(None, _BELOW_200) and self.recent.search(text):
+        if text.encode().translate(None, _BELOW_200) and self.recent.search(text):
             return self.library(text)
         text = unicodedata.normalize("NFC", text)
         # str.lower() looks at what surrounds a capital sigma; the tokenizer doesn't

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import sys
 
 import pytest
 from hypothesis import given, settings
@@ -80,3 +81,9 @@ def test_long_words(own, real):
         for letters in ("a", "ab", "the", "abcdefghijklmnopqrstuvwxyz"):
             word = "".join(r.choice(letters) for _ in range(n))
             assert own.encode(word) == real.encode(word, add_special_tokens=False).ids
+
+
+def test_a_missing_library_is_an_error(monkeypatch):
+    monkeypatch.setitem(sys.modules, "tokenizers", None)
+    with pytest.raises(ImportError):
+        bpe.BPE(queries.vocabulary())
