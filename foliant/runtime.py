@@ -20,37 +20,53 @@ PACKAGE = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
 
 #: A side of a join with more rows than this is never broadcast by hand.
 BROADCAST_ROWS = 20_000
+#: Rows of a task that writes a table whose size is known.
+TASK_ROWS = 50_000
 
 _scratch: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only where none is set (tests) a local one is made."""
+    """The folder all executors share.
+
+    Where none is set, a session in one process (``local[n]``, as in tests) gets a local one; on
+    a cluster that is an error, as no executor would see what another one wrote.
+    """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="foliant-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, partitions: Sequence[str] = ()) -> DataFrame:
+def materialize(df: DataFrame, partitions: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet under the shared folder and read it back.
 
     Unlike ``checkpoint()`` this computes the plan once, and the copy survives lost executors.
-    The files go when the driver ends, or with ``drop_scratch``.
+    ``rows``, where it is known, is the most rows that ``df`` can have: tasks, and so files, are then
+    as many as these rows need. The files go when the driver ends, or with ``drop_scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch() -> None:
-    """Remove every table that ``materialize`` wrote in this process."""
-    while _scratch:
+def scratch_mark() -> int:
+    """A point in time, for ``drop_scratch``."""
+    return len(_scratch)
+
+
+def drop_scratch(mark: int = 0) -> None:
+    """Remove every table that ``materialize`` wrote in this process since ``scratch_mark`` gave ``mark``."""
+    while len(_scratch) > mark:
         spark, path = _scratch.pop()
         try:
             jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
