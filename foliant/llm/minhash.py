@@ -3,21 +3,23 @@
 1. Each text's set of word shingles is hashed once per shingle into ``BANDS * ROWS`` bins with
    optimal densification. Bands of ``ROWS`` bins give bucket keys. Two sets of similarity 0.8
    share no bucket with a probability of (1 - 0.8^ROWS)^BANDS = 6e-5.
-2. Equal sets (by size and 128 bits of their members' hashes) are linked to one representative.
+2. Sets with the same size and digest are candidates of one representative, which stands for them.
 3. In each bucket the other representatives are edges to the smallest one: as many candidates as
-   rows, whatever the bucket's size. They are confirmed on the full sets of words.
+   rows, whatever the bucket's size. All candidates are confirmed on the full sets of words.
 4. Buckets whose members the links so far leave in several components are compared in full, in
-   blocks of at most ``CHUNK`` x ``CHUNK`` documents: members outside of the bucket's first
-   component against all. A block gives the edges that join components, never all its pairs.
-   So no link between documents of one bucket is missed.
+   blocks: members outside of the bucket's first component against all. A block gives the edges
+   that join components, never all its pairs; they are found by hashes of shingles, and confirmed
+   on the full sets as well. So no link between documents of one bucket is missed.
 5. Components come by contraction.
 
 Nothing is capped: a bucket that holds a third of the rows is summed in every task first, its
-join may be split, and its blocks are dealt over many tasks.
+join may be split, and its blocks are dealt over many tasks. Blocks are bounded by documents and
+by shingles; of a hub's members ``MEMBERS`` at most meet in a task with its text, which is sent
+once for them.
 
 Null and empty texts have no shingles and link with nothing; a text of fewer than k words is one
-shingle. Rows that repeat a doc_id share its links; of their texts the smallest is compared. Rows
-whose doc_id is null link with nothing and stay.
+shingle. Rows that repeat a doc_id are compared each with its own text, and are linked by the id;
+they all have the size of their own text's set. Rows whose doc_id is null link with nothing and stay.
 """
 
 from __future__ import annotations
@@ -31,14 +33,19 @@ from pyspark.sql import functions as F
 
 from foliant.llm.batches import bounds, groups
 from foliant.llm.components import components
+from foliant.llm.keys import keyed
 from foliant.llm.minhash_sets import band_keys, one_permutation, set_digests, shingle_set, shingles
 from foliant.runtime import join_dimension, materialize
 
 BANDS, ROWS = 32, 6
 #: Characters that are hashed together, and documents on each side of a compared block.
 PIECE, CHUNK = 1_500_000, 256
+#: Shingles that weigh as much as one more document in a block, and members that meet a hub in one task.
+HEAVY, MEMBERS = 1000, 4096
 #: Columns of the 0/1 matrix that is multiplied at a time.
 COLUMNS = 8192
+#: Hashes of a block that are numbered at a time.
+PART = 1_000_000
 
 
 def _runs(texts: list[str], most: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -54,19 +61,19 @@ def _runs(texts: list[str], most: int = PIECE) -> Iterator[tuple[int, int]]:
 
 
 def signatures(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, one, two (digests of the set) and keys (a bucket key per band)."""
+    """doc, doc_id, n_shingles, one, two (digests of the set) and keys (a bucket key per band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or "" for t in batch.column(2).to_pylist()]
             for i, j in _runs(texts):
                 doc, h = shingles(texts[i:j], k)
                 n, one, two = set_digests(doc, h, j - i)
                 keys = band_keys(one_permutation(doc, h, j - i, bands * rows), bands)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "n_shingles", "one", "two", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc", "doc_id", "n_shingles", "one", "two", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, one long, two long, keys array<long>")
+    return docs.select("doc", "doc_id", "text").mapInArrow(run, "doc long, doc_id long, n_shingles long, one long, two long, keys array<long>")
 
 
 def similar(common: np.ndarray | int, total: np.ndarray | int, percent: int) -> np.ndarray | bool:
@@ -74,23 +81,74 @@ def similar(common: np.ndarray | int, total: np.ndarray | int, percent: int) ->
     return 100 * common >= percent * (total - common)
 
 
-def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """a, b of rows (a, b, text_a, text_b) whose full sets are similar."""
+def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """a, b of rows (a, b) whose full sets are similar; ``texts``: doc, text of all a and b.
+
+    A hub b meets its members in groups of about ``MEMBERS``; its text comes once for each group.
+    """
+    sizes = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("parts")).where("parts > 1"))
+    dealt = join_dimension(pairs, sizes, ["b"], "left")
+    dealt = materialize(dealt.select("b", F.pmod(F.xxhash64(F.lit(11), "a"), F.coalesce("parts", F.lit(1))).alias("part"), "a"))
+    rows = dealt.select("b", "part", F.lit(1).alias("side"), F.col("a").alias("doc")).unionByName(dealt.select("b", "part", F.lit(0).alias("side"), F.col("b").alias("doc")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, set()
+        hub_text, hub = "", set()
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            a, b = batch.column("text_a"), batch.column("text_b")
-            ids = batch.column("b").to_pylist()
+            side, text = batch.column("side").to_pylist(), batch.column("text")
             for i in range(batch.num_rows):
-                if ids[i] != hub:
-                    hub, own = ids[i], shingle_set(b[i].as_py() or "", k)
-                other = shingle_set(a[i].as_py() or "", k)
-                keep[i] = similar(len(own & other), len(own) + len(other), percent)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+                own = text[i].as_py() or ""
+                if side[i] == 0:
+                    hub_text, hub = own, shingle_set(own, k)
+                elif own == hub_text:
+                    keep[i] = bool(hub)
+                else:
+                    other = shingle_set(own, k)
+                    keep[i] = similar(len(hub & other), len(hub) + len(other), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+
+    met = rows.join(texts, "doc").repartition("b", "part").sortWithinPartitions("b", "part", "side", "doc")
+    return met.select("b", "doc", "side", "text").mapInArrow(run, "a long, b long")
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+def _common(part: pa.Table, left: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the sets of a block's texts, and how many members those of ``left`` share with all.
+
+    Texts are shingled in runs, and shingles numbered in parts by hash, so memory is bounded by
+    ``PIECE`` and ``PART`` but for 16 bytes for each shingle of the block.
+    """
+    n = part.num_rows
+    docs, hashes = [], []
+    column = part.column("text")
+    lengths = [len(t.as_py() or "") for t in column] if n <= 4 * CHUNK else [PIECE] * n
+    start = 0
+    while start < n:
+        stop, total = start + 1, lengths[start]
+        while stop < n and total + lengths[stop] <= PIECE:
+            total += lengths[stop]
+            stop += 1
+        doc, h = shingles([t or "" for t in column.slice(start, stop - start).to_pylist()], k)
+        docs.append(doc + start)
+        hashes.append(h)
+        start = stop
+    doc, h = np.concatenate(docs), np.concatenate(hashes)
+    common = np.zeros((len(left), n), np.int64)
+    parts = -(-len(h) // PART) or 1
+    for p in range(parts):
+        mine = h % np.uint64(parts) == p if parts > 1 else np.ones(len(h), bool)
+        d, own = doc[mine], h[mine]
+        _, element, times = np.unique(own, return_inverse=True, return_counts=True)
+        often = times > 1
+        place = np.cumsum(often) - 1
+        used = often[element]
+        d, e = d[used], place[element[used]]
+        width = int(often.sum())
+        for c in range(0, width, COLUMNS):
+            here = (e >= c) & (e < c + COLUMNS)
+            m = np.zeros((n, min(COLUMNS, width - c)), np.float32)
+            m[d[here], e[here] - c] = 1
+            common += (m[left] @ m.T).astype(np.int64)
+    return np.bincount(doc, minlength=n), common
 
 
 def _joining(table: pa.Table, start: int, stop: int, k: int, percent: int, out: list[tuple[int, int]]) -> None:
@@ -99,25 +157,8 @@ def _joining(table: pa.Table, start: int, stop: int, k: int, percent: int, out:
     ids, side = part.column("doc").to_numpy(), part.column("side").to_numpy()
     root = dict(zip(ids.tolist(), part.column("root").to_pylist(), strict=True))
     left = np.flatnonzero(side != 1)
-    doc, h = shingles([t or "" for t in part.column("text").to_pylist()], k)
-    n = len(ids)
-    size = np.bincount(doc, minlength=n)
-    order = np.argsort(h, kind="stable")
-    new = np.diff(h[order], prepend=h[order[0]] - np.uint64(1)) != 0 if len(h) else np.zeros(0, bool)
-    element = np.empty(len(h), np.int64)
-    element[order] = np.cumsum(new) - 1
-    often = np.bincount(element) > 1 if len(h) else np.zeros(0, bool)
-    place = np.cumsum(often) - 1
-    used = often[element]
-    d, e = doc[used], place[element[used]]
-    width = int(often.sum())
-    common = np.zeros((len(left), n), np.float32)
-    for c in range(0, width, COLUMNS):
-        here = (e >= c) & (e < c + COLUMNS)
-        m = np.zeros((n, min(COLUMNS, width - c)), np.float32)
-        m[d[here], e[here] - c] = 1
-        common += m[left] @ m.T
-    x, y = np.nonzero(similar(common.astype(np.int64), size[left][:, None] + size[None, :], percent) & (size[left][:, None] > 0))
+    size, common = _common(part, left, k)
+    x, y = np.nonzero(similar(common, size[left][:, None] + size[None, :], percent) & (size[left][:, None] > 0))
     parent: dict[int, int] = {}
 
     def find(v: int) -> int:
@@ -148,13 +189,15 @@ def compare_blocks(blocks: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame) -> DataFrame:
-    """Deal rows (bucket, doc, root, first) into blocks (i, j). ``first``: the bucket's first root.
+    """Deal rows (bucket, doc, n_shingles, root, first) into blocks (i, j). ``first``: the bucket's first root.
 
     Members of other components (side 0) meet each other and all members of the first (side 1).
     """
     other = F.col("root") != F.col("first")
-    sizes = materialize(members.groupBy("bucket").agg(F.count_if(other).alias("others"), F.count_if(~other).alias("firsts")))
-    rows = join_dimension(members, sizes, ["bucket"]).withColumn("chunks", F.ceil(F.col("others") / CHUNK).cast("int"))
+    weight = 1 + F.floor(F.col("n_shingles") / HEAVY)
+    total = lambda c: F.coalesce(F.sum(F.when(c, weight)), F.lit(0))
+    sizes = materialize(members.groupBy("bucket").agg(total(other).alias("others"), total(~other).alias("firsts")))
+    rows = join_dimension(members.drop("n_shingles"), sizes, ["bucket"]).withColumn("chunks", F.ceil(F.col("others") / CHUNK).cast("int"))
     spread = lambda n: F.pmod(F.xxhash64(F.lit(3), "doc"), n).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     own = spread(F.col("chunks"))
@@ -170,34 +213,47 @@ def _blocks(members: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
-    made = materialize(signatures(docs, k, bands, rows))
-    sets = made.where("n_shingles > 0")
+    read, plain = keyed(docs)
+    made = materialize(signatures(read, k, bands, rows))
+    sets = made.where("n_shingles > 0 and doc_id is not null").dropDuplicates(["doc"]) if not plain else made.where("n_shingles > 0")
     # what joins back to the rows of hot groups is written first, so that Spark may split the join
-    first = materialize(sets.groupBy("n_shingles", "one", "two").agg(F.min("doc_id").alias("rep")))
-    equal = sets.select("doc_id", "n_shingles", "one", "two").join(first, ["n_shingles", "one", "two"])
-    equal = materialize(equal.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
-    reps = equal.where("a = b").select(F.col("a").alias("doc_id")).distinct()
-    keyed = materialize(sets.select("doc_id", F.explode("keys").alias("key")).join(reps.hint("shuffle_hash"), "doc_id", "left_semi").select("key", F.col("doc_id").alias("doc")))
-    hubs = materialize(keyed.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    near = materialize(keyed.join(hubs, "key").select("key", "doc", "hub"))
-    stars = materialize(near.where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct())
-    wanted = stars.select("a").union(stars.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(wanted.withColumnRenamed("a", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    texts = materialize(texts.groupBy("doc_id").agg(F.min("text").alias("text")))
-    pairs = stars.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = materialize(confirm(pairs, k, percent))
+    first = materialize(sets.groupBy("n_shingles", "one", "two").agg(F.min("doc").alias("rep")))
+    equal = sets.select("doc", "n_shingles", "one", "two").join(first, ["n_shingles", "one", "two"])
+    equal = materialize(equal.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
+    reps = equal.where("a = b").select(F.col("a").alias("doc"))
+    keys = materialize(sets.select("doc", F.explode("keys").alias("key")).join(reps.hint("shuffle_hash"), "doc", "left_semi").select("key", "doc"))
+    hubs = materialize(keys.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
+    near = materialize(keys.join(hubs, "key").select("key", "doc", "hub"))
+    pairs = near.where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct().unionByName(equal.where("a != b"))
+    pairs = materialize(pairs)
+    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
+    texts = read.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc", "left_semi")
+    texts = materialize(texts if plain else texts.dropDuplicates(["doc"]))
+    links = confirm(pairs, texts, k, percent)
+    if not plain:
+        same = made.where("doc_id is not null").select("doc", "doc_id").distinct()
+        links = links.unionByName(same.join(same.groupBy("doc_id").agg(F.min("doc").alias("b")), "doc_id").select(F.col("doc").alias("a"), "b").where("a != b"))
+    links = materialize(links)
     roots = components(links)
     # buckets that the links leave in several components, once for each set of members
     rooted = near.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "hub", F.coalesce("root", "doc").alias("root"))
     mark = F.xxhash64(F.lit(7), "doc").cast("decimal(38,0)")
     split = rooted.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("n"), F.sum(mark).alias("mark")).where("first != last")
     split = split.groupBy("n", "mark", "first").agg(F.min("key").alias("key")).select("key", "first")
-    members = materialize(rooted.join(split, "key").select(F.col("key").alias("bucket"), "doc", "root", "first"))
-    blocks = _blocks(members).join(texts.withColumnRenamed("doc_id", "doc"), "doc")
+    members = rooted.join(split, "key").select(F.col("key").alias("bucket"), "doc", "root", "first")
+    members = materialize(members.join(sets.select("doc", "n_shingles").hint("shuffle_hash"), "doc"))
+    blocks = _blocks(members).join(texts, "doc")
     more = materialize(compare_blocks(blocks, k, percent))
-    every = equal.where("a != b").unionByName(links).unionByName(more)
-    final = components(every).withColumnsRenamed({"node": "doc_id", "root": "component"})
-    out = made.select("doc_id", "n_shingles").join(final, "doc_id", "left")
+    if not more.isEmpty():
+        links = links.unionByName(materialize(confirm(more.distinct(), texts, k, percent)))
+        roots = components(links)
+    final = roots.select(F.col("node").alias("doc"), "root")
+    if plain:
+        final = final.withColumnRenamed("root", "component")
+    else:
+        ids = made.where("doc_id is not null").groupBy("doc").agg(F.min("doc_id").alias("component"))
+        final = final.join(ids.withColumnRenamed("doc", "root"), "root").select("doc", "component")
+    out = made.select("doc", "doc_id", "n_shingles").join(final, "doc", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

@@ -29,10 +29,16 @@ def shingle_set(text: str, k: int = 2) -> set[tuple[bytes, ...]]:
     return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
 
 
+def _ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A number for each pair (a[i], b[i]), the same for equal pairs only; less than their count."""
+    return np.unique((a << np.int64(32)) | b, return_inverse=True)[1].astype(np.int64)
+
+
 def shingles(texts: list[str], k: int = 2) -> tuple[np.ndarray, np.ndarray]:
     """Index of the text and hash of each distinct shingle, sorted by text.
 
-    Words are numbered, so that distinct shingles are told apart by their words, not by hashes.
+    Words are numbered, then pairs of neighbours, pairs of pairs, and so on, so that distinct
+    shingles are told apart by their words, not by hashes, and each is one integer, whatever k is.
     """
     number: dict[bytes, int] = defaultdict(count(1).__next__)
     flat: list[int] = []
@@ -46,24 +52,23 @@ def shingles(texts: list[str], k: int = 2) -> tuple[np.ndarray, np.ndarray]:
     if not flat:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     codes = np.array(flat, np.int64)
+    del flat
     doc = np.repeat(np.arange(len(texts)), size)
     at = np.arange(len(doc)) + (k - 1) * np.repeat(np.cumsum(size > 0) - 1, size)
-    bits = len(number).bit_length()
-    if bits * k + len(texts).bit_length() < 63:
-        key = doc
-        for j in range(k):
-            key = (key << bits) | codes[at + j]
-        key = np.sort(key)
-        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
-        columns = [(key >> (bits * (k - 1 - j))) & ((1 << bits) - 1) for j in range(k)]
-        doc = key >> (bits * k)
-    else:
-        rows = np.unique(np.stack([doc, *(codes[at + j] for j in range(k))], 1), axis=0)
-        doc, columns = rows[:, 0], [rows[:, j + 1] for j in range(k)]
+    # run: a number for the words at i .. i + width - 1; two that overlap make a longer one
+    run, width = codes, 1
+    while width < k:
+        step = min(width, k - width)
+        run, width = _ranks(run[:-step], run[step:]), width + step
+    bits = int(run.max()).bit_length()
+    order = np.argsort((doc << np.int64(bits)) | run[at]) if len(texts).bit_length() + bits < 63 else np.lexsort([run[at], doc])
+    key, doc = run[at][order], doc[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
+    at, doc = at[order[new]], doc[new]
     of_word = np.array([0x51, *map(xxhash.xxh3_64_intdigest, number)], np.uint64)
     h = np.zeros(len(doc), np.uint64)
-    for c in columns:
-        h = h * _C[0] + of_word[c]
+    for j in range(k):
+        h = h * _C[0] + of_word[codes[at + j]]
     return doc, mix(h)
 
 

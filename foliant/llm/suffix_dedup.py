@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm.anchors import WINDOW, runs
 from foliant.llm.batches import groups
+from foliant.llm.keys import keyed
 from foliant.llm.suffixes import common_prefixes, suffix_array
 from foliant.runtime import materialize
 
@@ -197,18 +198,6 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(doc, pa.int64()), pa.array(s, pa.int64())], ["w", "doc", "s"])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc, doc_id, text: ``doc`` is the id, or where ids are null or repeat, a number in their order."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    odd = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    if odd.isEmpty():
-        return rows.select(F.col("doc_id").alias("doc"), "doc_id", "text")
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    names = rows.select(F.col("doc_id").alias("d"), digest.alias("s")).distinct().repartitionByRange("d", "s").sortWithinPartitions("d", "s")
-    names = materialize(names.withColumn("doc", F.monotonically_increasing_id()))
-    return rows.join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (digest == F.col("s"))).select("doc", "doc_id", "text")
-
-
 def removed_windows(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
     """doc, lo, n of rows (doc, text): windows that start at lo .. lo + n - 1 of that text are repeats."""
     found = docs.select("doc", "text").mapInArrow(_find_runs, _RUNS)
@@ -264,7 +253,7 @@ def removed_spans(size: int, gone: list[tuple[int, int]]) -> list[tuple[int, int
 
 
 def _with_removed(docs: DataFrame, hot_runs: int) -> DataFrame:
-    rows = keyed(docs)
+    rows, _ = keyed(docs)
     per = removed_windows(rows, hot_runs).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("gone"))
     return rows.join(per.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "gone")
 

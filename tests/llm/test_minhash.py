@@ -26,7 +26,7 @@ def test_query(spark, sf_dir):
 
 
 def test_edges(spark):
-    rows = [r for r in edge_rows() if r[1] is None or len(r[1]) < 100_000]
+    rows = edge_rows()
     docs = spark.createDataFrame(rows, SCHEMA)
     got = minhash.near_duplicates(docs, k=2)
     assert got.count() == len(rows)
@@ -44,6 +44,42 @@ def test_null_ids_and_empty_tables(spark):
     assert kept.columns == none.columns and kept.where("doc_id is null").count() == 3
 
 
+def test_ids_that_repeat_are_linked_by_each_of_their_texts(spark):
+    same = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "a text that sorts first"), (1, same), (2, same + " tail"), (3, "far from all of them"), (None, same), (1, same)]
+    got = [(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True)] * 3 + [(2, 1, False), (3, 3, True), (None, None, True)], key=str)
+
+
+def test_confirming_needs_the_full_sets(spark):
+    """Candidates whose digests agree are compared by words; a hub's members come in several parts."""
+    texts = [(i, " ".join(f"w{(i // 50) * 100 + j}" for j in range(30))) for i in range(100)]
+    docs = spark.createDataFrame(texts, "doc long, text string")
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 100)], "a long, b long")
+    found = {(r.a, r.b) for r in minhash.confirm(pairs, docs, 2, 80).collect()}
+    assert found == {(i, 0) for i in range(1, 50)}
+
+
+def test_a_block_of_long_texts_is_shingled_in_bounded_parts(monkeypatch):
+    """Runs of texts and parts of hashes give what all at once gives."""
+    import pyarrow as pa
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice(["a", "b", "c", "d", "e"]) for _ in range(200)) for _ in range(60)]
+    part = pa.table({"text": texts})
+    left = np.arange(0, 60, 3)
+    size, common = minhash._common(part, left, 5)
+    sets = [shingle_set(t, 5) for t in texts]
+    assert size.tolist() == [len(s) for s in sets]
+    others = left[:, None] != np.arange(60)
+    assert (common == np.array([[len(sets[i] & s) for s in sets] for i in left]))[others].all()
+    monkeypatch.setattr(minhash, "PIECE", 1000)
+    monkeypatch.setattr(minhash, "PART", 700)
+    monkeypatch.setattr(minhash, "COLUMNS", 50)
+    again = minhash._common(part, left, 5)
+    assert (again[0] == size).all() and (again[1] == common).all()
+
+
 def near_copies(n: int, seed: int = 1) -> list[tuple[int, str]]:
     """Variants of one text that differ in some words: chains of links, pairs just below 0.8."""
     r = random.Random(seed)
