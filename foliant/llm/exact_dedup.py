@@ -3,12 +3,18 @@
 Texts are lower-cased (A-Z only) and cut into blocks of ``BLOCK`` bytes. The distinct blocks are
 sorted and numbered; neighbouring numbers are paired, the distinct pairs sorted and numbered
 again, until each text has one number. Numbers stand for contents, not for hashes of them, so
-texts of one length are equal if and only if their last numbers are.
+texts of one length are equal if and only if their last numbers are. Every document is named.
 
-Only texts that share their length and SHA-256 with another row are named: others can't have an
-equal. Each numbering is written before use, so lost executors can't change it. A group's
-largest id is found by partial aggregation and written, too: so the join back to the group's rows
-is a plain one, which Spark splits when one group holds most rows.
+A number is a bucket, given by a hash, and the place in the bucket's sorted distinct blocks. It
+depends on the blocks of the table only, not on how they are partitioned or on which executor is
+lost. Buckets hold about ``BUCKET`` blocks and are merged in every task before they are shuffled,
+so a block that a third of the texts have is sent once by each task.
+
+Rows find the numbers of their first blocks by MD5, so that contents are shuffled once; this is
+exact, as the digests of the distinct blocks are checked to differ. If two agreed, rows would be
+joined by the blocks themselves. A group's largest id is found by partial aggregation and
+written: so the join back to the group's rows is a plain one, which Spark splits when one group
+holds most rows.
 
 Null texts count as empty. Repeated rows count in ``group_size``; rows that repeat the id that
 stays all stay. A null doc_id is smaller than any other.
@@ -16,6 +22,7 @@ stays all stay. A null doc_id is smaller than any other.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame
@@ -23,9 +30,10 @@ from pyspark.sql import functions as F
 
 from foliant.runtime import materialize
 
-#: Bytes in a block of the first level.
-BLOCK = 4096
+#: Bytes in a block of the first level, and about how many distinct ones share a bucket.
+BLOCK, BUCKET = 4096, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_KEPT = ["row", "doc_id", "sha", "n"]
 
 
 def normalized(text: str | Column = "text") -> Column:
@@ -34,34 +42,42 @@ def normalized(text: str | Column = "text") -> Column:
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
-def number(rows: DataFrame, keys: list[str], into: str) -> DataFrame:
-    """Distinct ``keys``, sorted within hash partitions, each with an integer of its own; written once.
-
-    Names need not follow one order over all partitions, so no range bounds are sampled: those
-    would send whole blocks to the driver, more of them the more partitions there are.
-    """
-    names = rows.select(*keys).distinct().sortWithinPartitions(*keys)
-    return materialize(names.withColumn(into, F.monotonically_increasing_id()))
-
+def number(rows: DataFrame, key: Column, most: int, per_bucket: int = BUCKET) -> DataFrame:
+    """key, name of each distinct ``key``, of which there are at most ``most``."""
+    hashed = F.pmod(F.xxhash64("key"), F.lit(max(1, ceil(most / per_bucket))).cast("long"))
+    buckets = rows.select(key.alias("key")).groupBy(hashed.alias("bucket")).agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    placed = buckets.select("bucket", F.posexplode("keys").alias("place", "key"))
+    return placed.select("key", (F.shiftleft("bucket", 32) + F.col("place")).alias("name"))
 
-def identities(units: DataFrame, longest: int, block: int = BLOCK) -> DataFrame:
-    """(doc_id, sha, n, level, name) of rows (doc_id, sha, n, data); data is binary of n bytes.
 
-    ``longest`` is the largest n. Equal (n, name) means equal data.
-    """
+def _first_level(docs: DataFrame, block: int) -> DataFrame:
+    """row, doc_id, sha, n, blocks, i and block of every block of every row of ``docs``."""
+    data = normalized().cast("binary")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", data.alias("data"))
+    rows = rows.select("row", "doc_id", F.sha2("data", 256).alias("sha"), F.octet_length("data").alias("n"), "data")
     blocks = F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("int")
-    rows = units.select("doc_id", "sha", "n", blocks.alias("blocks"), "data", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
-    # written, since they are read twice: to be numbered, and to be joined to their numbers
-    rows = materialize(rows.select("doc_id", "sha", "n", "blocks", "i", F.substring("data", F.col("i") * block + 1, F.lit(block)).alias("block")))
-    names = number(rows, ["block"], "name")
-    rows = materialize(rows.join(names, "block").drop("block"))
-    done = [rows.where("blocks = 1").select("doc_id", "sha", "n", "name")]
-    for level in range(1, ceil(log2(max(1, ceil(longest / block)))) + 1):
+    rows = rows.select(*_KEPT, blocks.alias("blocks"), "data", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"))
+    return rows.select(*_KEPT, "blocks", "i", F.substring("data", F.col("i") * block + 1, F.lit(block)).alias("block"))
+
+
+def identities(docs: DataFrame, block: int = BLOCK, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
+    """row, doc_id, sha, n, name of every row; equal (n, name) means equal normalised text."""
+    first = _first_level(docs, block)
+    rows = materialize(first.select(*_KEPT, "blocks", "i", digest(F.col("block")).alias("digest")))
+    longest, total, many = rows.agg(F.max("blocks"), F.count("*"), F.count_if(F.col("blocks") > 1)).first()
+    # only the digests of named blocks are written, but all contents are compared to be named
+    names = materialize(number(first, F.col("block"), total).select(digest(F.col("key")).alias("digest"), "name"))
+    if not names.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        return identities(docs, block, lambda b: b)
+    rows = materialize(rows.join(names, "digest").drop("digest"))
+    done = [rows.where("blocks = 1").select(*_KEPT, "name")]
+    for _ in range(ceil(log2(longest or 1))):
         left, right = F.when(F.col("i") % 2 == 0, F.col("name")), F.when(F.col("i") % 2 == 1, F.col("name"))
-        pairs = rows.where("blocks > 1").groupBy("doc_id", "sha", "n", "blocks", F.floor(F.col("i") / 2).cast("int").alias("i")).agg(F.max(left).alias("a"), F.coalesce(F.max(right), F.lit(-1).cast("long")).alias("b"))
-        names = number(pairs, ["a", "b"], "name")
-        rows = materialize(pairs.join(names, ["a", "b"]).select("doc_id", "sha", "n", F.ceil(F.col("blocks") / 2).cast("int").alias("blocks"), "i", "name"))
-        done.append(rows.where("blocks = 1").select("doc_id", "sha", "n", "name"))
+        pairs = rows.where("blocks > 1").groupBy(*_KEPT, "blocks", F.floor(F.col("i") / 2).cast("int").alias("i")).agg(F.max(left).alias("a"), F.coalesce(F.max(right), F.lit(-1).cast("long")).alias("b"))
+        pairs = materialize(pairs, rows=many)
+        names = materialize(number(pairs, F.struct("a", "b"), many, 16 * BUCKET).select("key.*", "name"), rows=many)
+        rows = materialize(pairs.join(names, ["a", "b"]).select(*_KEPT, F.ceil(F.col("blocks") / 2).cast("int").alias("blocks"), "i", "name"), rows=many)
+        done.append(rows.where("blocks = 1").select(*_KEPT, "name"))
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
@@ -70,27 +86,10 @@ def identities(units: DataFrame, longest: int, block: int = BLOCK) -> DataFrame:
 
 def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
-    data = normalized().cast("binary")
-    slim = materialize(docs.select("doc_id", F.sha2(data, 256).alias("sha"), F.octet_length(data).alias("n")))
-    units = slim.groupBy("doc_id", "sha", "n").agg(F.count("*").alias("copies"))
-    shared = materialize(slim.groupBy("sha", "n").agg(F.count("*").alias("rows")).where("rows > 1").select("sha", "n"))
-    wanted = materialize(units.join(shared, ["sha", "n"]))
-    longest = wanted.agg(F.max("n")).first()[0]
-    plain = slim.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
-    if longest is None:
-        return plain
-    ids = wanted.select(F.col("doc_id").alias("d")).distinct()
-    texts = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d"))).select("doc_id", data.alias("data"))
-    texts = texts.select("doc_id", F.sha2("data", 256).alias("sha"), F.octet_length("data").cast("int").alias("n"), "data").dropDuplicates(["doc_id", "sha", "n"])
-    named = identities(texts, longest, block).withColumnsRenamed({"doc_id": "d", "sha": "s", "n": "m"})
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s")) & (F.col("n") == F.col("m"))
-    members = materialize(wanted.join(named, same).select("doc_id", "sha", "n", "name", "copies"))
-    groups = materialize(members.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")))
-    found = members.join(groups, ["n", "name"]).select(F.col("doc_id").alias("d"), F.col("sha").alias("s"), "keep_id", "group_size")
-    out = slim.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("sha") == F.col("s")), "left")
-    own = F.col("s").isNull()
-    keep = F.when(own, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), F.col("sha").alias("text_sha256"))
+    members = identities(docs, block)
+    groups = materialize(members.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    out = members.join(groups, ["n", "name"])
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:

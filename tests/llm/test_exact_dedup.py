@@ -33,6 +33,27 @@ def test_edges_in_small_blocks(spark):
     assert exact_dedup.classes(docs).count() == len(rows)
 
 
+def test_names_depend_on_the_blocks_only(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(edge_rows_texts())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first, other = ({r.doc_id: (r.n, r.name) for r in exact_dedup.identities(d, 64).collect()} for d in (docs, docs.repartition(9)))
+    assert first == other and len(first) == len(rows)
+
+
+def test_digests_that_agree_are_not_trusted(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, t) for i, (_, t) in enumerate(edge_rows_texts())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n, r.name) for r in exact_dedup.identities(docs, 64, digest=lambda b: F.lit("all the same")).collect()}
+    want = {r.doc_id: (r.n, r.name) for r in exact_dedup.identities(docs, 64).collect()}
+    assert got == want
+
+
+def edge_rows_texts():
+    return [(r[0], r[1]) for r in edge_rows()]
+
+
 def test_null_ids(spark):
     rows = with_nulls()
     got = Counter(map(tuple, exact_dedup.classes(spark.createDataFrame(rows, SCHEMA)).select("doc_id", "keep_id", "group_size", "kept").collect()))
