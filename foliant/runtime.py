@@ -64,10 +64,10 @@ def scratch_mark() -> int:
     return len(_scratch)
 
 
-def drop_scratch(mark: int = 0) -> None:
-    """Remove every table that ``materialize`` wrote in this process since ``scratch_mark`` gave ``mark``."""
-    while len(_scratch) > mark:
-        spark, path = _scratch.pop()
+def drop_scratch(mark: int = 0, keep: int = 0) -> None:
+    """Remove the tables that ``materialize`` wrote in this process since ``scratch_mark`` gave ``mark``, but for the last ``keep``."""
+    while len(_scratch) > mark + keep:
+        spark, path = _scratch.pop(-1 - keep)
         try:
             jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)
