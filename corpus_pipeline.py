@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, exact_dedup, minhash, mixing, quality
 from foliant.llm.queries import vocabulary
-from foliant.runtime import materialize, ship, table
+from foliant.runtime import drop_scratch, materialize, scratch_mark, ship, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
+        mark = scratch_mark()
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialize(docs)
+            drop_scratch(mark, keep=1)  # the stage's own tables; what it returned stays
     return docs
