@@ -20,8 +20,8 @@ PACKAGE = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
 
 #: A side of a join with more rows than this is never broadcast by hand.
 BROADCAST_ROWS = 20_000
-#: Rows of a task that writes a table whose size is known.
-TASK_ROWS = 50_000
+#: Rows or bytes of a task that writes a table whose size is known.
+TASK_ROWS, TASK_BYTES = 100_000, 16_000_000
 
 _scratch: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
@@ -43,18 +43,31 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialize(df: DataFrame, partitions: Sequence[str] = (), rows: int | None = None) -> DataFrame:
+def compacted(df: DataFrame, like: DataFrame) -> DataFrame:
+    """``df`` in no more partitions than the bytes of ``like`` need, and two for each core at least.
+
+    Many small files cost more than they hold. ``like`` is the table that ``df`` is made of; where
+    Catalyst overestimates its size, the partitions stay as they are.
+    """
+    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)) if size < 1 << 50 else 1 << 30)
+
+
+def materialize(df: DataFrame, partitions: Sequence[str] = (), rows: int | None = None, like: DataFrame | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet under the shared folder and read it back.
 
     Unlike ``checkpoint()`` this computes the plan once, and the copy survives lost executors.
-    ``rows``, where it is known, is the most rows that ``df`` can have: tasks, and so files, are then
-    as many as these rows need. The files go when the driver ends, or with ``drop_scratch``.
+    ``rows``, where it is known, is the most rows that ``df`` can have, ``like`` a table that is as
+    large: tasks, and so files, are then as many as these need. The files go when the driver
+    ends, or with ``drop_scratch``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     if rows is not None:
         df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
+    if like is not None:
+        df = compacted(df, like)
     df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
