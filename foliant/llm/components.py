@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 from foliant.runtime import materialize
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root of rows (a, b): for each node that isn't the smallest it can reach, the smallest one."""
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """node, root of rows (a, b): for each node that isn't the smallest it can reach, the smallest one.
+
+    ``most``: no fewer than the edges, where that is known.
+    """
     low, high = F.least("a", "b"), F.greatest("a", "b")
-    edges = materialize(edges.where("a != b").select(high.alias("a"), low.alias("b")).distinct())
+    edges = materialize(edges.where("a != b").select(high.alias("a"), low.alias("b")).distinct(), rows=most)
     labels, labelled = None, 0
     while n := edges.count():
         hooks = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")), rows=n)

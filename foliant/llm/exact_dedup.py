@@ -28,7 +28,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.runtime import materialize
+from foliant.runtime import compacted, materialize
 
 #: Bytes in a block of the first level, and about how many distinct ones share a bucket.
 BLOCK, BUCKET = 4096, 64
@@ -63,13 +63,13 @@ def _first_level(docs: DataFrame, block: int) -> DataFrame:
 def identities(docs: DataFrame, block: int = BLOCK, digest: Callable[[Column], Column] = F.md5) -> DataFrame:
     """row, doc_id, sha, n, name of every row; equal (n, name) means equal normalised text."""
     first = _first_level(docs, block)
-    rows = materialize(first.select(*_KEPT, "blocks", "i", digest(F.col("block")).alias("digest")))
+    rows = materialize(first.select(*_KEPT, "blocks", "i", digest(F.col("block")).alias("digest")), like=docs)
     longest, total, many = rows.agg(F.max("blocks"), F.count("*"), F.count_if(F.col("blocks") > 1)).first()
     # only the digests of named blocks are written, but all contents are compared to be named
-    names = materialize(number(first, F.col("block"), total).select(digest(F.col("key")).alias("digest"), "name"))
+    names = materialize(number(first, F.col("block"), total).select(digest(F.col("key")).alias("digest"), "name"), rows=total)
     if not names.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
         return identities(docs, block, lambda b: b)
-    rows = materialize(rows.join(names, "digest").drop("digest"))
+    rows = materialize(rows.join(names, "digest").drop("digest"), rows=total)
     done = [rows.where("blocks = 1").select(*_KEPT, "name")]
     for _ in range(ceil(log2(longest or 1))):
         left, right = F.when(F.col("i") % 2 == 0, F.col("name")), F.when(F.col("i") % 2 == 1, F.col("name"))
@@ -87,7 +87,7 @@ def identities(docs: DataFrame, block: int = BLOCK, digest: Callable[[Column], C
 def classes(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     members = identities(docs, block)
-    groups = materialize(members.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
+    groups = materialize(members.groupBy("n", "name").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), rows=members.count())
     out = members.join(groups, ["n", "name"])
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
@@ -96,7 +96,7 @@ def drop_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows are told apart by id and text."""
     gone = classes(docs, block).where("not kept").select(F.col("doc_id").alias("__d"), F.col("text_sha256").alias("__s")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.sha2(normalized().cast("binary"), 256) == F.col("__s"))
-    return docs.join(gone.hint("shuffle_hash"), same, "left_anti")
+    return compacted(docs.join(gone.hint("shuffle_hash"), same, "left_anti"), docs)
 
 
 ORACLE = """

@@ -35,7 +35,7 @@ from foliant.llm.batches import bounds, groups
 from foliant.llm.components import components
 from foliant.llm.keys import keyed
 from foliant.llm.minhash_sets import band_keys, one_permutation, set_digests, shingle_set, shingles
-from foliant.runtime import join_dimension, materialize
+from foliant.runtime import compacted, join_dimension, materialize
 
 BANDS, ROWS = 32, 6
 #: Characters that are hashed together, and documents on each side of a compared block.
@@ -86,9 +86,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
 
     A hub b meets its members in groups of about ``MEMBERS``; its text comes once for each group.
     """
-    sizes = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("parts")).where("parts > 1"))
+    most = pairs.count()
+    sizes = materialize(pairs.groupBy("b").agg(F.ceil(F.count("*") / MEMBERS).alias("parts")).where("parts > 1"), rows=most)
     dealt = join_dimension(pairs, sizes, ["b"], "left")
-    dealt = materialize(dealt.select("b", F.pmod(F.xxhash64(F.lit(11), "a"), F.coalesce("parts", F.lit(1))).alias("part"), "a"))
+    dealt = materialize(dealt.select("b", F.pmod(F.xxhash64(F.lit(11), "a"), F.coalesce("parts", F.lit(1))).alias("part"), "a"), rows=most)
     rows = dealt.select("b", "part", F.lit(1).alias("side"), F.col("a").alias("doc")).unionByName(dealt.select("b", "part", F.lit(0).alias("side"), F.col("b").alias("doc")).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +197,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     other = F.col("root") != F.col("first")
     weight = 1 + F.floor(F.col("n_shingles") / HEAVY)
     total = lambda c: F.coalesce(F.sum(F.when(c, weight)), F.lit(0))
-    sizes = materialize(members.groupBy("bucket").agg(total(other).alias("others"), total(~other).alias("firsts")))
+    sizes = materialize(members.groupBy("bucket").agg(total(other).alias("others"), total(~other).alias("firsts")), rows=members.count())
     rows = join_dimension(members.drop("n_shingles"), sizes, ["bucket"]).withColumn("chunks", F.ceil(F.col("others") / CHUNK).cast("int"))
     spread = lambda n: F.pmod(F.xxhash64(F.lit(3), "doc"), n).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
@@ -214,39 +215,41 @@ def _blocks(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document."""
     read, plain = keyed(docs)
-    made = materialize(signatures(read, k, bands, rows))
+    made = materialize(signatures(read, k, bands, rows), like=docs)
+    n = made.count()
     sets = made.where("n_shingles > 0 and doc_id is not null").dropDuplicates(["doc"]) if not plain else made.where("n_shingles > 0")
     # what joins back to the rows of hot groups is written first, so that Spark may split the join
-    first = materialize(sets.groupBy("n_shingles", "one", "two").agg(F.min("doc").alias("rep")))
+    first = materialize(sets.groupBy("n_shingles", "one", "two").agg(F.min("doc").alias("rep")), rows=n)
     equal = sets.select("doc", "n_shingles", "one", "two").join(first, ["n_shingles", "one", "two"])
-    equal = materialize(equal.select(F.col("doc").alias("a"), F.col("rep").alias("b")))
+    equal = materialize(equal.select(F.col("doc").alias("a"), F.col("rep").alias("b")), rows=n)
     reps = equal.where("a = b").select(F.col("a").alias("doc"))
-    keys = materialize(sets.select("doc", F.explode("keys").alias("key")).join(reps.hint("shuffle_hash"), "doc", "left_semi").select("key", "doc"))
-    hubs = materialize(keys.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    near = materialize(keys.join(hubs, "key").select("key", "doc", "hub"))
+    keys = materialize(sets.select("doc", F.explode("keys").alias("key")).join(reps.hint("shuffle_hash"), "doc", "left_semi").select("key", "doc"), rows=n * bands)
+    hubs = materialize(keys.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), rows=n * bands)
+    near = materialize(keys.join(hubs, "key").select("key", "doc", "hub"), rows=n * bands)
     pairs = near.where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct().unionByName(equal.where("a != b"))
-    pairs = materialize(pairs)
+    pairs = materialize(pairs, rows=near.count() + n)
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     texts = read.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc", "left_semi")
-    texts = materialize(texts if plain else texts.dropDuplicates(["doc"]))
+    texts = materialize(texts if plain else texts.dropDuplicates(["doc"]), like=docs)
     links = confirm(pairs, texts, k, percent)
     if not plain:
         same = made.where("doc_id is not null").select("doc", "doc_id").distinct()
         links = links.unionByName(same.join(same.groupBy("doc_id").agg(F.min("doc").alias("b")), "doc_id").select(F.col("doc").alias("a"), "b").where("a != b"))
-    links = materialize(links)
-    roots = components(links)
+    links = materialize(links, rows=pairs.count() + n)
+    roots = components(links, links.count())
     # buckets that the links leave in several components, once for each set of members
     rooted = near.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "hub", F.coalesce("root", "doc").alias("root"))
     mark = F.xxhash64(F.lit(7), "doc").cast("decimal(38,0)")
     split = rooted.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("n"), F.sum(mark).alias("mark")).where("first != last")
     split = split.groupBy("n", "mark", "first").agg(F.min("key").alias("key")).select("key", "first")
     members = rooted.join(split, "key").select(F.col("key").alias("bucket"), "doc", "root", "first")
-    members = materialize(members.join(sets.select("doc", "n_shingles").hint("shuffle_hash"), "doc"))
+    members = materialize(members.join(sets.select("doc", "n_shingles").hint("shuffle_hash"), "doc"), rows=near.count())
     blocks = _blocks(members).join(texts, "doc")
-    more = materialize(compare_blocks(blocks, k, percent))
+    more = materialize(compare_blocks(blocks, k, percent), like=docs)
     if not more.isEmpty():
-        links = links.unionByName(materialize(confirm(more.distinct(), texts, k, percent)))
-        roots = components(links)
+        found = materialize(more.distinct(), rows=more.count())
+        links = links.unionByName(materialize(confirm(found, texts, k, percent), rows=found.count()))
+        roots = components(links, links.count())
     final = roots.select(F.col("node").alias("doc"), "root")
     if plain:
         final = final.withColumnRenamed("root", "component")
@@ -261,4 +264,4 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each group stays, with all columns; of repeated rows of it, all."""
     gone = near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    return compacted(docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti"), docs)

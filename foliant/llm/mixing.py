@@ -21,16 +21,20 @@ depend on the rows and ``seed`` only, not on how they are partitioned.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.runtime import join_dimension, materialize
+from foliant.runtime import compacted, join_dimension, materialize
 
 BLOCK, SHARD_SLOTS, ROUNDS = 512, 1024, 24
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
 _CHUNK = 1024
+#: Output slots that a task makes.
+SLOTS_A_TASK = 16 * _CHUNK
 
 
 def size(text: str = "text") -> Column:
@@ -97,7 +101,9 @@ def slots(planned: DataFrame, seed: int, block: int = BLOCK, shard_slots: int =
     rows = planned.where("slots > 0").withColumn("shards", F.ceil(total / shard_slots).cast("long"))
     rows = rows.select("key", "full", "tail", "blocks", "passes", "part", "slots", "shards", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / chunk).cast("long"))).alias("a"))
     rows = rows.repartition("key", "a").withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(_CHUNK - 1).cast("long"), F.floor((F.col("slots") - 1 - F.col("a") * chunk) / _CHUNK).cast("long")))))
-    rows = rows.repartition("key", "a", "b")
+    # by an explicit number: a few rows here become very many
+    tasks = max(1, ceil((planned.agg(F.sum("slots")).first()[0] or 0) / SLOTS_A_TASK))
+    rows = rows.repartition(tasks, "key", "a", "b")
     first = F.col("a") * chunk + F.col("b") * _CHUNK
     rows = rows.withColumn("slot", F.explode(F.sequence(first, F.least(first + (_CHUNK - 1), F.col("slots") - 1)))).drop("a", "b")
     rows = rows.withColumns({"pass": F.floor(F.col("slot") / F.col("blocks")).cast("long"), "j": F.col("slot") % F.col("blocks")})
@@ -131,8 +137,8 @@ def _pieces(rows: DataFrame, block: int) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, seed: int = 42, block: int = BLOCK) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every row of ``docs``."""
-    sizes = materialize(docs.select("doc_id", "source", size().alias("size")))
-    sources = materialize(plan(targets(sizes, weights, most), block))
+    sizes = materialize(docs.select("doc_id", "source", size().alias("size")), like=docs)
+    sources = materialize(plan(targets(sizes, weights, most), block), rows=sizes.count())
     rows = placed(sizes, sources, seed)
     part = F.col("words") < F.when(F.col("block_no") >= F.col("full"), F.col("tail")).otherwise(F.lit(block))
     taken = join_dimension(slots(sources, seed, block), sources.select("key", "full", "tail"), ["key"])
@@ -161,10 +167,12 @@ def mix_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: f
     """Whole documents, each as often as the mix takes its words: rows of ``docs``, some repeated.
 
     The part of a document that is taken less often than the rest is rounded by a hash of its id.
+    Rows that repeat both id and source share what the mix takes of them.
     """
-    per = mix(docs, weights, most, seed, block).groupBy("doc_id").agg(F.sum("size").alias("__z"), F.sum("taken").alias("__t"))
+    per = mix(docs, weights, most, seed, block).groupBy("doc_id", "source").agg(F.sum("size").alias("__z"), F.sum("taken").alias("__t"))
     rest = (F.col("__t") % F.col("__z")) / F.col("__z")
     chance = F.pmod(F.xxhash64(F.lit(seed), F.lit("copy"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     times = (F.floor(F.col("__t") / F.col("__z")) + F.when(chance < rest, 1).otherwise(0)).cast("int")
-    times = per.where("__t > 0").select(F.col("doc_id").alias("__d"), times.alias("__times")).where("__times > 0")
-    return docs.join(times, F.col("doc_id").eqNullSafe(F.col("__d"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    times = per.where("__t > 0").select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), times.alias("__times")).where("__times > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s"))
+    return compacted(docs.join(times, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns), docs)
