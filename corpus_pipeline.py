@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import bpe, exact_dedup, minhash, mixing, quality
 from foliant.llm.queries import vocabulary
-from foliant.runtime import drop_scratch, materialize, scratch_mark, ship, table
+from foliant.runtime import compacted, drop_scratch, materialize, scratch_mark, ship, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -17,7 +17,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier accepts; it learns from the labelled ones."""
     ship(spark)
     forest = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, forest, "__score").where("__score >= 0.5").select(*docs.columns)
+    return compacted(quality.score(docs, forest, "__score").where("__score >= 0.5").select(*docs.columns), docs)
 
 
 def one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def weighted_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, number and digest of the token ids, and digest of the text they decode to."""
     ship(spark)
-    return bpe.digests(docs, vocabulary())
+    return compacted(bpe.digests(docs, vocabulary()), docs)
 
 
 STAGES: list[tuple[str, Stage]] = [
