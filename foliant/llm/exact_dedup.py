@@ -66,7 +66,7 @@ def identities(docs: DataFrame, block: int = BLOCK, digest: Callable[[Column], C
     rows = materialize(first.select(*_KEPT, "blocks", "i", digest(F.col("block")).alias("digest")), like=docs)
     longest, total, many = rows.agg(F.max("blocks"), F.count("*"), F.count_if(F.col("blocks") > 1)).first()
     # only the digests of named blocks are written, but all contents are compared to be named
-    names = materialize(number(first, F.col("block"), total).select(digest(F.col("key")).alias("digest"), "name"), rows=total)
+    names = materialize(number(first, F.col("block"), total).select(digest(F.col("key")).alias("digest"), "name"), like=docs)
     if not names.groupBy("digest").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
         return identities(docs, block, lambda b: b)
     rows = materialize(rows.join(names, "digest").drop("digest"), rows=total)
