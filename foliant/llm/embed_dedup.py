@@ -1,17 +1,19 @@
 """Embedding near-dedup with randomised-rotation binary codes and their correction factors.
 
-Vectors are scaled to length 1, rotated at random, and their signs kept as a code, together with
-the correction <code, vector>. For a rotated vector x and a code c with correction f, <x, c> / f
-estimates the cosine without bias, and its error is at most SIGMAS * sqrt((1 - f^2) / f^2 / (D - 1))
-but with negligible probability. Only pairs whose upper bound reaches the threshold are
+Vectors are scaled to length 1 and rotated at random. Stored of each, once: the signs as a binary
+code c, the correction factor f = <c, x>, and the components in 4 bits. For a vector x and the code
+of another one, <x, c> / f estimates their cosine without bias, and its error is at most
+SIGMAS * sqrt((1 - f^2) / f^2 / (D - 1)) but with negligible probability; what the 4 bits add to it is
+bounded for certain. Only pairs for which the bounds of both directions reach the threshold are
 recomputed, in double precision.
 
 Pairs meet in tables of buckets, keyed by some bits of further rotations. The number of bits
 grows with the number of vectors, so that buckets keep their mean size, and the number of tables
-such that a pair at the threshold shares no bucket with a probability of ``MISS``. Equal vectors
-are one class beforehand. Buckets of more than ``CHUNK`` classes are compared in blocks; blocks
-give counts and the edges that join components, never all pairs. A pair that meets in several
-tables counts in the first one.
+such that a pair at the threshold shares no bucket with a probability of ``MISS``. First only the
+codes are dealt to the buckets; vectors follow for those members of a bucket that have a pair within
+the bounds. Equal vectors are one class beforehand. Buckets of more than ``CHUNK`` classes are
+compared in blocks; blocks give members, counts and the edges that join components, never all
+pairs. A pair that meets in several tables counts in the first one.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, and
 so do vectors of different lengths. Rows that repeat a vec_id are vectors of their own.
@@ -58,87 +60,138 @@ def units(rows: list) -> np.ndarray:
 
 def plan(n: int, cosine: float) -> tuple[int, int]:
     """Bits of a bucket key, and number of tables, for n vectors."""
-    bits = int(min(24, max(2, round(log2(max(2, n) / BUCKET)))))
+    bits = max(2, round(log2(max(2, n) / BUCKET)))
     same = 1 - acos(cosine) / pi
     return bits, ceil(log(MISS) / log(1 - same**bits))
 
 
-def codes(classes: DataFrame, bits: int, tables: int, seed: int = 7) -> DataFrame:
-    """Adds to rows (rep, copies, embedding) the bucket keys of all tables."""
+def bucket_keys(x: np.ndarray, bits: int, tables: int, seed: int = 7) -> np.ndarray:
+    """The bucket of each unit vector in each table."""
+    d = x.shape[1]
+    signs = x @ rotation(d, tables * bits, seed + 1) > 0
+    return signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits)) + (d << bits)
+
+
+def encoded(x: np.ndarray, seed: int = 7) -> np.ndarray:
+    """A row of bytes for each unit vector: signs, 4-bit components, and factor, low and step as float32."""
+    d = x.shape[1]
+    y = x @ rotation(d, d, seed)
+    factor = np.abs(y).sum(1) / np.sqrt(d)
+    low = y.min(1)
+    step = np.maximum((y.max(1) - low) / 15, 1e-30)
+    q = np.rint((y - low[:, None]) / step[:, None]).clip(0, 15).astype(np.uint8)
+    q = np.concatenate([q, np.zeros((len(x), d % 2), np.uint8)], 1)
+    tail = np.stack([factor, low, step], 1).astype(np.float32).view(np.uint8)
+    return np.concatenate([np.packbits(y > 0, axis=1), q[:, ::2] << 4 | q[:, 1::2], tail], 1)
+
+
+def within_bounds(code: np.ndarray, d: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes i < j of codes whose estimates may belong to vectors with at least this cosine."""
+    c, q = -(-d // 8), -(-d // 2)
+    sign = np.unpackbits(code[:, :c], axis=1, count=d).astype(np.float32) * 2 - 1
+    packed = code[:, c : c + q]
+    factor, low, step = np.ascontiguousarray(code[:, c + q :]).view(np.float32).T
+    y = np.stack([packed >> 4, packed & 15], 2).reshape(len(code), -1)[:, :d] * step[:, None] + low[:, None]
+    estimate = y @ (sign.T / (np.sqrt(d) * factor).astype(np.float32))
+    spread = SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / max(1, d - 1))
+    rounded = step[:, None] / 2 * np.sqrt(d) / factor
+    may = estimate + spread + rounded + 1e-4 >= cosine
+    return np.nonzero(np.triu(may & may.T, 1))
+
+
+def codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
+    """rep, copies, code and keys (the buckets in all tables) of rows (rep, copies, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = 1 << np.arange(bits)
         for batch in batches:
             rows = batch.column("embedding").to_pylist()
             sizes = np.array([len(r) for r in rows])
-            keys = np.zeros((len(rows), tables), np.int64)
+            keys, code = np.zeros((len(rows), tables), np.int64), [b""] * len(rows)
             for d in np.unique(sizes):
                 own = np.flatnonzero(sizes == d)
                 x = units([rows[i] for i in own])
-                signs = x @ rotation(int(d), tables * bits, seed + 1) > 0
-                keys[own] = signs.reshape(len(own), tables, bits) @ weights + (int(d) << bits)
+                keys[own] = bucket_keys(x, bits, tables)
+                for i, c in zip(own.tolist(), encoded(x), strict=True):
+                    code[i] = c.tobytes()
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("embedding"), lists], ["rep", "copies", "embedding", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(code, pa.binary()), lists], ["rep", "copies", "code", "keys"])
 
-    kind = dict(classes.dtypes)["embedding"]
-    return classes.select("rep", "copies", "embedding").mapInArrow(run, f"rep long, copies long, embedding {kind}, keys array<long>")
+    return classes.select("rep", "copies", "embedding").mapInArrow(run, "rep long, copies long, code binary, keys array<long>")
 
 
-def similar_pairs(x: np.ndarray, cosine: float, seed: int = 7) -> tuple[np.ndarray, np.ndarray, int]:
-    """Indexes i < j of unit vectors with at least this cosine, and how many pairs were recomputed."""
-    d = x.shape[1]
-    y = x @ rotation(d, d, seed)
-    code = np.where(y > 0, 1.0, -1.0) / np.sqrt(d)
-    factor = (y * code).sum(1)
-    bound = SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / max(1, d - 1))
-    estimate = y @ code.T / factor
-    i, j = np.nonzero(np.triu(estimate + bound >= cosine, 1))
-    dots = np.einsum("ij,ij->i", x[i], x[j])
-    keep = dots >= cosine
-    return i[keep], j[keep], len(i)
+_BLOCK = ["t", "key", "i", "j"]
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int, np.ndarray]]:
+    """Blocks of at least two members: table, start, stop and the members' codes."""
+    for table in groups(batches, _BLOCK):
+        table = table.combine_chunks()
+        cuts = bounds(table, _BLOCK)
+        code = table.column("code").chunk(0)
+        at = np.frombuffer(code.buffers()[1], np.int32, len(code) + 1, code.offset * 4)
+        data = np.frombuffer(code.buffers()[2], np.uint8)
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if e - s > 1:
+                yield table, s, e, data[at[s] : at[e]].reshape(e - s, -1)
+
+
+def _pairs(table: pa.Table, s: int, e: int, code: np.ndarray, bits: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block within the bounds; in a block of two chunks only those between them."""
+    i, j = within_bounds(code, table.column("key")[s].as_py() >> bits, cosine)
+    if table.column("i")[s] != table.column("j")[s]:
+        chunk = table.column("chunk").slice(s, e - s).to_numpy()
+        cross = chunk[i] != chunk[j]
+        i, j = i[cross], j[cross]
+    return i, j
+
+
+def _candidates(cosine: float, bits: int):
+    """The members of blocks that have a pair within the bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, s, e, code in _blocks(batches):
+            i, j = _pairs(table, s, e, code, bits, cosine)
+            if len(i):
+                yield table.slice(s, e - s).take(pa.array(np.unique(np.concatenate([i, j])))).combine_chunks().to_batches()[0]
+
+    return run
 
 
-def _compare(cosine: float):
-    keys = ["t", "key", "i", "j"]
+def _compare(cosine: float, bits: int, tables: int):
+    """Counts of links (a, null, n) and edges (a, b, 0) that join components, for each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, keys):
-            cuts = bounds(table, keys)
-            t, bi, bj = (table.column(c).to_numpy() for c in ("t", "i", "j"))
-            rep, copies, chunk = (table.column(c).to_numpy() for c in ("rep", "copies", "chunk"))
-            rows, all_keys = table.column("embedding").to_pylist(), table.column("keys").combine_chunks()
-            all_keys = all_keys.flatten().to_numpy().reshape(len(rep), -1)
-            a, b, n = [], [], []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e - s < 2:
-                    continue
-                i, j, _ = similar_pairs(units(rows[s:e]), cosine)
-                if bi[s] != bj[s]:
-                    cross = chunk[s + i] != chunk[s + j]
-                    i, j = i[cross], j[cross]
-                if not len(i):
-                    continue
-                first = (all_keys[s + i] == all_keys[s + j]).argmax(1) == t[s]
-                i, j = s + i[first], s + j[first]
-                counts = np.bincount(i - s, copies[j], e - s) + np.bincount(j - s, copies[i], e - s)
-                has = np.flatnonzero(counts)
-                a += rep[s + has].tolist()
-                b += [None] * len(has)
-                n += counts[has].astype(np.int64).tolist()
-                parent: dict[int, int] = {}
-
-                def find(v: int, parent: dict[int, int] = parent) -> int:
-                    while parent.get(v, v) != v:
-                        parent[v] = v = parent.get(parent[v], parent[v])
-                    return v
-
-                for x, y in zip(rep[i].tolist(), rep[j].tolist(), strict=True):
-                    p, q = find(x), find(y)
-                    if p != q:
-                        parent[max(p, q)] = min(p, q)
-                        a.append(x)
-                        b.append(y)
-                        n.append(0)
+        for table, s, e, code in _blocks(batches):
+            i, j = _pairs(table, s, e, code, bits, cosine)
+            if not len(i):
+                continue
+            part = table.slice(s, e - s)
+            x = units(part.column("embedding").to_pylist())
+            keep = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+            i, j = i[keep], j[keep]
+            if not len(i):
+                continue
+            keys = bucket_keys(x, bits, tables)
+            first = (keys[i] == keys[j]).argmax(1) == part.column("t")[0].as_py()
+            i, j = i[first], j[first]
+            rep, copies = part.column("rep").to_numpy(), part.column("copies").to_numpy()
+            counts = np.bincount(i, copies[j], e - s) + np.bincount(j, copies[i], e - s)
+            has = np.flatnonzero(counts)
+            a, b, n = rep[has].tolist(), [None] * len(has), counts[has].astype(np.int64).tolist()
+            parent: dict[int, int] = {}
+
+            def find(v: int, parent: dict[int, int] = parent) -> int:
+                while parent.get(v, v) != v:
+                    parent[v] = v = parent.get(parent[v], parent[v])
+                return v
+
+            for x, y in zip(rep[i].tolist(), rep[j].tolist(), strict=True):
+                p, q = find(x), find(y)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    a.append(x)
+                    b.append(y)
+                    n.append(0)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], ["a", "b", "n"])
 
     return run
@@ -153,20 +206,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     classes = rows.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes.withColumn("cls", F.monotonically_increasing_id()))
     member = materialize(rows.join(classes, "embedding").select("vec_id", "cls"))
-    bits, tables = plan(classes.count(), cosine)
-    coded = materialize(codes(classes.select(F.col("cls").alias("rep"), "copies", "embedding"), bits, tables))
+    n = classes.count()
+    bits, tables = plan(n, cosine)
+    coded = materialize(codes(classes.select(F.col("cls").alias("rep"), "copies", "embedding"), bits, tables), like=classes)
     slim = coded.select("rep", F.posexplode("keys").alias("t", "key"))
     sizes = slim.groupBy("t", "key").agg(F.count("*").alias("size")).where("size > 1")
     met = slim.join(sizes, ["t", "key"]).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
     met = met.withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "rep"), "chunks").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("t", "key", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"), "chunk", "rep")
-    block = ["t", "key", "i", "j"]
-    dealt = met.join(coded, "rep").repartition(*block).sortWithinPartitions(*block, "rep")
-    found = materialize(dealt.mapInArrow(_compare(cosine), "a long, b long, n long"))
+    deal = lambda df: df.repartition(*_BLOCK).sortWithinPartitions(*_BLOCK, "rep")
+    member_of = "t int, key long, i int, j int, chunk int, rep long, copies long, code binary"
+    likely = materialize(deal(met.join(coded.drop("keys"), "rep").select(*_BLOCK, "chunk", "rep", "copies", "code")).mapInArrow(_candidates(cosine, bits), member_of))
+    vectors_of = classes.select(F.col("cls").alias("rep"), "embedding")
+    found = materialize(deal(likely.join(vectors_of, "rep")).mapInArrow(_compare(cosine, bits, tables), "a long, b long, n long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("others"))
     roots = components(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "cls")
     nodes = classes.select("cls", "rep", "copies").join(counts, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    nodes = materialize(nodes)
+    nodes = materialize(nodes, rows=n)
     lowest = nodes.groupBy("root").agg(F.min("rep").alias("c"))
     nodes = nodes.join(lowest, "root").select("cls", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), "c")
     per = member.join(nodes, "cls").select(F.col("vec_id").alias("v"), "n", "c")
