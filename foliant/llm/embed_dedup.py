@@ -1,10 +1,11 @@
 """Embedding near-dedup with randomised-rotation binary codes and their correction factors.
 
-Vectors are scaled to length 1 and rotated at random. Stored of each, once: the signs as a binary
-code c, the correction factor f = <c, x>, and the components in 4 bits. For a vector x and the code
-of another one, <x, c> / f estimates their cosine without bias, and its error is at most
-SIGMAS * sqrt((1 - f^2) / f^2 / (D - 1)) but with negligible probability; what the 4 bits add to it is
-bounded for certain. Only pairs for which the bounds of both directions reach the threshold are
+Vectors are scaled to length 1 and rotated at random, short ones several times, so that a code has
+about ``CODE_BITS`` bits or more. Stored of each vector x, once: the signs as a binary code c, scaled
+to length 1; the correction factor f = <c, x>; how far c strays from x, as a spread; and the components
+of x in 4 bits. For any x and the code of y, <x, c> / f estimates their cosine without bias, and it errs by
+at most ``SIGMAS`` spreads but with negligible probability; what the 4 bits add to the error is bounded
+for certain. Only pairs for which the bounds of both directions reach the threshold are
 recomputed, in double precision.
 
 Pairs meet in tables of buckets, keyed by some bits of further rotations. The number of bits
@@ -26,6 +27,7 @@ from math import acos, ceil, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +35,7 @@ from foliant.llm.batches import bounds, groups
 from foliant.llm.components import components
 from foliant.runtime import materialize
 
-SIGMAS, MISS, CHUNK, BUCKET = 6.0, 1e-5, 512, 64
+SIGMAS, MISS, CHUNK, BUCKET, CODE_BITS = 6.0, 1e-5, 512, 64, 256
 
 _rotations: dict[tuple, np.ndarray] = {}
 
@@ -51,7 +53,7 @@ def rotation(dim: int, columns: int, seed: int) -> np.ndarray:
     return _rotations[key]
 
 
-def units(rows: list) -> np.ndarray:
+def units(rows: list | np.ndarray) -> np.ndarray:
     """Rows of one length, scaled to length 1; the largest component is divided out first."""
     x = np.array(rows, np.float64)
     x /= np.abs(x).max(1, keepdims=True)
@@ -72,48 +74,67 @@ def bucket_keys(x: np.ndarray, bits: int, tables: int, seed: int = 7) -> np.ndar
     return signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits)) + (d << bits)
 
 
-def encoded(x: np.ndarray, seed: int = 7) -> np.ndarray:
-    """A row of bytes for each unit vector: signs, 4-bit components, and factor, low and step as float32."""
+def _directions(d: int, seed: int = 7) -> np.ndarray:
+    """The directions whose signs make a code, scaled such that they keep lengths: d rows."""
+    times = -(-CODE_BITS // d)
+    return rotation(d, d * times, seed) / np.sqrt(times)
+
+
+def encoded(x: np.ndarray) -> np.ndarray:
+    """A row of bytes for each unit vector: signs, 4-bit components, and factor, spread, low and step as float32."""
     d = x.shape[1]
-    y = x @ rotation(d, d, seed)
-    factor = np.abs(y).sum(1) / np.sqrt(d)
-    low = y.min(1)
-    step = np.maximum((y.max(1) - low) / 15, 1e-30)
-    q = np.rint((y - low[:, None]) / step[:, None]).clip(0, 15).astype(np.uint8)
+    r = _directions(d)
+    y = x @ r
+    code = np.where(y > 0, 1.0, -1.0) / np.sqrt(y.shape[1])
+    factor = (y * code).sum(1)
+    stray = np.linalg.norm(code @ r.T - factor[:, None] * x, axis=1)
+    spread = stray / factor / np.sqrt(max(1, d - 1))
+    low = x.min(1)
+    step = np.maximum((x.max(1) - low) / 15, 1e-30)
+    q = np.rint((x - low[:, None]) / step[:, None]).clip(0, 15).astype(np.uint8)
     q = np.concatenate([q, np.zeros((len(x), d % 2), np.uint8)], 1)
-    tail = np.stack([factor, low, step], 1).astype(np.float32).view(np.uint8)
+    tail = np.stack([factor, spread, low, step], 1).astype(np.float32).view(np.uint8)
     return np.concatenate([np.packbits(y > 0, axis=1), q[:, ::2] << 4 | q[:, 1::2], tail], 1)
 
 
 def within_bounds(code: np.ndarray, d: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Indexes i < j of codes whose estimates may belong to vectors with at least this cosine."""
-    c, q = -(-d // 8), -(-d // 2)
-    sign = np.unpackbits(code[:, :c], axis=1, count=d).astype(np.float32) * 2 - 1
+    r = _directions(d).astype(np.float32)
+    bits = r.shape[1]
+    c, q = -(-bits // 8), -(-d // 2)
+    sign = np.unpackbits(code[:, :c], axis=1, count=bits).astype(np.float32) * 2 - 1
     packed = code[:, c : c + q]
-    factor, low, step = np.ascontiguousarray(code[:, c + q :]).view(np.float32).T
-    y = np.stack([packed >> 4, packed & 15], 2).reshape(len(code), -1)[:, :d] * step[:, None] + low[:, None]
-    estimate = y @ (sign.T / (np.sqrt(d) * factor).astype(np.float32))
-    spread = SIGMAS * np.sqrt(np.maximum(0, 1 - factor**2) / factor**2 / max(1, d - 1))
+    factor, spread, low, step = np.ascontiguousarray(code[:, c + q :]).view(np.float32).T
+    x = np.stack([packed >> 4, packed & 15], 2).reshape(len(code), -1)[:, :d] * step[:, None] + low[:, None]
+    estimate = (x @ r) @ (sign.T / (np.sqrt(bits) * factor).astype(np.float32))
     rounded = step[:, None] / 2 * np.sqrt(d) / factor
-    may = estimate + spread + rounded + 1e-4 >= cosine
+    may = estimate + SIGMAS * spread + rounded + 1e-4 >= cosine
     return np.nonzero(np.triu(may & may.T, 1))
 
 
+def _vectors(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and unit vectors for each length of the lists of a column that has no nulls."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    ends = np.cumsum(sizes := np.asarray(pc.list_value_length(column)))
+    out = []
+    for d in np.unique(sizes):
+        own = np.flatnonzero(sizes == d)
+        out.append((own, units(flat[(ends[own] - d)[:, None] + np.arange(d)])))
+    return out
+
+
 def codes(classes: DataFrame, bits: int, tables: int) -> DataFrame:
     """rep, copies, code and keys (the buckets in all tables) of rows (rep, copies, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.column("embedding").to_pylist()
-            sizes = np.array([len(r) for r in rows])
-            keys, code = np.zeros((len(rows), tables), np.int64), [b""] * len(rows)
-            for d in np.unique(sizes):
-                own = np.flatnonzero(sizes == d)
-                x = units([rows[i] for i in own])
+            n = batch.num_rows
+            keys, code = np.zeros((n, tables), np.int64), [b""] * n
+            for own, x in _vectors(batch.column("embedding")):
                 keys[own] = bucket_keys(x, bits, tables)
                 for i, c in zip(own.tolist(), encoded(x), strict=True):
                     code[i] = c.tobytes()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * tables), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.array(code, pa.binary()), lists], ["rep", "copies", "code", "keys"])
 
     return classes.select("rep", "copies", "embedding").mapInArrow(run, "rep long, copies long, code binary, keys array<long>")
@@ -166,13 +187,14 @@ def _compare(cosine: float, bits: int, tables: int):
             if not len(i):
                 continue
             part = table.slice(s, e - s)
-            x = units(part.column("embedding").to_pylist())
+            [(_, x)] = _vectors(part.column("embedding").combine_chunks())
             keep = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
-            keys = bucket_keys(x, bits, tables)
-            first = (keys[i] == keys[j]).argmax(1) == part.column("t")[0].as_py()
+            used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            keys = bucket_keys(x[used], bits, tables)[at].reshape(2, len(i), tables)
+            first = (keys[0] == keys[1]).argmax(1) == part.column("t")[0].as_py()
             i, j = i[first], j[first]
             rep, copies = part.column("rep").to_numpy(), part.column("copies").to_numpy()
             counts = np.bincount(i, copies[j], e - s) + np.bincount(j, copies[i], e - s)
