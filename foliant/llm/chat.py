@@ -4,13 +4,15 @@ A template is a function from a list of (role, text) to one string. Rendering su
 prefixes of a conversation and comparing neighbouring outputs gives the span of each turn: what
 the longer output adds. A template that changes what it wrote before is detected, and reported.
 
+Every prefix is rendered in full, whatever the conversation's length. Only a template that declares
+itself ``local`` (an attribute: what a turn adds depends on its neighbour only) is rendered after
+the neighbour alone, and isn't trusted: its spans wait until the whole prefix is rendered, whenever
+the length has doubled and at the end. If they don't join to that output, every prefix they come
+from is rendered in full, and so are all later ones. So a conversation takes time in proportion to
+its length under a local template, and to its square under others.
+
 Rows are dealt by conversation, sorted by turn (ties by role, then text) and streamed through;
-a worker holds one conversation. ``EXACT`` prefixes are rendered in full. If they showed that what a
-turn adds depends on its neighbour only, later turns are rendered after the neighbour alone, and
-their spans wait until the whole prefix is rendered: whenever the length has doubled, and at the
-end. If the output isn't what the spans say, every prefix since the last such length, and from there
-on, is rendered in full; so a long conversation takes time in proportion to its length where what
-was assumed holds. A rewrite that begins and is undone between two of those lengths isn't seen.
+a worker holds one conversation.
 
 Null texts count as empty and a null role as an empty one. Rows whose conv_id is null are one
 conversation. Repeated rows are turns of their own.
@@ -29,8 +31,6 @@ from pyspark.sql import functions as F
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
-#: So many prefixes of a conversation are rendered in full.
-EXACT = 24
 OPEN, SAID, CLOSE = "<|turn|>", "<|text|>", "<|end|>\n"
 _escapes = {"~": "~0", "<|": "~1", "[INST]": "~2", "[/INST]": "~3", "</s>": "~4", "<s>": "~5", "<<SYS>>": "~6", "<</SYS>>": "~7"}
 _controls = re.compile("|".join(map(re.escape, sorted(_escapes, key=len, reverse=True))))
@@ -52,6 +52,9 @@ def template(turns: Sequence[Turn]) -> str:
     return "".join(f"{OPEN}{escape(r)}{SAID}{escape(t)}{CLOSE}" for r, t in turns)
 
 
+template.local = True
+
+
 class RewritesHistory(ValueError):
     """The template's output for a prefix isn't a prefix of its output for more turns."""
 
@@ -59,23 +62,21 @@ class RewritesHistory(ValueError):
 class _Prefixes:
     """Spans of one conversation, fed turn by turn; they come out once a whole prefix confirmed them."""
 
-    def __init__(self, render: Template, exact: int, where: str = ""):
-        self.render, self.exact, self.where = render, exact, where
+    def __init__(self, render: Template, where: str = "", whole: bool = False):
+        self.render, self.where = render, where
+        self.local = getattr(render, "local", False) and not whole
         self.turns: list[Turn] = []
-        self.before, self.local = "", True
+        self.before = ""
         self.waiting: list[str | None] = []
-        self.next = 2 * exact
+        self.next = 2
 
     def add(self, turn: Turn) -> list[str]:
         self.turns.append(turn)
         n = len(self.turns)
-        if n > self.exact and self.local:
-            self.waiting.append(self._after_neighbour())
-            return self.settle() if n >= self.next or self.waiting[-1] is None else []
-        added = self._whole(n)
-        if 1 < n <= self.exact and self.local:
-            self.local = self._after_neighbour() == added
-        return [added]
+        if n == 1 or not self.local:
+            return [self._whole(n)]
+        self.waiting.append(self._after_neighbour())
+        return self.settle() if n >= self.next or self.waiting[-1] is None else []
 
     def settle(self) -> list[str]:
         """The spans that wait, compared with the rendering of all turns so far."""
@@ -114,9 +115,9 @@ class _Prefixes:
         return both[len(alone) :] if both.startswith(alone) else None
 
 
-def spans(turns: Sequence[Turn], render: Template = template, exact: int = EXACT) -> Iterator[str]:
-    """What each turn adds to the output, found by rendering prefixes."""
-    found = _Prefixes(render, exact)
+def spans(turns: Sequence[Turn], render: Template = template, whole: bool = False) -> Iterator[str]:
+    """What each turn adds to the output, found by rendering prefixes; ``whole``: all of them in full."""
+    found = _Prefixes(render, whole=whole)
     for turn in turns:
         yield from found.add(turn)
     yield from found.settle()
@@ -125,7 +126,7 @@ def spans(turns: Sequence[Turn], render: Template = template, exact: int = EXACT
 def rewrites(turns: Sequence[Turn], render: Template) -> bool:
     """Whether a template rewrites history on these turns."""
     try:
-        for _ in spans(turns, render, len(turns)):
+        for _ in spans(turns, render, whole=True):
             pass
     except RewritesHistory:
         return True
@@ -147,8 +148,8 @@ def loss_mask(span: str, roles: Sequence[str] = ("assistant",)) -> tuple[int, in
 class _Conversation:
     """Digests of one conversation, fed turn by turn."""
 
-    def __init__(self, key, render: Template, exact: int):
-        self.key, self.found = key, _Prefixes(render, exact, f"conversation {key}: ")
+    def __init__(self, key, render: Template):
+        self.key, self.found = key, _Prefixes(render, f"conversation {key}: ")
         self.n, self.n_loss, self.n_chars = 0, 0, 0
         self.all, self.loss = hashlib.sha256(), hashlib.sha256()
 
@@ -186,7 +187,7 @@ def _by_conversation(rows: DataFrame) -> DataFrame:
     return read.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn")
 
 
-def digests(rows: DataFrame, render: Template = template, exact: int = EXACT) -> DataFrame:
+def digests(rows: DataFrame, render: Template = template) -> DataFrame:
     """One row per conversation, read back from the output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +197,7 @@ def digests(rows: DataFrame, render: Template = template, exact: int = EXACT) ->
                 if now is None or key != now.key:
                     if now is not None:
                         done.append(now.row())
-                    now = _Conversation(key, render, exact)
+                    now = _Conversation(key, render)
                 now.add((role, text))
             if len(done) >= 1000:
                 yield pa.RecordBatch.from_pylist(done, _OUT)
@@ -208,7 +209,7 @@ def digests(rows: DataFrame, render: Template = template, exact: int = EXACT) ->
     return _by_conversation(rows).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def formatted(rows: DataFrame, render: Template = template, exact: int = EXACT) -> DataFrame:
+def formatted(rows: DataFrame, render: Template = template) -> DataFrame:
     """conv_id, seq, span (what the turn adds to the output), mask_start and mask_end within it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +225,7 @@ def formatted(rows: DataFrame, render: Template = template, exact: int = EXACT)
                 if now is None or key != now.key:
                     if now is not None:
                         put(now.end())
-                    now = _Conversation(key, render, exact)
+                    now = _Conversation(key, render)
                 put(now.add((role, text)))
             yield pa.RecordBatch.from_pylist(out, _SPANS)
             out.clear()

@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns, and a count over the corpus that tells live secrets from copied examples.
 
-Every text is scanned for three base kinds (assign, access, hex), and for long mixed tokens
-outside of those. The values of all four (of assign what is assigned, so one value has one hash
-in whatever kind it is found) are hashed and counted over the corpus by distinct repositories and
-owners. A value that several owners have, or more than ``MOST_REPOSITORIES`` repositories of one
+Every text is scanned for three base kinds (assign, access, hex), and for long mixed tokens. The
+values of all four (of assign what is assigned, so one value has one hash in whatever kind it is
+found) are hashed wherever they occur, tokens also where a base span touches them, and counted
+over the corpus by distinct repositories and owners. A value that several owners have, or more than ``MOST_REPOSITORIES`` repositories of one
 owner, is a copied example; any other looks live. Spans of base kinds always stay, those of live
-tokens are added as kind ``token``; ``verdicts`` says of each found span which it is.
+tokens that no base span touches are added as kind ``token``; ``verdicts`` says of each found span which it is.
 
 Counting goes by hash, owner and repository first, so that a hash which fills a third of the
 corpus is summed in every task before it meets in one; the found spans are joined to the copied
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from foliant.runtime import join_dimension, materialize
 
 KINDS = ("assign", "access", "hex", "token")
+#: Kind of a token that a base span touches: counted, but no span of its own.
+TOUCHED = 4
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -68,19 +70,18 @@ def value(text: str, span: Span) -> str:
     return ASSIGN.match(text, start, end)[2] if kind == 0 else text[start:end]
 
 
-def candidates(text: str, data: bytes, base: list[Span]) -> list[tuple[int, int, str]]:
-    """Start, end and hash of long tokens of mixed characters that no base span touches."""
+def candidates(text: str, data: bytes, base: list[Span]) -> list[tuple[int, int, int, str]]:
+    """Start, kind, end and hash of long tokens of mixed characters."""
     if b"x" * 20 not in data.translate(_token_only):
         return []
     out = []
     for m in TOKEN.finditer(text):
         s = m[0]
-        if any(a < m.end() and b > m.start() for a, _, b in base):
-            continue
         if not (any(c.isdigit() for c in s) and any(c.isalpha() for c in s)):
             continue
         if -sum(v / len(s) * math.log2(v / len(s)) for v in Counter(s).values()) >= LEAST_ENTROPY:
-            out.append((m.start(), m.end(), digest(s)))
+            touched = any(a < m.end() and b > m.start() for a, _, b in base)
+            out.append((m.start(), TOUCHED if touched else 3, m.end(), digest(s)))
     return out
 
 
@@ -99,7 +100,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n[k].append(sum(1 for s in spans if s[1] == k))
             base.append(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans))
             own = [{"start": s[0], "kind": s[1], "end": s[2], "hash": digest(value(text, s))} for s in spans]
-            found.append(own + [{"start": a, "kind": 3, "end": b, "hash": h} for a, b, h in candidates(text, data, spans)])
+            found.append(own + [{"start": a, "kind": k, "end": b, "hash": h} for a, k, b, h in candidates(text, data, spans)])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("repository"), batch.column("owner"), *(pa.array(x, pa.int64()) for x in n), pa.array(base, pa.string()), pa.array(found, _FOUND)], ["doc_id", "repository", "owner", "n_assign", "n_access", "n_hex", "base", "found"])
 
 
@@ -121,7 +122,7 @@ def scan(docs: DataFrame, repository: str = "doc_id", owner: str = "source", mos
     found = done.where(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("f")).select("row", "repository", "owner", "f.*")
     copied = ownership(found).where((F.col("n_owners") > most_owners) | (F.col("n_repositories") > most_repositories))
     copied = materialize(copied.select("hash", F.lit(True).alias("copied")))
-    judged = join_dimension(found.select("row", "start", "kind", "end", "hash"), copied, ["hash"], "left")
+    judged = join_dimension(found.where(F.col("kind") != TOUCHED).select("row", "start", "kind", "end", "hash"), copied, ["hash"], "left")
     more = F.struct("start", "kind", "end", F.coalesce("copied", F.lit(False)).alias("copied"))
     judged = judged.groupBy("row").agg(F.array_sort(F.collect_list(more)).alias("more"))
     kinds = F.array(*map(F.lit, KINDS))

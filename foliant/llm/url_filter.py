@@ -3,8 +3,13 @@
 The longest rule whose host is the url's or a parent of it and whose path begins the url's path
 decides. Where none does, trees decide that were trained from labelled URLs: lengths, depth,
 digit ratio, entropy, numbers of parameters, and how often the host's suffixes were blocked.
-Suffixes are counted over all labelled URLs and joined to the rows; the trees are fitted to at
-most ``SAMPLE_ROWS`` of them.
+Suffixes are counted over all labelled URLs and joined to the rows; a URL that trees are fitted to
+gets the shares of the other folds, so its own label doesn't count. The trees are fitted to at most
+``SAMPLE_ROWS`` of them.
+
+No table has labels of URLs. ``labelled`` takes the verdicts of rules where one fits; else a URL is one
+to block if its host has a word of a seed list, as published block lists have them, and presumed
+clean if not. ``held_out_auc`` tells how well trees fitted to some hosts judge URLs of others.
 
 A null url, or one without ``://``, has an empty host and path, fits no rule and goes to the trees.
 Repeated rows are each judged; columns other than page_id and url are not read.
@@ -27,6 +32,8 @@ from foliant.runtime import join_dimension, materialize
 
 #: Most labelled URLs that the trees are fitted to.
 SAMPLE_ROWS = 20_000
+#: Parts of the labelled URLs; shares of suffixes that a part gets come from the others.
+FOLDS = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _AFTER = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Parts of host names that mark a URL as one to block when training labels are made.
@@ -85,32 +92,47 @@ def with_suffixes(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"last": tail(1), "last_two": tail(2)})
 
 
+def _smoothed(blocked: Column, n: Column, mean: Column) -> Column:
+    return (blocked + 5 * mean) / (n + 5)
+
+
 def suffix_shares(labels: DataFrame) -> DataFrame:
-    """suffix, share: smoothed share of blocked urls by suffix, of all rows (label, last, last_two);
-    under '' the mean of all."""
+    """suffix, fold, share: smoothed share of blocked urls by suffix, of all rows (url, label, last,
+    last_two) for the fold -1, else of those that aren't in the fold; under '' the mean of all."""
     mean = labels.agg(F.avg("label")).first()[0]
     mean = F.lit(0.5 if mean is None else float(mean))
-    each = labels.select("label", F.explode(F.array_distinct(F.array("last", "last_two"))).alias("suffix")).where("suffix <> ''")
-    shares = each.groupBy("suffix").agg(((F.sum("label") + 5 * mean) / (F.count("*") + 5)).alias("share"))
-    return shares.unionByName(labels.sparkSession.range(1).select(F.lit("").alias("suffix"), mean.alias("share")))
+    each = labels.select("label", _fold().alias("fold"), F.explode(F.array_distinct(F.array("last", "last_two"))).alias("suffix")).where("suffix <> ''")
+    per = materialize(each.groupBy("suffix", "fold").agg(F.sum("label").alias("b"), F.count("*").alias("n")))
+    total = per.groupBy("suffix").agg(F.sum("b").alias("tb"), F.sum("n").alias("tn"))
+    whole = total.select("suffix", F.lit(-1).alias("fold"), _smoothed(F.col("tb"), F.col("tn"), mean).alias("share"))
+    rest = per.join(total, "suffix").select("suffix", "fold", _smoothed(F.col("tb") - F.col("b"), F.col("tn") - F.col("n"), mean).alias("share"))
+    return whole.unionByName(rest).unionByName(labels.sparkSession.range(1).select(F.lit("").alias("suffix"), F.lit(-1).alias("fold"), mean.alias("share")))
+
+
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit(23), "url"), F.lit(FOLDS)).cast("int")
 
 
-def with_shares(rows: DataFrame, shares: DataFrame) -> DataFrame:
-    """Rows with ``last`` and ``last_two`` replaced by the shares of these suffixes, or by the mean."""
+def with_shares(rows: DataFrame, shares: DataFrame, counted: bool = False) -> DataFrame:
+    """Rows with ``last`` and ``last_two`` replaced by the shares of these suffixes, or by the mean.
+
+    ``counted``: the rows are among those that were counted, and get the shares of the other folds.
+    """
     mean = F.lit(shares.where("suffix = ''").first()["share"])
-    for name, own in (("last", shares.where(~F.col("suffix").contains("."))), ("last_two", shares)):
-        rows = join_dimension(rows, own.select(F.col("suffix").alias(name), F.col("share").alias("__share")), [name], "left")
+    rows = rows.withColumn("__fold", _fold() if counted else F.lit(-1))
+    for name in ("last", "last_two"):
+        own = shares.select(F.col("suffix").alias(name), F.col("fold").alias("__fold"), F.col("share").alias("__share")).where(F.col("__fold") >= 0 if counted else F.col("__fold") < 0)
+        rows = join_dimension(rows, own if name == "last_two" else own.where(~F.col(name).contains(".")), [name, "__fold"], "left")
         rows = rows.withColumn(name, F.coalesce("__share", mean)).drop("__share")
-    return rows
+    return rows.drop("__fold")
 
 
 def labelled(pages: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """URLs with a label (1: block): those that a rule decides, and those with a known part in the host."""
+    """Distinct URLs with a label (1: block): by a rule, else by whether the host has a word of the seed list.
+    A URL without a host has none."""
     h, verdicts = host(), dict(rules)
     rule = first_rule(rules, h, path())
-    label = F.lit(None).cast("int")
-    for part in BLOCKED_PARTS:
-        label = F.when(h.contains(part), 1).otherwise(label)
+    label = F.when(h != "", F.greatest(*(h.contains(part).cast("int") for part in BLOCKED_PARTS)))
     for r in verdicts:
         label = F.when(rule == r, int(verdicts[r] == "block")).otherwise(label)
     return pages.select("url", label.alias("label")).where("label is not null").distinct()
@@ -121,14 +143,32 @@ def train(labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Forest, Da
     hashes; and the shares of suffixes over all rows."""
     rows = materialize(with_suffixes(labels.select("url", "label")))
     shares = materialize(suffix_shares(rows))
-    sample = with_shares(bounded_sample(rows, sample_rows, ["url", "label"]), shares).toPandas().sort_values(["url", "label"])
+    sample = with_shares(bounded_sample(rows, sample_rows, ["url", "label"]), shares, True).toPandas().sort_values(["url", "label"])
     y = sample["label"].to_numpy(np.float64)
     x = np.array([features(*r) for r in sample[["url", "last", "last_two"]].itertuples(index=False)]) if len(y) else np.zeros((0, 1))
     return fit(x, y, trees=60, depth=3), shares
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], forest: Forest, suffixes: DataFrame) -> DataFrame:
-    """page_id, host, path, rule, verdict and score of every row."""
+def held_out_auc(labels: DataFrame, folds: int = 5, fold: int = 0, sample_rows: int = SAMPLE_ROWS) -> float | None:
+    """Area under the curve over the URLs of a fifth of the hosts, of trees fitted to the other hosts.
+
+    Hosts are dealt by their last three labels. Null where the fold has no labels of both kinds.
+    """
+    site = F.concat_ws(".", F.slice(F.reverse(F.split(host(), r"\.")), 1, 3))
+    rows = labels.withColumn("__out", F.pmod(F.xxhash64(site), F.lit(folds)) == fold)
+    forest, shares = train(rows.where("not __out"), sample_rows)
+    own = rows.where("__out").select(F.lit(0).cast("long").alias("page_id"), "url", F.col("label").cast("double").alias("label"))
+    scored = judge(own, [], forest, shares, ["label"]).select("score", "label")
+    # ranks by counts of each score, of which there are no more than leaves can be combined
+    per = scored.groupBy("score").agg(F.sum("label").alias("p"), F.count("*").alias("n")).orderBy("score").toPandas()
+    p, q = per["p"].to_numpy(float), (per["n"] - per["p"]).to_numpy(float)
+    if not p.sum() or not q.sum():
+        return None
+    return float((p * (np.cumsum(q) - q / 2)).sum() / (p.sum() * q.sum()))
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], forest: Forest, suffixes: DataFrame, keeps: Sequence[str] = ()) -> DataFrame:
+    """page_id, host, path, rule, verdict and score of every row, and the columns ``keeps``."""
 
     @F.arrow_udf("double")
     def blocked(url: pa.Array, last: pa.Array, last_two: pa.Array) -> pa.Array:
@@ -139,7 +179,7 @@ def judge(pages: DataFrame, rules: Sequence[Rule], forest: Forest, suffixes: Dat
     rule, verdict = F.col("rule"), F.lit(None).cast("string")
     for r, v in rules:
         verdict = F.when(rule == r, F.lit(v)).otherwise(verdict)
-    read = with_shares(with_suffixes(pages.select("page_id", "url")), suffixes)
-    out = read.select("page_id", host().alias("host"), path().alias("path"), blocked("url", "last", "last_two").alias("score"))
+    read = with_shares(with_suffixes(pages.select("page_id", "url", *keeps)), suffixes)
+    out = read.select("page_id", *keeps, host().alias("host"), path().alias("path"), blocked("url", "last", "last_two").alias("score"))
     out = out.withColumn("rule", first_rule(rules, F.col("host"), F.col("path")))
-    return out.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score")
+    return out.select("page_id", "host", "path", "rule", F.coalesce(verdict, F.when(F.col("score") >= 0.5, "block").otherwise("allow")).alias("verdict"), "score", *keeps)

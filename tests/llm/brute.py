@@ -121,6 +121,27 @@ def base_secrets(text: str | None) -> list[tuple[int, str, int]]:
     return [(a, k, b) for a, _, k, b in sorted(out)]
 
 
+def secret_verdicts(rows: list[tuple]) -> list[tuple[str, str]]:
+    """(spans, verdicts) of rows (text, repository, owner): every value is counted over all rows."""
+    owners, repositories, each = defaultdict(set), defaultdict(set), []
+    for text, repository, owner in rows:
+        t, base = text or "", base_secrets(text)
+        own = [(a, ("assign", "access", "hex").index(k), b, ASSIGN.match(t, a, b)[2] if k == "assign" else t[a:b]) for a, k, b in base]
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", t):
+            share = [c / len(m[0]) for c in Counter(m[0]).values()]
+            if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]) and sum(-p * np.log2(p) for p in share) >= 3.2:
+                own.append((m.start(), 4 if any(a < m.end() and b > m.start() for a, _, b in base) else 3, m.end(), m[0]))
+        for *_, v in own:
+            owners[v].add(owner or "")
+            repositories[v].add((owner or "", repository))
+        each.append(sorted(own))
+    out = []
+    for own in each:
+        said = [(f"{('assign', 'access', 'hex', 'token')[k]}:{a}:{b}", k, len(owners[v]) > 1 or len(repositories[v]) > 10) for a, k, b, v in own if k < 4]
+        out.append((",".join(x for x, k, copied in said if k < 3 or not copied), ",".join(f"{x}:{'copied' if copied else 'live'}" for x, _, copied in said)))
+    return out
+
+
 def url_parts(url: str | None) -> tuple[str, str]:
     if url is None or "://" not in url:
         return "", ""
@@ -134,6 +155,17 @@ def url_rule(host: str, path: str, rules: list[tuple[str, str]]) -> str | None:
     return max(fits, key=len) if fits else None
 
 
+def walked(forest, x: list[float]) -> float:
+    """Score of one row, node by node."""
+    total, inner = forest.base, forest.feature.shape[1] if len(forest.feature) else 0
+    for t in range(len(forest.feature)):
+        node = 0
+        while node < inner:
+            node = 2 * node + (2 if x[forest.feature[t, node]] > forest.cut[t, node] else 1)
+        total += forest.value[t, node - inner]
+    return 1 / (1 + float(np.exp(-total)))
+
+
 def chats(rows: list[tuple]) -> dict:
     """conv_id -> (n_turns, turns_sha256, loss_chars, loss_sha256) of rows (conv_id, turn, role, text)."""
     convs = defaultdict(list)

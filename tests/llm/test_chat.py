@@ -110,3 +110,32 @@ def test_late_turns_that_depend_on_the_place_keep_right_spans():
     for n in (24, 25, 31, 48, 49, 100):
         turns = [("user", f"{i}") for i in range(n)]
         assert list(chat.spans(turns, marked)) == [("<half>" if i == 30 else "") + chat.template([t]) for i, t in enumerate(turns)]
+
+
+def summarised(turns):
+    return ("[summary]" if len(turns) > 30 else "") + chat.template(turns)
+
+
+def test_a_summary_put_before_a_long_conversation_is_found(spark):
+    turns = [("user", f"{i}") for i in range(40)]
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.spans(turns, summarised))
+    df = spark.createDataFrame([(7, i, "user", f"{i}", "") for i in range(40)], SCHEMA)
+    with pytest.raises(Exception, match="changes what was written before"):
+        chat.digests(df, lambda turns: ("[summary]" if len(turns) > 30 else "") + chat.template(turns)).collect()
+
+
+def test_a_template_that_wrongly_says_it_is_local():
+    """It is found out at the next whole prefix, and spans are those of rendering all of them."""
+    def late(turns):
+        return "".join(("<half>" if i == 30 else "") + chat.template([t]) for i, t in enumerate(turns))
+
+    def rewriting(turns):
+        return summarised(turns)
+
+    late.local = rewriting.local = True
+    turns = [("user", f"{i}") for i in range(100)]
+    assert list(chat.spans(turns, late)) == list(chat.spans(turns, late, whole=True))
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.spans(turns, rewriting))
+    assert list(chat.spans(turns)) == list(chat.spans(turns, whole=True))

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
+
 from foliant.llm import queries, secrets, url_filter
 from tests.llm import brute
 from tests.llm.fixtures import SCHEMA, edge_rows, with_nulls
@@ -46,13 +48,46 @@ def test_url_trees_learn(spark):
 def test_suffixes_are_counted_over_all_labels(spark):
     rows = [(f"http://h{i}.bad.test/{i}", 1) for i in range(40)] + [(f"http://h{i}.good.example/{i}", 0) for i in range(360)] + [("http://single/", 1)]
     _, shares = url_filter.train(spark.createDataFrame(rows, "url string, label int"), 4)
-    got, mean = {r.suffix: r.share for r in shares.collect()}, 41 / 401
+    got, mean = {r.suffix: r.share for r in shares.where('fold < 0').collect()}, 41 / 401
     want = {"": mean, "single": (1 + 5 * mean) / 6} | {k: (40 + 5 * mean) / 45 for k in ("test", "bad.test")} | {k: 5 * mean / 365 for k in ("example", "good.example")}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     pages = url_filter.with_suffixes(spark.createDataFrame([("http://x.BAD.test?q",), ("http://new.test:1/",), (None,)], "url string"))
     assert sorted(round(r.last_two, 9) for r in url_filter.with_shares(pages, shares).collect()) == sorted(round(x, 9) for x in (want["bad.test"], mean, mean))
 
 
+def test_a_label_does_not_count_in_its_own_shares(spark):
+    urls = [(f"http://h{i}.{'one' if i % 2 else 'two'}.test/", int(i % 3 == 0)) for i in range(40)]
+    rows = url_filter.with_suffixes(spark.createDataFrame(urls, "url string, label int"))
+    shares = url_filter.suffix_shares(rows)
+    folds = {r.url: r.fold for r in rows.select("url", url_filter._fold().alias("fold")).collect()}
+    got = {r.url: (r.last, r.last_two) for r in url_filter.with_shares(rows, shares, True).collect()}
+    mean = sum(y for _, y in urls) / len(urls)
+    for u, _ in urls:
+        for k, end in enumerate((".test/", u.split(".", 1)[1])):
+            others = [y for v, y in urls if v.endswith(end) and folds[v] != folds[u]]
+            assert got[u][k] == pytest.approx((sum(others) + 5 * mean) / (len(others) + 5))
+
+
+def test_verdicts_against_a_plain_walk_through_the_trees(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    forest, suffixes = url_filter.train(url_filter.labelled(pages, RULES))
+    shares = {r.suffix: r.share for r in suffixes.where('fold < 0').collect()}
+    urls = {r.page_id: r.url for r in pages.collect()}
+    for r in url_filter.judge(pages, RULES, forest, suffixes).collect():
+        labels = [x for x in r.host.split(".") if x]
+        x = url_filter.features(urls[r.page_id], shares.get(".".join(labels[-1:]), shares[""]), shares.get(".".join(labels[-2:]), shares[""]))
+        assert abs(r.score - brute.walked(forest, x)) < 1e-9
+        assert r.verdict == (dict(RULES)[r.rule] if r.rule else "block" if r.score >= 0.5 else "allow")
+
+
+def test_trees_judge_hosts_they_have_not_seen(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    auc = url_filter.held_out_auc(url_filter.labelled(pages, RULES))
+    assert auc is None or 0 <= auc <= 1
+    rows = [(f"http://{'a-b-c-' if i % 3 == 0 else 'abc'}{i}.test/{i}", int(i % 3 == 0)) for i in range(600)]
+    assert url_filter.held_out_auc(spark.createDataFrame(rows, "url string, label int")) > 0.9
+
+
 def check_secrets(rows, texts):
     assert len(rows) == len(texts)
     want = Counter()
@@ -71,6 +106,19 @@ def test_secret_query(spark, sf_dir):
     assert queries.op6_secrets(spark, sf_dir).columns == ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
 
 
+def test_spans_and_verdicts_of_a_whole_table(spark, sf_dir):
+    """Against counting every value over all rows; planted tokens are bare, assigned, and within other tokens."""
+    token = "Zx9Qw7Er5Ty3Ui1Op0As2Df4"
+    docs = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    docs += [(90001, token, "a"), (90002, f"token={token}", "b"), (90003, f"secret: {token}.x", "c"), (90004, "Mn8Bv6Cx4Za2Lk0Jh9Gf7Ds5", None), (90005, None, None)]
+    rows = secrets.scan(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()
+    got = {r.doc_id: (r.spans, r.verdicts) for r in rows}
+    want = dict(zip([d for d, _, _ in docs], brute.secret_verdicts([(t, d, o) for d, t, o in docs]), strict=True))
+    assert got == want
+    assert got[90001] == ("", "token:0:24:copied") and got[90004][1] == "token:0:24:live"
+    assert sum(s != "" for s, _ in got.values()) >= 3
+
+
 SECRETS = ["PASSWORD = 'abcdef12' API_KEY:zzzzzz apikey=\"q/q=q.q-q\"", "ſecret=abcdefgh toKen=abcdefgh", "AKIA" + "A1" * 9, "AKIA" + "A" * 15 + " AKIA" + "B" * 16, "0" * 23 + " " + "f" * 24, "token==abcdefg", "passwd \t= tabs123", "é password=ünï secret : \"0123456789abcdef0123456789abcdef\"", "secret=secret=secret123", "token: short"]
 
 
