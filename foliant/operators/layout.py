@@ -9,6 +9,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.grouped import Fold, fold_groups
@@ -175,22 +176,17 @@ def xy_cut(objects: DataFrame) -> DataFrame:
 
 
 def two_columns(objects: DataFrame, page_width: float) -> DataFrame:
-    """page_id, obj_id, place: between objects that span the middle, left column before right."""
+    """page_id, obj_id, place: between objects that span the middle, left column before right. (SRT-04)
 
-    def fold(p: Page):
-        middle, order, part = page_width / 2, [], []
-        side = np.where(p["x1"] <= middle, 0, np.where(p["x0"] >= middle, 1, 2))
-        for i in [*range(len(side)), None]:
-            if i is None or side[i] == 2:
-                order += [j for s in (0, 1) for j in part if side[j] == s]
-                part = []
-                if i is not None:
-                    order.append(i)
-            else:
-                part.append(i)
-        return order, {"place": range(len(order))}
-
-    return by_page(objects, fold, [F.desc("y1"), "obj_id"], place="int")
+    Windows by page: an object's part is the number of spanning ones above it, which end their part.
+    """
+    middle = page_width / 2
+    side = F.when(F.col("x1") <= middle, 0).when(F.col("x0") >= middle, 1).otherwise(2)
+    down = W.partitionBy("page_id").orderBy(F.desc("y1"), "obj_id")
+    part = F.coalesce(F.sum((F.col("__side") == 2).cast("int")).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    marked = objects.withColumn("__side", side).withColumn("__part", part)
+    place = F.row_number().over(W.partitionBy("page_id").orderBy("__part", "__side", F.desc("y1"), "obj_id")) - 1
+    return marked.select("page_id", "obj_id", place.alias("place"))
 
 
 def merge_regions(regions: DataFrame) -> DataFrame:

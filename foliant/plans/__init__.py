@@ -1,6 +1,7 @@
 """Queries over the driver's tables, by name, and the same in SQL where SQL has it."""
 
-from foliant.plans import box_queries, flow_queries, structure_queries, text_queries
+from foliant.plans import box_queries, flow_queries, function_queries, structure_queries, text_queries
 
-QUERIES = {**text_queries.QUERIES, **box_queries.QUERIES, **structure_queries.QUERIES, **flow_queries.QUERIES}
-SQL = {**text_queries.SQL, **box_queries.SQL, **structure_queries.SQL, **flow_queries.SQL}
+_MODULES = (text_queries, box_queries, structure_queries, flow_queries, function_queries)
+QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL = {name: sql for m in _MODULES for name, sql in m.SQL.items()}

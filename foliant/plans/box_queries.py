@@ -261,10 +261,58 @@ def bbox_transform(s, d):
     return boxes(s, d).select("page_id", "obj_id", g.quad_area(g.quad(F.struct(*(F.col(e).cast("double").alias(e) for e in spatial.EDGES)))).alias("area"), b.alias("b")).select("page_id", "obj_id", "area", *(F.col(f"b.{e}").cast("long").alias(e) for e in spatial.EDGES))
 
 
-@query()
+# SQL of folds: a page's objects one by one, with what is kept so far as a list
+
+
+def _fold(order: str, keep: str, extra: str = "") -> str:
+    """page_id, obj_id that a greedy pass keeps: ``keep`` tells of an object o and the list r.kept."""
+    own = "{'x0': o.x0, 'y0': o.y0, 'x1': o.x1, 'y1': o.y1, 'kind': o.kind, 'id': o.obj_id}"
+    return f"""WITH RECURSIVE {BOXES},
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS k FROM boxes),
+r AS (SELECT page_id, k, [{own}] AS kept FROM o WHERE k = 1
+  UNION ALL SELECT o.page_id, o.k, CASE WHEN {keep} THEN list_append(r.kept, {own}) ELSE r.kept END FROM r JOIN o ON o.page_id = r.page_id AND o.k = r.k + 1),
+f AS (SELECT page_id, max_by(kept, k) AS kept FROM r GROUP BY page_id)
+SELECT page_id, unnest(list_transform(kept, lambda m: m.id)) AS obj_id FROM f"""
+
+
+_SHARED = "greatest(0, least(m.x1, o.x1) - greatest(m.x0, o.x0)) * greatest(0, least(m.y1, o.y1) - greatest(m.y0, o.y0))"
+_BOTH = f"((m.x1 - m.x0) * (m.y1 - m.y0) + (o.x1 - o.x0) * (o.y1 - o.y0) - {_SHARED})"
+_NMS = _fold("(x0 * 31 + y0 * 17) % 1000 DESC, obj_id", f"len(list_filter(r.kept, lambda m: {_SHARED} >= (CASE WHEN m.kind = o.kind THEN 0.6 ELSE 0.98 END) * {_BOTH})) = 0")
+#: Pairs (i, j) of a page in the order in which they are looked at; j = i tests for slivers.
+_SUPPRESS = f"""WITH RECURSIVE {BOXES},
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY obj_id) AS q FROM boxes),
+p AS (SELECT o.page_id, o.q AS i, m.q AS j, row_number() OVER (PARTITION BY o.page_id ORDER BY o.q, m.q) AS k, least(o.x1 - o.x0, o.y1 - o.y0) < 6 AS sliver,
+    {_SHARED} > 0.7 * least((o.x1 - o.x0) * (o.y1 - o.y0), (m.x1 - m.x0) * (m.y1 - m.y0)) AS over, (o.x1 - o.x0) * (o.y1 - o.y0) >= (m.x1 - m.x0) * (m.y1 - m.y0) AS larger
+  FROM n o JOIN n m ON o.page_id = m.page_id AND m.q >= o.q),
+r AS (SELECT page_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone FROM p WHERE k = 1
+  UNION ALL SELECT p.page_id, p.k, CASE WHEN list_contains(r.gone, p.i) OR list_contains(r.gone, p.j) THEN r.gone
+    WHEN p.i = p.j THEN CASE WHEN p.sliver THEN list_append(r.gone, p.i) ELSE r.gone END
+    WHEN p.over THEN list_append(r.gone, CASE WHEN p.larger THEN p.j ELSE p.i END) ELSE r.gone END
+  FROM r JOIN p ON p.page_id = r.page_id AND p.k = r.k + 1),
+f AS (SELECT page_id, max_by(gone, k) AS gone FROM r GROUP BY page_id)
+SELECT n.page_id, n.obj_id FROM n JOIN f USING (page_id) WHERE NOT list_contains(f.gone, n.q)"""
+_TOUCH = "(greatest(m.x0, o.x0) <= least(m.x1, o.x1) AND greatest(m.y0, o.y0) <= least(m.y1, o.y1)) OR (abs(m.y0 - o.y0) <= 3 AND abs(m.y1 - o.y1) <= 3)"
+_MERGE = f"""WITH RECURSIVE {BOXES},
+o AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY obj_id) AS k FROM boxes),
+r AS (SELECT page_id, k, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS done FROM o WHERE k = 1
+  UNION ALL SELECT page_id, k, CASE WHEN z IS NULL THEN list_append(done, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}})
+    ELSE list_concat(list_append(done[:z - 1], {{'x0': least(done[z].x0, x0), 'y0': least(done[z].y0, y0), 'x1': greatest(done[z].x1, x1), 'y1': greatest(done[z].y1, y1)}}), done[z + 1:]) END
+  FROM (SELECT o.page_id, o.k, o.x0, o.y0, o.x1, o.y1, r.done, list_position(list_transform(r.done, lambda m: {_TOUCH}), true) AS z FROM r JOIN o ON o.page_id = r.page_id AND o.k = r.k + 1)),
+f AS (SELECT page_id, max_by(done, k) AS done FROM r GROUP BY page_id), u AS (SELECT page_id, unnest(done) AS m FROM f)
+SELECT page_id, CAST(m.x0 AS DOUBLE) AS x0, CAST(m.y0 AS DOUBLE) AS y0, CAST(m.x1 AS DOUBLE) AS x1, CAST(m.y1 AS DOUBLE) AS y1 FROM u"""
+_FIRSTS = f"""WITH RECURSIVE {BOXES},
+o AS (SELECT page_id, x0, row_number() OVER (PARTITION BY page_id ORDER BY x0) AS k FROM boxes),
+r AS (SELECT page_id, k, x0 AS first, CAST(1 AS BIGINT) AS n FROM o WHERE k = 1
+  UNION ALL SELECT o.page_id, o.k, CASE WHEN o.x0 - r.first > 20 THEN o.x0 ELSE r.first END, r.n + CASE WHEN o.x0 - r.first > 20 THEN 1 ELSE 0 END FROM r JOIN o ON o.page_id = r.page_id AND o.k = r.k + 1)
+SELECT page_id, max(n) AS clusters FROM r GROUP BY page_id"""
+_COLUMNS = "s AS (SELECT *, CASE WHEN x1 <= 250 THEN 0 WHEN x0 >= 250 THEN 1 ELSE 2 END AS side FROM boxes), p AS (SELECT *, count(*) FILTER (WHERE side = 2) OVER (PARTITION BY page_id ORDER BY y1 DESC, obj_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - CASE WHEN side = 2 THEN 1 ELSE 0 END AS part FROM s)"
+
+
+@query(_NMS)
 def nms_boxes(s, d):
+    """SRT-08, SRT-09."""
     ship(s)
-    scored = boxes(s, d).withColumn("score", (F.pmod(F.hash("page_id", "obj_id"), F.lit(1000)) / 1000).cast("double"))
+    scored = boxes(s, d).withColumn("score", ((F.col("x0") * 31 + F.col("y0") * 17) % 1000 / 1000).cast("double"))
     return layout.nms(scored)
 
 
@@ -280,25 +328,24 @@ def visual_rows(s, d):
     return layout.visual_rows(boxes(s, d))
 
 
-@query()
+@query(with_sql(BOXES, _COLUMNS) + "SELECT page_id, obj_id, row_number() OVER (PARTITION BY page_id ORDER BY part, side, y1 DESC, obj_id) - 1 AS place FROM p")
 def two_column_order(s, d):
-    ship(s)
     return layout.two_columns(boxes(s, d), 500)
 
 
-@query()
+@query(_SUPPRESS)
 def overlap_suppression(s, d):
     ship(s)
     return layout.without_overlaps(boxes(s, d))
 
 
-@query()
+@query(_MERGE)
 def region_merge(s, d):
     ship(s)
     return layout.merge_regions(boxes(s, d))
 
 
-@query()
+@query(_FIRSTS)
 def first_value_clusters(s, d):
     return sequence.cluster_by_first(boxes(s, d), ["page_id"], "x0", 20).select("page_id", F.size("clusters").alias("clusters"))
 

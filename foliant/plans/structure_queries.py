@@ -9,7 +9,7 @@ from foliant.functions import geometry as g
 from foliant.functions import lists
 from foliant.functions import text as tx
 from foliant.operators import contents, layout, quality, regions, sequence, spatial, tables, tree
-from foliant.plans.box_queries import _CELLS, _cells
+from foliant.plans.box_queries import _CELLS, _cells, _fold
 from foliant.plans.shared import BOXES, COMMON, LINES, area2, boxes, lines, md5, with_sql
 from foliant.plans.text_queries import _HEADS, _heads
 from foliant.runtime import ship, table
@@ -322,13 +322,25 @@ def turn_chunks(s, d):
     return parts.select("conv_id", F.size("c").cast("long").alias("chunks"), F.size(F.element_at("c", -1)).alias("last_size"))
 
 
-@query()
+@query(_fold("(x1 - x0) * (y1 - y0) DESC, obj_id", "len(list_filter(r.kept, lambda m: greatest(0, least(m.x1, o.x1) - greatest(m.x0, o.x0)) * greatest(0, least(m.y1, o.y1) - greatest(m.y0, o.y0)) >= 0.7 * CAST((o.x1 - o.x0) * (o.y1 - o.y0) AS DOUBLE))) = 0"))
 def contained_suppression(s, d):
     ship(s)
     return layout.without_contained(boxes(s, d))
 
 
-@query()
+#: Cells of a table in order; each takes the largest free rectangle at its corner, of equals the flattest.
+_PLACED = f"""WITH RECURSIVE {BOXES}, {_CELLS},
+o AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY "row", col) AS k FROM cells),
+h AS (SELECT table_id, k, unnest(range(1, row_span + 1)) AS h FROM o), w AS (SELECT table_id, k, h, unnest(range(1, col_span + 1)) AS w FROM h JOIN o USING (table_id, k)),
+s AS (SELECT table_id, k, h * w AS area, h, w, list_sort(list_distinct(flatten(list_transform(range(o."row", o."row" + h), lambda y: list_transform(range(o.col, o.col + w), lambda x: y * 1000 + x))))) AS slots FROM w JOIN o USING (table_id, k)),
+c AS (SELECT table_id, k, list({{'area': area, 'h': h, 'w': w, 'slots': slots}} ORDER BY area DESC, h DESC, w DESC) AS options FROM s GROUP BY 1, 2),
+r AS (SELECT table_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS h, CAST(NULL AS BIGINT) AS w FROM o WHERE k = 1
+  UNION ALL SELECT table_id, k, CASE WHEN z IS NULL THEN taken ELSE list_concat(taken, z.slots) END, z.h, z.w
+  FROM (SELECT c.table_id, c.k, r.taken, list_filter(c.options, lambda p: NOT list_has_any(p.slots, r.taken))[1] AS z FROM r JOIN c ON c.table_id = r.table_id AND c.k = r.k + 1))
+SELECT r.table_id, o."row", o.col, r.h AS row_span, r.w AS col_span FROM r JOIN o USING (table_id, k) WHERE r.h IS NOT NULL"""
+
+
+@query(_PLACED)
 def slot_overlaps(s, d):
     ship(s)
     return layout.resolved_slots(_cells(s, d))

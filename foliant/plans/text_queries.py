@@ -312,7 +312,10 @@ def html_paragraphs(s, d):
     return table(s, d, "pages").select("page_id", F.floor((F.length("html") - F.length(F.replace("html", F.lit("<p>"), F.lit("")))) / 3).alias("n"))
 
 
-@query()
+@query("WITH RECURSIVE " + with_sql(LINES, _HEADS)[5:] + """, o AS (SELECT doc_id, seq, title, level AS l, CAST(level AS VARCHAR) AS style, row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS k FROM heads),
+r AS (SELECT doc_id, k, [style] AS stack FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.k, CASE WHEN list_contains(r.stack, o.style) THEN r.stack[:list_position(r.stack, o.style)] ELSE list_append(r.stack, o.style) END FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1)
+SELECT doc_id, seq, style, len(stack) AS level FROM r JOIN o USING (doc_id, k)""")
 def infer_levels(s, d):
     ship(s)
     heads = _heads(s, d)[0].withColumn("style", F.col("level").cast("string"))
