@@ -289,3 +289,14 @@ def quad_angle(q: Column) -> Column:
 
 def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.hypot(x1 - x0, y1 - y0)
+
+
+def quad_split(q: Column, axis: str, weights: Sequence[float]) -> Column:
+    """Array of quads along an axis (x: from the first to the second point), as long as their weights. (GEO-24)"""
+    total, at, out = float(sum(weights)), 0.0, []
+    between = lambda i, j, t: F.struct((q[i]["x"] + (q[j]["x"] - q[i]["x"]) * t).alias("x"), (q[i]["y"] + (q[j]["y"] - q[i]["y"]) * t).alias("y"))
+    for w in weights:
+        s, t = at / total, (at + w) / total
+        out.append(F.array(between(0, 1, s), between(0, 1, t), between(3, 2, t), between(3, 2, s)) if axis == "x" else F.array(between(0, 3, s), between(1, 2, s), between(1, 2, t), between(0, 3, t)))
+        at += w
+    return F.array(*out)

@@ -128,3 +128,86 @@ EMU = {"emu": 1, "twip": 635, "half_point": 6350, "px": 9525, "pt": 12700, "mm":
 
 def convert_length(c: Column, unit: str, to: str) -> Column:
     return c * (EMU[unit] / EMU[to])
+
+
+_CN = "〇一二三四五六七八九十零百千"
+#: Families of section numbers, and the level of each; fixed values. A chapter's key has its unit.
+NUMBER_FAMILIES: list[tuple[str, str]] = [
+    ("number.dotted", r"\d+(?:\.\d+)+\.?"),
+    ("number、", r"\d+、"),
+    ("number.", r"\d+\."),
+    ("chinese、", f"[{_CN}]+、"),
+    ("chinese.", rf"[{_CN}]+\."),
+    ("paren.number", r"\([0-9]+\)"),
+    ("paren.chinese", rf"\([{_CN}]+\)"),
+    ("paren.alpha", r"\([A-Za-z]\)"),
+    ("circled.number", "[\u2460-\u2473]"),
+    ("paren.circled.number", "[\u2474-\u2487]"),
+    ("roman.", r"(?i:I{1,3}|IV|VI{0,3}|IX|XI{0,3}|XIV|XV|XVI{0,3}|XIX|XX)[.、]"),
+    ("alpha.", r"[A-Za-z][.、]"),
+]
+FAMILY_LEVELS = {
+    "第#篇": 1, "第#部分": 1, "第#章节": 1, "第#章": 1, "第#部": 1, "第#节": 2, "第#条": 2, "第#款": 2, "第#项": 2, "chinese、": 2, "chinese.": 2, "roman.": 2,
+    "paren.chinese": 3, "number.dotted": 4, "number.": 4, "number、": 4, "paren.number": 5, "circled.number": 5, "paren.circled.number": 5, "alpha.": 6, "paren.alpha": 6,
+}
+CHAPTER = f"^第[0-9{_CN}]+(部分|章节|章|节|篇|部|条|款|项)$"
+
+
+def number_family(number: Column) -> Column:
+    """The family that a heading's number belongs to; a number of none is a family of its own. (NUM-13)
+
+    ``number`` is half-width and without white space.
+    """
+    out = number
+    for name, pattern in reversed(NUMBER_FAMILIES):
+        out = F.when(number.rlike(f"^(?:{pattern})$"), name).otherwise(out)
+    unit = F.regexp_extract(number, CHAPTER, 1)
+    return F.when(unit != "", F.concat(F.lit("第#"), unit)).otherwise(out)
+
+
+def family_level(family: Column) -> Column:
+    """Level of a family: 1 for chapters to 6 for letters, 10 for others; 0 without a number. (NUM-14)"""
+    return F.when(family.isNull(), 0).otherwise(F.coalesce(_map(FAMILY_LEVELS)[family], F.lit(10)))
+
+
+def korean_value(c: Column) -> Column:
+    """Value of a Korean numeral up to 19; 0 for others. (NUM-03)"""
+    digits = _map({k: i for i, k in enumerate("일이삼사오육칠팔구십", 1)})
+    t = F.trim(c)
+    rest = F.coalesce(digits[F.substring(t, F.lit(2), F.length(t))], F.lit(0))
+    return F.coalesce(digits[t], F.when(t.startswith("십"), 10 + rest).otherwise(0))
+
+
+#: Rules of numbers that begin a text, in order: name, pattern with the number as its first group, how it is read.
+NUMBER_RULES: list[tuple[str, str, str]] = [
+    ("chapter", f"^第([{_CN}]+)[章节篇条款项]", "chinese"),
+    ("chapter_number", "^第([0-9]+)[章节篇条款项]", "number"),
+    ("dotted", r"^((?:[0-9]+\.)+[0-9]+)", "last"),
+    ("number", r"^([0-9]+)[.、)]", "number"),
+    ("chinese", f"^([{_CN}]+)[、.]", "chinese"),
+    ("bracketed", r"^[(（]([0-9]+)[)）]", "number"),
+    ("bracketed_chinese", f"^[(（]([{_CN}]+)[)）]", "chinese"),
+    ("circled", "^([\u2460-\u2487])", "symbol"),
+    ("alpha", r"^([A-Za-z])[.)]", "alpha"),
+]
+
+
+def number_prefix(c: Column, rules: Sequence[tuple[str, str, str]] = tuple(NUMBER_RULES)) -> Column:
+    """(prefix, value, rule) of the first rule that fits the beginning of a text, else null. (NUM-05)"""
+    read = {"chinese": chinese_value, "number": lambda x: x.cast("int"), "last": lambda x: F.element_at(F.split(x, r"\."), -1).cast("int"), "symbol": symbol_value, "alpha": alpha_value}
+    out = F.lit(None)
+    for name, pattern, kind in reversed(rules):
+        found = F.struct(F.regexp_extract(c, pattern, 0).alias("prefix"), read[kind](F.regexp_extract(c, pattern, 1)).cast("int").alias("value"), F.lit(name).alias("rule"))
+        out = F.when(c.rlike(pattern), found).otherwise(out)
+    return out
+
+
+def as_roman(c: Column) -> Column:
+    """Value of a number whose last part may be read as a Roman numeral, else null. (NUM-25)"""
+    last = F.element_at(F.split(c, r"\."), -1)
+    return F.when(is_roman(last), roman_value(last))
+
+
+def setting(c: Column, kind: str, default) -> Column:
+    """A text as a value of a type; the default where it is null or can't be read. (NUM-19)"""
+    return F.coalesce(c.try_cast(kind), F.lit(default).cast(kind))

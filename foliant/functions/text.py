@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 HALF = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+#: Headings that a paragraph never joins, and lines that are a sentence of their own.
+CHAPTER_LINE = r"^(\(?[0-9]+[.)、]|[（(][一二三四五六七八九十]+[)）]|[A-Z][A-Z ]{3,40}$)"
+SENTENCE_LINE = "^[^。！？!?]{1,40}[。！？!?]$"
 ESCAPED = r"([\\`*_{}\[\]#+\-.!|>~])"
 _ROMAN = {chr(0x2160 + i): s for i, s in enumerate("I II III IV V VI VII VIII IX X XI XII L C D M".split())} | {chr(0x2170 + i): s.lower() for i, s in enumerate("I II III IV V VI VII VIII IX X XI XII L C D M".split())}
 
@@ -151,18 +154,93 @@ def collapse_ctc(ids: Column, blank: int = 0) -> Column:
     return F.filter(ids, lambda x, i: (x != blank) & ((i == 0) | (x != F.get(ids, i - 1))))
 
 
-def title_score(text: Column, target: Column) -> Column:
-    """How well a title is found in a text: equal 100, equal but for case 95, begins with it 90, holds it 85, is begun by it 80, else 0."""
+def _unreliable(c: Column) -> Column:
+    """Whether a character is punctuation, a symbol, a control or private character."""
+    return c.rlike(r"^[\p{P}\p{S}\p{C}]")
+
+
+def _tolerant_score(a: Column, b: Column) -> Column:
+    """92 or 90 for titles that agree but for their first character, else 0."""
+    tail = lambda c: F.substring(c, F.lit(2), F.length(c))
     return (
-        F.when(text == target, 100)
-        .when(F.lower(text) == F.lower(target), 95)
-        .when(text.startswith(target), 90)
-        .when(text.contains(target), 85)
-        .when(target.startswith(text) & (F.length(text) >= 4), 80)
+        F.when((a == "") | (b == "") | (a == b), 0)
+        .when((F.length(a) > 1) & (tail(a) == b), F.when((F.length(b) >= 4) | _unreliable(a), 92).otherwise(0))
+        .when((F.length(b) > 1) & (tail(b) == a), F.when((F.length(a) >= 4) | _unreliable(b), 92).otherwise(0))
+        .when((F.length(a) == F.length(b)) & (F.length(a) > 1) & (tail(a) == tail(b)) & ((F.length(a) >= 5) | _unreliable(a) | _unreliable(b)), 90)
         .otherwise(0)
     )
 
 
+def title_forms(c: Column) -> Column:
+    """A title as it is compared: without white space and width (plain), and without its number, too (bare)."""
+    return F.struct(canonical(c).alias("plain"), canonical(strip_number(c)).alias("bare"))
+
+
+def title_score(text: Column, target: Column) -> Column:
+    """How well a text is a title, of their ``title_forms``: equal 100; equal without numbers 95; but for the
+    first character 92 or 90; one begins with the other 85, without numbers 80; else 0. (STR-37)"""
+    s, t, s2, t2 = text["plain"], target["plain"], text["bare"], target["bare"]
+    begun = lambda a, b: a.startswith(b) | b.startswith(a)
+    return F.coalesce(
+        F.when((s == "") | (t == ""), 0).when(s == t, 100).when((s2 == t2) & (t2 != ""), 95),
+        F.nullif(_tolerant_score(s, t), F.lit(0)),
+        F.when((t2 != "") & (_tolerant_score(s2, t2) > 0), 90),
+        F.when(begun(s, t), 85).when((t2 != "") & (s2 != "") & begun(s2, t2), 80).otherwise(0),
+    )
+
+
+def field_line(c: Column, lines: Column, labels: Sequence[str] = ()) -> Column:
+    """Whether a text of at most two lines looks like ``label: value``. (PRJ-15)"""
+    t = F.trim(c)
+    at = colon_index(t)
+    label, value = F.trim(F.substring(t, F.lit(1), at - 1)), F.trim(F.substring(t, at + 1, F.length(t)))
+    bare = F.replace(F.replace(label, F.lit(" "), F.lit("")), F.lit("\u3000"), F.lit(""))
+    plain = (F.length(bare) <= 12) & bare.rlike("^[\u4e00-\u9fffA-Za-z0-9（）()_-]+$")
+    ok = (F.length(t) <= 120) & (lines <= 2) & (label != "") & (value != "") & (plain | bare.isin(*labels) if labels else plain)
+    return F.coalesce(ok, F.lit(False))
+
+
+def title_start(c: Column, centred: Column, pattern: str = CHAPTER_LINE) -> Column:
+    """Whether a short text begins like a heading, or is one centred line; a blank one does, too. (PRJ-16)"""
+    t = F.trim(c)
+    listed = t.rlike("^(第|[一二三四五六七八九十]、)")
+    return F.when(t == "", True).when(F.length(t) > 60, False).otherwise(listed | t.rlike(pattern) | centred)
+
+
+def merge_vetoed(a: Column, b: Column, a_lines: Column, b_lines: Column, a_centred: Column, b_centred: Column, sentence: str = SENTENCE_LINE) -> Column:
+    """Whether two texts can't be one paragraph: a line of its own, a field, or a heading is among them. (PRJ-14)"""
+    own = a.rlike(sentence) | b.rlike(sentence)
+    return own | field_line(a, a_lines) | field_line(b, b_lines) | title_start(a, a_centred) | title_start(b, b_centred)
+
+
+def contents_heading(c: Column) -> Column:
+    """A heading of contents as it is compared: without white space, colons and dashes, in lower case. (STR-20)"""
+    return F.lower(F.regexp_replace(c, "(?U)[\\s:：\\-－–—−_]+", ""))
+
+
+def compatible(c: Column) -> Column:
+    """Characters of the compatibility blocks (superscripts, enclosed and wide forms) as plain ones. (STR-22)"""
+    singles = {chr(i): unicodedata.normalize("NFKC", chr(i)) for block in (range(0xB2, 0xBB), range(0x2070, 0x208F), range(0x3000, 0x3001), range(0xFF01, 0xFF5F)) for i in block}
+    singles = {k: v for k, v in singles.items() if len(v) == 1 and v != k}
+    return F.translate(c, "".join(singles), "".join(singles.values()))
+
+
+def split_captions(c: Column, start: str = r"(?:Table|Figure|表|图)\s*\d+") -> Column:
+    """Array of the captions that one line holds; a line with fewer than two stays as it is. (STR-31)"""
+    parts = F.filter(F.split(c, rf"(?={start})"), lambda x: F.trim(x) != "")
+    return F.when(F.size(F.regexp_extract_all(c, F.lit(f"({start})"), F.lit(1))) > 1, F.transform(parts, lambda x: F.trim(x))).otherwise(F.array(c))
+
+
+def find_all(c: Column, pattern: str) -> Column:
+    """Array of (start, text) of the matches, which don't overlap; start counts from 0. (STR-09, STR-10)"""
+    found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+    def step(a, m):
+        start = F.instr(F.substring(c, a["at"] + 1, F.length(c)), m) - 1 + a["at"]
+        return F.struct((start + F.length(m)).alias("at"), F.concat(a["out"], F.array(F.struct(start.cast("int").alias("start"), m.alias("text")))).alias("out"))
+    return F.aggregate(found, empty, step, lambda a: a["out"])
+
+
 def positions(c: Column) -> Column:
     """0-based places in a text of the characters that ``canonical`` keeps: its i-th character comes
     from the i-th place, so ranges of the one can be read in the other."""

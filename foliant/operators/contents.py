@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.functions.text import title_score
+from foliant.functions.text import title_forms, title_score
+from foliant.grouped import fold_groups
 
 PAGE_REF = r"(\.{2,}|…|\s)\s*\d{1,4}\s*$"
 HEADING = r"(?i)^\s*(table of\s+)?contents\s*$|^\s*目\s*录\s*$"
@@ -55,18 +56,48 @@ def look_back(items: DataFrame, found: Column, stops: Column, most: int = 8, gro
     return items.withColumn("parent", F.when(hit > F.coalesce(stop, F.lit(-1)), hit))
 
 
+def title_scores(items: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of a document's contents items and texts, with ``score``; forms are made before the join. (STR-37)"""
+    own = items.withColumn("__t", title_forms(F.col("title")))
+    return own.join(texts.withColumn("__s", title_forms(F.col("text"))), "doc_id").withColumn("score", title_score(F.col("__s"), F.col("__t"))).drop("__s", "__t")
+
+
 def title_matches(items: DataFrame, texts: DataFrame, least: int = 70) -> DataFrame:
-    """doc_id, item, seq, score: the best text for each contents item, the first of equals.
+    """doc_id, item, seq, score: the text that each contents item stands for. (JON-13, TRE-17, TRE-18)
 
-    Only texts that share the first word with the item are compared, so the join has an equi-key.
-    ``items`` (doc_id, item, title), ``texts`` (doc_id, seq, text).
+    In order, an item takes the best text after that of the item before: the first of equals, or the
+    first with 100 or more. The same page adds 5, one at most 3 away 2. ``items`` (doc_id, item, title,
+    page), ``texts`` (doc_id, seq, text, page_no). Candidates are scored by joins within a document;
+    only the choice is a fold.
     """
-    first = lambda c: F.lower(F.regexp_extract(c, r"(\S+)", 1))
-    a = items.select("doc_id", "item", "title", first(F.col("title")).alias("__w"))
-    b = texts.select("doc_id", "seq", "text", first(F.col("text")).alias("__w"))
-    scored = a.join(b, ["doc_id", "__w"]).withColumn("score", title_score(F.col("text"), F.col("title"))).where(F.col("score") >= least)
-    best = F.max_by(F.struct("seq", "score"), F.struct("score", (-F.col("seq")).alias("s")))
-    return scored.groupBy("doc_id", "item").agg(best.alias("b")).select("doc_id", "item", "b.*")
+    near = F.abs(F.col("page_no") - F.col("page"))
+    bonus = F.coalesce(F.when(near == 0, 5).when(near <= 3, 2), F.lit(0))
+    scored = title_scores(items, texts).where("score > 0").withColumn("score", F.col("score") + bonus)
+    met = scored.where(F.col("score") >= least)
+
+    def fold(p):
+        item, seq, scores = p["item"].tolist(), p["seq"].tolist(), p["score"].tolist()
+        chosen, start, i = [], None, 0
+        while i < len(item):
+            best, j = None, i
+            while j < len(item) and item[j] == item[i]:
+                free = start is None or seq[j] > start
+                if free and (best is None or scores[best] < 100) and (best is None or scores[j] > scores[best]):
+                    best = j
+                j += 1
+            if best is not None:
+                chosen.append(best)
+                start = seq[best]
+            i = j
+        return chosen, {}
+
+    return fold_groups(met.select("doc_id", "item", "seq", "score"), "doc_id", ["item", "seq"], ["item", "seq", "score"], ["doc_id", "item", "seq", "score"], fold, {})
+
+
+def contents_heading_at(objects: DataFrame, heading: Column, first: int = 5) -> DataFrame:
+    """doc_id, page_no, seq: the first of a page's first objects that is a heading of contents. (LAY-16)"""
+    place = F.row_number().over(W.partitionBy("doc_id", "page_no").orderBy("seq"))
+    return objects.withColumn("__p", place).where((F.col("__p") <= first) & heading).groupBy("doc_id", "page_no").agg(F.min("seq").alias("seq"))
 
 
 def attach(objects: DataFrame, ranges: DataFrame, group: str = "doc_id", at: str = "seq") -> DataFrame:

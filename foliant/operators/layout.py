@@ -208,6 +208,23 @@ def merge_regions(regions: DataFrame) -> DataFrame:
     return by_page(regions, fold, ["obj_id"], keeps=["page_id"], **dict.fromkeys(EDGES, "double"))
 
 
+def without_duplicates(blocks: DataFrame, color: Sequence[str], near: float = 18, union: float = 0.86, small: float = 0.82) -> DataFrame:
+    """page_id, obj_id that stay: from the largest down, a block goes if a kept one of nearly its colour
+    covers nearly its place. (AGG-23)"""
+
+    def fold(p: Page):
+        b, kept = edges(p), []
+        colors = np.stack([p[c] for c in color], 1).astype(float)
+        for i in range(len(b)):
+            k = [j for j in kept if np.linalg.norm(colors[i] - colors[j]) <= near]
+            if not k or not ((_overlap(b[i], b[k], "union") >= union) | (_overlap(b[i], b[k], "small") >= small)).any():
+                kept.append(i)
+        return kept, {}
+
+    size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    return by_page(blocks, fold, [F.desc(size), "y0", "x0", "y1", "x1", "obj_id"], color)
+
+
 def line_grid(lines: DataFrame) -> DataFrame:
     """page_id, row, col, row_span, col_span, x0, y0, x1, y1 of the cells that ruling lines bound.
 

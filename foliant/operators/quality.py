@@ -88,3 +88,14 @@ def keyword_hits(lines: DataFrame, patterns: list[str], least: int) -> DataFrame
     """doc_id, hits: how many distinct patterns are found, where that is at least ``least``."""
     hits = [F.max(F.col("text").rlike(p).cast("int")) for p in patterns]
     return lines.groupBy("doc_id").agg(sum(hits[1:], hits[0]).alias("hits")).where(F.col("hits") >= least)
+
+
+def region_score(lines: DataFrame, group: str, is_pair: Column, key: str, value: str, page_width: float) -> DataFrame:
+    """group, score: how much a region looks like keys and values: how many pairs, their share of the lines,
+    how well keys and values stand below each other, and whether keys stand left of values. (AGG-12)"""
+    middle = lines.groupBy(group).agg(F.count("*").alias("__n"), F.count_if(is_pair).alias("__k"), F.percentile(key, F.lit(0.5)).alias("__mk"), F.percentile(value, F.lit(0.5)).alias("__mv"))
+    spread = lines.join(middle, group).groupBy(group, "__n", "__k", "__mk", "__mv").agg((F.max(F.abs(F.col(key) - F.col("__mk"))) + F.max(F.abs(F.col(value) - F.col("__mv")))).alias("__s"))
+    count, share = F.least(F.col("__k") / 8, F.lit(1.0)), F.col("__k") / F.greatest("__n", F.lit(1))
+    aligned = F.greatest(F.lit(0.0), 1 - F.col("__s") / max(page_width * 0.25, 1))
+    ordered = F.when(F.col("__mk") < F.col("__mv"), 1.0).otherwise(0.4)
+    return spread.select(group, (count * 0.35 + share * 0.25 + aligned * 0.25 + ordered * 0.15).alias("score"))

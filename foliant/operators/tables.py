@@ -149,15 +149,48 @@ def seam_pairs(last: DataFrame, first: DataFrame, on: list[str], within: float =
 
 
 def seam_merge(a: Column, b: Column, type_a: Column, type_b: Column, type_both: Column) -> Column:
-    """Whether two cells at a seam are one: equal texts, a blank continuation, or pieces of one value
-    are; two numbers, or texts of different kinds, aren't; null leaves it open."""
+    """Whether two cells at a seam are one, by their texts alone: a blank continuation, or pieces of one
+    value are; two numbers, equal texts, or texts of different kinds, aren't; null leaves it open.
+    ``seams.cascade`` has all cases."""
     number = r"^\d+$"
     return (
         F.when((a == "") & (b == ""), None)
         .when(a.rlike(number) & b.rlike(number), False)
         .when(a.rlike(number) & (b == ""), True)
-        .when(a == b, True)
+        .when(a == b, False)
         .when(b == "", True)
         .when((type_both != "text") & (type_a != type_both), True)
         .when(type_a != type_b, False)
     )
+
+
+def select_columns(cells: DataFrame, start: int, end: int) -> DataFrame:
+    """Cells that begin in some columns, numbered anew. (TAB-04)"""
+    return cells.where((F.col("col") >= start) & (F.col("col") < end)).withColumn("col", F.col("col") - start)
+
+
+def block(cells: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
+    """Slots of a block of each table, with the cell that covers each: one row or column gives a
+    spanning cell once, a larger block repeats it. (TAB-21)"""
+    inside = grid(cells).where(F.col("r").between(rows[0], rows[1] - 1) & F.col("c").between(cols[0], cols[1] - 1))
+    if rows[1] - rows[0] == 1 or cols[1] - cols[0] == 1:
+        first = F.struct("r", "c")
+        inside = inside.groupBy(KEY, "row", "col", "row_span", "col_span", "text").agg(F.min(first).alias("f")).select("*", "f.*").drop("f")
+    return inside
+
+
+def placed(cells: DataFrame, width: float, height: float) -> DataFrame:
+    """Cells with estimated boxes: rows and columns share the table's box evenly, from the top. (TAB-16, TAB-19)"""
+    w = shape(cells)
+    at = cells.join(w, KEY)
+    x = lambda c: F.col(c) * width / F.col("cols")
+    y = lambda c: height - F.col(c) * height / F.col("rows")
+    ends = at.withColumns({"__c": F.col("col") + F.col("col_span"), "__r": F.col("row") + F.col("row_span")})
+    return ends.select(*cells.columns, x("col").alias("x0"), y("__r").alias("y0"), x("__c").alias("x1"), y("row").alias("y1"))
+
+
+def as_record(cells: DataFrame) -> DataFrame:
+    """table_id and the table as one struct: type, row_num, col_num and cells in order. (SNK-14)"""
+    cell = F.struct("row", "col", "row_span", "col_span", "text")
+    rows, cols = F.max(F.col("row") + F.col("row_span")), F.max(F.col("col") + F.col("col_span"))
+    return cells.groupBy(KEY).agg(F.struct(F.lit("table").alias("type"), rows.alias("row_num"), cols.alias("col_num"), F.array_sort(F.collect_list(cell)).alias("cells")).alias("record"))

@@ -7,14 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.grouped import fold_groups
+from foliant.runtime import materialize
 
 
-def parents(items: DataFrame, group: str = "doc_id", order: str = "seq", level: str = "level", deepest: int = 9) -> DataFrame:
-    """Add ``parent``: the last earlier item of a smaller level; null at the top.
+def parents(items: DataFrame, group: str = "doc_id", order: str = "seq", level: str = "level", deepest: int | None = None) -> DataFrame:
+    """Add ``parent``: the last earlier item of a smaller level; null at the top. (TRE-15)
 
     One window for each level instead of a stack: the last item of a level so far, forgotten
-    where a smaller level came after it, is the larger of two running maxima.
+    where a smaller level came after it, is the larger of two running maxima. ``deepest`` is the
+    largest level; where it isn't given, it is looked up first.
     """
+    if deepest is None:
+        deepest = items.agg(F.max(level)).first()[0] or 1
     w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     last = [F.max(F.when(F.col(level) == k, F.col(order))).over(w) for k in range(1, deepest)]
     parent = F.lit(None).cast(dict(items.dtypes)[order])
@@ -43,14 +47,46 @@ def fill_gaps(ranges: DataFrame, ends: DataFrame, group: str = "doc_id") -> Data
     return gap.unionByName(tail)
 
 
-def depths(nodes: DataFrame, rounds: int = 16) -> DataFrame:
-    """node_id, depth (a root has 0) of rows (node_id, parent_id), by doubling: so many rounds
-    do for paths of 2^rounds nodes; no recursion, and each round is one join on the node."""
+def depths(nodes: DataFrame) -> DataFrame:
+    """node_id, depth (a root has 0) of rows (node_id, parent_id), by doubling: a join on the node for each
+    doubling of the longest path, until no node looks up any more."""
     state = nodes.select("node_id", F.col("parent_id").alias("up"), F.when(F.col("parent_id").isNull(), 0).otherwise(1).alias("depth"))
-    for _ in range(rounds):
+    while True:
+        state = materialize(state)
+        if state.where("up is not null").isEmpty():
+            return state.select("node_id", "depth")
         above = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"))
         state = state.join(above, "up", "left").select("node_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"))
-    return state.select("node_id", "depth")
+
+
+def in_depth_first_order(nodes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Adds ``number``, from 0: a node's place when each is followed by its children. (WIN-14, TRE-02, TRE-03)
+
+    ``path`` has the places of a node's ancestors and its own as an array of numbers, which orders
+    like a walk through the tree.
+    """
+    return nodes.withColumn("number", F.row_number().over(W.partitionBy(key).orderBy("path")) - 1)
+
+
+def expanded(nodes: DataFrame, group: Column) -> DataFrame:
+    """Nodes without the groups: their children hang on the group's parent, and keep their order. (TRE-25)
+
+    Rows (doc_id, node_id, parent_id, path); groups within groups are taken out at once if they are marked.
+    """
+    marked = nodes.withColumn("__g", F.coalesce(group, F.lit(False)))
+    up = marked.where("__g").select("doc_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("__up"))
+    out = marked.where("not __g").drop("__g")
+    while True:
+        moved = materialize(out.join(up.withColumn("__m", F.lit(True)), ["doc_id", "parent_id"], "left"))
+        out = moved.withColumn("parent_id", F.when(F.col("__m"), F.col("__up")).otherwise(F.col("parent_id"))).select(*nodes.columns)
+        if moved.where("__m").isEmpty():
+            return out
+
+
+def node_of(objects: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Objects with the node that they belong to, null for none; ``nodes`` has (doc_id, node_id, objects). (TRE-06)"""
+    held = nodes.select("doc_id", "node_id", F.explode("objects").alias("obj_id"))
+    return objects.join(held, ["doc_id", "obj_id"], "left")
 
 
 def is_ancestor(path: Column, other: Column) -> Column:

@@ -156,7 +156,7 @@ _SEAM = "seam AS (SELECT page_id, page_id // 4 AS chain, obj_id, x0, x1, kind ||
 
 
 @query(with_sql(BOXES, _SEAM) + """SELECT a.chain, a.page_id, a.obj_id, b.page_id AS next_page, b.obj_id AS next_obj,
-  CASE WHEN a.text = b.text THEN true WHEN left(a.text, 1) <> left(b.text, 1) THEN false END AS merged
+  CASE WHEN a.text = b.text OR left(a.text, 1) <> left(b.text, 1) THEN false END AS merged
 FROM seam a JOIN seam b ON a.chain = b.chain AND a.page_id < b.page_id AND abs(a.x0 - b.x0) <= 5 AND abs(a.x1 - b.x1) <= 5""")
 def seam_pairs(s, d):
     rows = boxes(s, d).select(F.floor(F.col("page_id") / 4).alias("chain"), "page_id", "obj_id", "x0", "x1", F.concat("kind", (F.col("obj_id") % 2).cast("string")).alias("text"))
@@ -250,17 +250,6 @@ def chapter_lines(s, d):
     return found.groupBy("doc_id", "chapter").agg(F.count("*").alias("lines"))
 
 
-_FIRST = r"lower(regexp_extract({}, '([^ \t\n\f\r\x0b]+)', 1))"
-
-
-@query(with_sql(LINES, _HEADS, f"m AS (SELECT h.doc_id, h.seq AS item, l.line_no AS seq, CASE WHEN l.text = h.title THEN 100 WHEN lower(l.text) = lower(h.title) THEN 95 WHEN starts_with(l.text, h.title) THEN 90 WHEN contains(l.text, h.title) THEN 85 WHEN starts_with(h.title, l.text) AND length(l.text) >= 4 THEN 80 ELSE 0 END AS score FROM heads h JOIN lines l ON h.doc_id = l.doc_id AND {_FIRST.format('h.title')} = {_FIRST.format('l.text')})")
-  + "SELECT doc_id, item, seq, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item ORDER BY score DESC, seq) AS n FROM m WHERE score >= 70) WHERE n = 1")
-def title_matches(s, d):
-    heads = _heads(s, d)[0]
-    texts = lines(s, d).select("doc_id", F.col("line_no").cast("long").alias("seq"), "text")
-    return contents.title_matches(heads.select("doc_id", F.col("seq").alias("item"), "title"), texts)
-
-
 @query(with_sql(LINES, _HEADS) + "SELECT doc_id, md5(string_agg(repeat('#', CAST(level AS INTEGER)) || ' ' || title, chr(10) || chr(10) ORDER BY seq)) AS digest FROM heads GROUP BY 1")
 def tree_markdown(s, d):
     rows = _heads(s, d)[0].withColumn("body", F.lit(""))

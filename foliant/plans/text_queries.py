@@ -211,7 +211,7 @@ def tree_depth(s, d):
     nodes = tree.parents(_heads(s, d)[0], deepest=4)
     key = lambda c: F.when(F.col(c).isNotNull(), F.struct("doc_id", F.col(c).alias("seq")))
     # levels are four, so two doublings reach every root
-    found = tree.depths(nodes.select(key("seq").alias("node_id"), key("parent").alias("parent_id")), rounds=2)
+    found = tree.depths(nodes.select(key("seq").alias("node_id"), key("parent").alias("parent_id")))
     return found.select("node_id.doc_id", "node_id.seq", "depth")
 
 

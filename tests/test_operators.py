@@ -126,7 +126,7 @@ def test_tree(spark):
     heads = spark.createDataFrame([(1, i, s) for i, s in enumerate("ABCBAC")], "doc_id long, seq long, style string")
     assert [r.level for r in tree.infer_levels(heads).orderBy("seq").collect()] == [1, 2, 3, 2, 1, 2]
     nodes = spark.createDataFrame([(i, i - 1 if i else None) for i in range(20)], "node_id long, parent_id long")
-    assert {r.node_id: r.depth for r in tree.depths(nodes, 5).collect()} == {i: i for i in range(20)}
+    assert {r.node_id: r.depth for r in tree.depths(nodes).collect()} == {i: i for i in range(20)}
     assert one(spark, tree.is_ancestor(F.lit("1/4"), F.lit("1/4/9"))) and not one(spark, tree.is_ancestor(F.lit("1/4"), F.lit("1/40")))
 
 
@@ -134,7 +134,7 @@ def test_tables(spark):
     cells = spark.createDataFrame([(1, 0, 0, 1, 1, ""), (1, 1, 1, 1, 1, "a"), (1, 2, 2, 1, 1, " ")], "table_id long, row int, col int, row_span int, col_span int, text string")
     assert [tuple(r) for r in tables.strip(cells).collect()] == [(1, 0, 0, 1, 1, "a")]
     assert tuple(tables.stripped_size(cells).first()) == (1, 1, 1)
-    types = [("12", "34", False), ("12", "", True), ("a", "a", True), ("", "", None), ("a", "b", None)]
+    types = [("12", "34", False), ("12", "", True), ("a", "a", False), ("", "", None), ("a", "b", None)]
     for a, b, want in types:
         kind = lambda t: F.lit("int" if t.isdigit() else "text")
         assert one(spark, tables.seam_merge(F.lit(a), F.lit(b), kind(a), kind(b), F.lit("text"))) is want
