@@ -6,9 +6,11 @@ together by content first, and sorted where they meet:
 1. Each text's windows fall into runs, one for each content-defined anchor (``anchors``). Equal
    windows have equal anchors. Within a batch, a run that an earlier text has as well is removed
    at once, so a passage that fills a third of the corpus is one row for each batch.
-2. Runs are dealt by anchor. All but the first of equal runs are removed. Anchors with several
-   different runs are where matches begin or end inside of a run.
-3. The bytes of those runs are joined into one string for each block of anchors. Two-stage
+2. Runs are dealt by anchor. Of runs with one hash the first leads, and the others meet it, at most
+   ``MEMBERS`` of them in one place. Anchors with several different runs are where matches begin or
+   end inside of a run.
+3. The bytes of those runs are sent once. Runs that follow a leader are removed if their bytes are its
+   own. Those of one anchor are joined into a string for each block of anchors. Two-stage
    sorting gives its suffix array: suffixes smaller than their successors are sorted, the rest
    induced. Neighbours with a common prefix of a whole window are equal windows; all but the
    first in (doc_id, start) are removed. Anchors with more than ``HOT_RUNS`` different runs
@@ -16,8 +18,9 @@ together by content first, and sorted where they meet:
    aggregation.
 4. Each text is cut by the union of its removed windows.
 
-Results are exact: runs are compared by a 64-bit hash together with their anchor's hash, windows
-by their bytes (in step 3) or a 128-bit digest. Null texts are empty; texts shorter than a
+Results are exact: runs are compared by their bytes (in step 1, in a batch; in step 3, beyond), and should
+hashes agree where bytes don't, all runs of that anchor are sorted; windows are compared by their
+bytes, under hot anchors by a 128-bit digest. Null texts are empty; texts shorter than a
 window keep all. Where ids are null or repeat, texts are told apart and ordered by (id, digest of
 the text), nulls first; rows that repeat both id and text count once and get equal results.
 """
@@ -41,9 +44,12 @@ from foliant.runtime import materialize
 
 #: Bytes that are hashed together, and the most different runs of an anchor that are sorted in a block.
 PIECE, HOT_RUNS = 1_000_000, 20_000
-FREE, REMOVED, SORTED, HOT = 0, 1, 2, 3
-_CONTEXTS = "kind byte, h long, doc long, lo long, n int, data binary"
-_RUNS = "kind byte, doc long, h long, r long, lo long, n int"
+#: Runs that are compared with their leader in one place.
+MEMBERS = 4096
+FREE, REMOVED, SORTED, HOT, EQUAL, LEADER, MISFIT = range(7)
+_CONTEXTS = "kind byte, h long, r long, part int, doc long, lo long, n int, data binary"
+_RUNS = "kind byte, doc long, h long, r long, lo long, n int, part int"
+_FOUND = "kind byte, h long, doc long, lo long, n int"
 
 
 def _sections(texts: list[bytes]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -70,37 +76,45 @@ def _merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray
     return doc[first], lo[first], np.maximum.reduceat(hi, first)
 
 
-def _batch(kind, doc, h, r, lo, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(r, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32())], ["kind", "doc", "h", "r", "lo", "n"])
+def _batch(kind, doc, h, r, lo, n, part=None) -> pa.RecordBatch:
+    part = np.zeros(len(doc), np.int32) if part is None else part
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int8)), pa.array(doc, pa.int64()), pa.array(h, pa.int64()), pa.array(r, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(np.asarray(part, np.int32))], ["kind", "doc", "h", "r", "lo", "n", "part"])
 
 
-def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find_runs(hash_bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Step 1."""
+    mask = np.uint64(2**hash_bits - 1)
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-        doc, h, r, lo, hi = ([] for _ in range(5))
+        doc, h, r, lo, hi, at_text = ([] for _ in range(6))
         for parts in _sections(texts):
             data = np.frombuffer(b"".join(p for _, _, p in parts), np.uint8)
             ends = np.cumsum([len(p) for _, _, p in parts])
             a, b, at, anchor, rolling = runs(data, ends)
             which = np.searchsorted(ends, a, side="right")
             shift = np.array([o for _, o, _ in parts]) - np.concatenate([[0], ends[:-1]])
-            doc.append(ids[np.array([i for i, _, _ in parts])[which]])
+            at_text.append(np.array([i for i, _, _ in parts])[which])
+            doc.append(ids[at_text[-1]])
             h.append(anchor)
-            r.append(rolling.hashes(a, b + WINDOW) ^ (at - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            r.append((rolling.hashes(a, b + WINDOW) ^ (at - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & mask)
             lo.append(a + shift[which])
             hi.append(b + shift[which])
         if not doc:
             continue
-        doc, h, r, lo, hi = (np.concatenate(x) for x in (doc, h, r, lo, hi))
+        doc, h, r, lo, hi, at_text = (np.concatenate(x) for x in (doc, h, r, lo, hi, at_text))
         order = np.lexsort([lo, doc, r])
-        doc, h, r, lo, hi = (x[order] for x in (doc, h, r, lo, hi))
+        doc, h, r, lo, hi, at_text = (x[order] for x in (doc, h, r, lo, hi, at_text))
         if not len(doc):
             continue
         first = np.concatenate([[True], r[1:] != r[:-1]])
         start = np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
         later = (doc != doc[start]) | (lo != lo[start])
+        there = np.flatnonzero(later)
+        span = lambda i: texts[at_text[i]][lo[i] : hi[i] + WINDOW]
+        odd = [i for i, j in zip(there.tolist(), start[there].tolist(), strict=True) if h[i] != h[j] or span(i) != span(j)]
+        later[odd] = False
+        first[odd] = True
         yield _batch(np.zeros(first.sum(), np.int8), doc[first], h[first].view(np.int64), r[first].view(np.int64), lo[first], (hi - lo + 1)[first])
         gone = np.lexsort([lo[later], doc[later]])
         d, a, b = _merged(doc[later][gone], lo[later][gone], hi[later][gone])
@@ -125,26 +139,34 @@ def _match_runs(hot_runs: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa
         group = np.cumsum(new_h) - 1
         different = np.bincount(group[new_r])[group]
         wanted = new_r & (different > 1)
-        out = np.where(later, REMOVED, np.where(wanted, np.where(different > hot_runs, HOT, SORTED), FREE)).astype(np.int8)
-        keep = out != FREE
-        if keep.any():
-            yield _batch(out[keep], doc[keep], h[keep], r[keep], lo[keep], n[keep])
+        keep = np.flatnonzero(wanted)
+        if len(keep):
+            yield _batch(np.where(different > hot_runs, HOT, SORTED)[keep], doc[keep], h[keep], r[keep], lo[keep], n[keep])
+        keep = np.flatnonzero(later)
+        if len(keep):
+            # members of a run stand in order; every MEMBERS of them meet the leader in a part of their own
+            part = (np.cumsum(later) - np.cumsum(later)[start])[keep] // MEMBERS
+            yield _batch(np.full(len(keep), EQUAL), doc[keep], h[keep], r[keep], lo[keep], n[keep], part)
+            new_part = np.concatenate([[True], (start[keep][1:] != start[keep][:-1]) | (part[1:] != part[:-1])])
+            lead = start[keep][new_part]
+            yield _batch(np.full(len(lead), LEADER), doc[lead], h[lead], r[lead], lo[lead], n[lead], part[new_part])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of runs (doc, text, runs), for step 3."""
     for batch in batches:
-        kind, doc, h, lo, n, data = [], [], [], [], [], []
-        for d, text, own in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
-            t = (text.as_py() or "").encode()
-            for x in own:
-                kind.append(x["kind"])
-                doc.append(d)
-                h.append(x["h"])
-                lo.append(x["lo"])
-                n.append(x["n"])
-                data.append(t[x["lo"] : x["lo"] + x["n"] - 1 + WINDOW])
-        yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int8()), pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int32()), pa.array(data, pa.binary())], ["kind", "h", "doc", "lo", "n", "data"])
+        runs_of = batch.column("runs")
+        own = runs_of.flatten()
+        count = np.diff(runs_of.offsets.to_numpy())
+        which = np.repeat(np.arange(batch.num_rows), count)
+        lo, n = own.field("lo").to_numpy(), own.field("n").to_numpy()
+        data, at, t = [], -1, b""
+        for i, a, b in zip(which.tolist(), lo.tolist(), (lo + n - 1 + WINDOW).tolist(), strict=True):
+            if i != at:
+                at, t = i, (batch.column("text")[i].as_py() or "").encode()
+            data.append(t[a:b])
+        doc = batch.column("doc").take(pa.array(which))
+        yield pa.RecordBatch.from_arrays([*(own.field(k) for k in ("kind", "h", "r", "part")), doc, own.field("lo"), own.field("n"), pa.array(data, pa.binary())], ["kind", "h", "r", "part", "doc", "lo", "n", "data"])
 
 
 def repeated_windows(doc: np.ndarray, lo: np.ndarray, n: np.ndarray, data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -176,11 +198,30 @@ _NEXT = bytes(min(255, b + 1) for b in range(256))
 def _removed(d: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort([s, d])
     d, a, b = _merged(d[order], s[order], s[order])
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(b - a + 1, pa.int32())], ["doc", "lo", "n"])
+    return _found(np.full(len(d), REMOVED), np.zeros(len(d)), d, a, b - a + 1)
+
+
+def _found(kind, h, doc, lo, n) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int8)), pa.array(np.asarray(h, np.int64)), pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(lo, np.int64)), pa.array(np.asarray(n, np.int32))], ["kind", "h", "doc", "lo", "n"])
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Step 3, of rows sorted by side and place: runs of one anchor, or a leader and its members."""
+    for table in groups(batches, ["side", "place"]):
+        kind, h, r, doc, lo, n = (table.column(c).to_numpy() for c in ("kind", "h", "r", "doc", "lo", "n"))
+        data = table.column("data").to_pylist()
+        own = np.flatnonzero(kind == SORTED)
+        if len(own):
+            yield _removed(*repeated_windows(doc[own], lo[own], n[own], [data[i] for i in own.tolist()]))
+        members = np.flatnonzero(kind == EQUAL)
+        if len(members):
+            leaders = {(h[i], r[i]): data[i] for i in np.flatnonzero(kind == LEADER).tolist()}
+            same = np.array([leaders[h[i], r[i]] == data[i] for i in members.tolist()])
+            yield _found(np.where(same, REMOVED, MISFIT), h[members], doc[members], lo[members], n[members])
 
 
 def _sort_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 3, of rows sorted by h."""
+    """Runs of anchors, sorted by h, some of which may be there twice."""
     for table in groups(batches, ["h"]):
         doc, lo, n = (table.column(c).to_numpy() for c in ("doc", "lo", "n"))
         yield _removed(*repeated_windows(doc, lo, n, table.column("data").to_pylist()))
@@ -198,20 +239,26 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(doc, pa.int64()), pa.array(s, pa.int64())], ["w", "doc", "s"])
 
 
-def removed_windows(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
+def removed_windows(docs: DataFrame, hot_runs: int = HOT_RUNS, hash_bits: int = 64) -> DataFrame:
     """doc, lo, n of rows (doc, text): windows that start at lo .. lo + n - 1 of that text are repeats."""
-    found = docs.select("doc", "text").mapInArrow(_find_runs, _RUNS)
-    matched = materialize(found.repartition("h").sortWithinPartitions("h", "r", "doc", "lo").mapInArrow(partial(_match_runs, hot_runs), _RUNS).drop("r"))
+    found = docs.select("doc", "text").mapInArrow(partial(_find_runs, hash_bits), _RUNS)
+    matched = materialize(found.repartition("h").sortWithinPartitions("h", "r", "doc", "lo").mapInArrow(partial(_match_runs, hot_runs), _RUNS))
     out = matched.where(F.col("kind") == REMOVED).select("doc", "lo", "n")
-    # the texts are shuffled once for the runs of both kinds
-    wanted = matched.where(F.col("kind").isin(SORTED, HOT))
-    per = wanted.groupBy("doc").agg(F.collect_set(F.struct("kind", "h", "lo", "n")).alias("runs"))
+    # the texts are shuffled once for the runs of all kinds
+    wanted = matched.where(F.col("kind") != REMOVED)
+    per = wanted.groupBy("doc").agg(F.collect_set(F.struct("kind", "h", "r", "part", "lo", "n")).alias("runs"))
     data = docs.select("doc", "text").join(per.hint("shuffle_hash"), "doc").mapInArrow(_contexts, _CONTEXTS)
     hot = not matched.where(F.col("kind") == HOT).isEmpty()
     if hot:
         data = materialize(data)
-    sorted_runs = data.where(F.col("kind") == SORTED) if hot else data
-    out = out.unionByName(materialize(sorted_runs.repartition("h").sortWithinPartitions("h").mapInArrow(_sort_blocks, "doc long, lo long, n int")))
+    side = (F.col("kind") == SORTED).cast("int")
+    met = data.where(F.col("kind") != HOT).withColumn("side", side).withColumn("place", F.when(F.col("side") == 1, F.col("h")).otherwise(F.xxhash64("h", "r", "part")))
+    met = materialize(met.repartition("side", "place").sortWithinPartitions("side", "place").mapInArrow(_meet, _FOUND))
+    out = out.unionByName(met.where(F.col("kind") == REMOVED).select("doc", "lo", "n"))
+    misfits = met.where(F.col("kind") == MISFIT).select("h").distinct()
+    if not misfits.isEmpty():
+        every = data.join(misfits, "h").repartition("h").sortWithinPartitions("h")
+        out = out.unionByName(materialize(every.select("h", "doc", "lo", "n", "data").mapInArrow(_sort_blocks, _FOUND)).select("doc", "lo", "n"))
     return out.unionByName(_repeated_by_digest(data.where(F.col("kind") == HOT))) if hot else out
 
 
@@ -252,15 +299,15 @@ def removed_spans(size: int, gone: list[tuple[int, int]]) -> list[tuple[int, int
     return out
 
 
-def _with_removed(docs: DataFrame, hot_runs: int) -> DataFrame:
+def _with_removed(docs: DataFrame, hot_runs: int, hash_bits: int = 64) -> DataFrame:
     rows, _ = keyed(docs)
-    per = removed_windows(rows, hot_runs).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("gone"))
+    per = removed_windows(rows, hot_runs, hash_bits).groupBy("doc").agg(F.collect_list(F.struct("lo", "n")).alias("gone"))
     return rows.join(per.hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "gone")
 
 
-def digests(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:
+def digests(docs: DataFrame, hot_runs: int = HOT_RUNS, hash_bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    return _with_removed(docs, hot_runs).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_removed(docs, hot_runs, hash_bits).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def kept_bytes(docs: DataFrame, hot_runs: int = HOT_RUNS) -> DataFrame:

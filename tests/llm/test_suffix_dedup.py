@@ -43,6 +43,26 @@ def test_hot_anchors(spark):
     assert as_dict(suffix_dedup.digests(docs, hot_runs=1)) == brute.removed(list({(r[0], r[1]) for r in rows}))
 
 
+def test_hashes_that_agree_are_not_trusted(spark, monkeypatch):
+    """Run hashes of two bits collide all the time; bytes decide, with the same result."""
+    rows = edge_rows()
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = brute.removed(list({(r[0], r[1]) for r in rows}))
+    assert as_dict(suffix_dedup.digests(docs, hash_bits=2)) == want
+    assert as_dict(suffix_dedup.digests(docs.repartition(9), hash_bits=2, hot_runs=3)) == want
+
+
+def test_members_of_a_run_meet_their_leader_in_parts():
+    import pyarrow as pa
+
+    n = 3 * suffix_dedup.MEMBERS
+    rows = suffix_dedup._batch(np.zeros(n), np.arange(n), np.full(n, 5), np.full(n, 6), np.zeros(n), np.ones(n))
+    out = pa.Table.from_batches(suffix_dedup._match_runs(100, iter([rows]))).to_pandas()
+    members, leaders = out[out.kind == suffix_dedup.EQUAL], out[out.kind == suffix_dedup.LEADER]
+    assert len(members) == n - 1 and members.groupby("part").size().max() <= suffix_dedup.MEMBERS
+    assert set(members.part) == set(leaders.part) and set(leaders.doc) == {0} and leaders.part.is_unique
+
+
 def test_empty_and_kept_bytes(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.digests(docs).count() == 0
