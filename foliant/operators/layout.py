@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.grouped import Fold, fold_groups
+from foliant.operators.sequence import merge_intervals
 
 EDGES = ["x0", "y0", "x1", "y1"]
 Page = Mapping[str, np.ndarray]
@@ -225,6 +226,42 @@ def without_duplicates(blocks: DataFrame, color: Sequence[str], near: float = 18
     return by_page(blocks, fold, [F.desc(size), "y0", "x0", "y1", "x1", "obj_id"], color)
 
 
+def line_order(objects: DataFrame, within: float = 10) -> DataFrame:
+    """page_id, obj_id, place: from the smallest y, then x; an object moves before those ahead of it that
+    stand less than a distance away in y and further right. (SRT-07)"""
+
+    def fold(p: Page):
+        x, y, order = p["x0"].tolist(), p["y0"].tolist(), []
+        for i in range(len(x)):
+            at = len(order)
+            while at and abs(y[i] - y[order[at - 1]]) < within and x[i] < x[order[at - 1]]:
+                at -= 1
+            order.insert(at, i)
+        return order, {"place": range(len(order))}
+
+    return by_page(objects, fold, ["y0", "x0", "obj_id"], place="int")
+
+
+def rect_lines(rects: DataFrame, within: float = 1, gap: float = 3, least: float = 5) -> DataFrame:
+    """page_id, y, x0, x1: flat rectangles (page_id, obj_id, x0, x1, c: the middle of their height) as lines.
+
+    Those within a distance of a group's first one are a line, which ends at gaps; short ones go. (TAB-25)
+    """
+
+    def fold(p: Page):
+        first, number, out = None, 0, []
+        for c in p["c"].tolist():
+            if first is None or c - first > within:
+                first, number = c, number + 1
+            out.append((number, first))
+        return range(len(out)), {"group_no": [n for n, _ in out], "y": [f for _, f in out]}
+
+    kind = dict(rects.dtypes)["c"]
+    marked = fold_groups(rects, "page_id", ["c", "x0", "obj_id"], ["c"], ["page_id", "x0", "x1"], fold, {"group_no": "int", "y": kind})
+    joined = merge_intervals(marked, ["page_id", "group_no", "y"], "x0", "x1", gap)
+    return joined.where(F.col("hi") - F.col("lo") >= least).select("page_id", "y", F.col("lo").alias("x0"), F.col("hi").alias("x1"))
+
+
 def line_grid(lines: DataFrame) -> DataFrame:
     """page_id, row, col, row_span, col_span, x0, y0, x1, y1 of the cells that ruling lines bound.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,3 +101,15 @@ def region_score(lines: DataFrame, group: str, is_pair: Column, key: str, value:
     aligned = F.greatest(F.lit(0.0), 1 - F.col("__s") / max(page_width * 0.25, 1))
     ordered = F.when(F.col("__mk") < F.col("__mv"), 1.0).otherwise(0.4)
     return spread.select(group, (count * 0.35 + share * 0.25 + aligned * 0.25 + ordered * 0.15).alias("score"))
+
+
+def job_progress(items: DataFrame, job: str, item: str, done: Column, failed: Column) -> DataFrame:
+    """job, items, done, last, failed: how far each job is. (STM-03, STM-10)"""
+    return items.groupBy(job).agg(F.count("*").alias("items"), F.count_if(done).alias("done"), F.max(item).alias("last"), F.count_if(failed).alias("failed"))
+
+
+def pattern_stats(rows: DataFrame, text: Column, patterns: Sequence[str]) -> DataFrame:
+    """pattern, hits, misses: all patterns are counted in one pass over the rows. (AGG-17)"""
+    counts = [c for i, p in enumerate(patterns) for c in (F.count_if(text.rlike(p)).alias(f"h{i}"), F.count_if(~text.rlike(p)).alias(f"m{i}"))]
+    each = F.array(*(F.struct(F.lit(p).alias("pattern"), F.col(f"h{i}").alias("hits"), F.col(f"m{i}").alias("misses")) for i, p in enumerate(patterns)))
+    return rows.agg(*counts).select(F.explode(each).alias("s")).select("s.*")

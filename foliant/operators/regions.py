@@ -121,3 +121,26 @@ def candidates(main: DataFrame, texts: DataFrame, window: float = 50) -> DataFra
     titles = F.count_if(F.col("t_kind") == "title").over(W.partitionBy("page_id", "obj_id"))
     found = found.withColumn("__t", titles).where((F.col("t_kind") != "unit") | (F.col("__t") > 0))
     return found.select("page_id", "obj_id", F.col("t_obj_id").alias("text_id"), F.col("t_kind").alias("kind"), "gap")
+
+
+def blocks(main: DataFrame, texts: DataFrame, window: float = 50) -> DataFrame:
+    """page_id, obj_id, x0, y0, x1, y1, captions: objects together with the nearest title above and the nearest
+    source below. (LAY-01)"""
+    met = candidates(main, texts, window).where(F.col("kind").isin("title", "source"))
+    nth = F.row_number().over(W.partitionBy("page_id", "obj_id", "kind").orderBy("gap", "text_id"))
+    near = met.withColumn("__n", nth).where("__n = 1").select("page_id", "obj_id", "text_id")
+    boxes = near.join(texts.select("page_id", F.col("obj_id").alias("text_id"), *EDGES), ["page_id", "text_id"]).select("page_id", "obj_id", *EDGES, F.lit(1).alias("__c"))
+    every = main.select("page_id", "obj_id", *EDGES, F.lit(0).alias("__c")).unionByName(boxes)
+    edges = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")]
+    return every.groupBy("page_id", "obj_id").agg(*edges, F.sum("__c").alias("captions"))
+
+
+def part_rows(parts: DataFrame) -> DataFrame:
+    """page_id, obj_id, row, col: parts whose heights overlap, directly or by others, are a row from the top; in
+    a row they go from left to right. (LAY-02, LAY-03)"""
+    up = W.partitionBy("page_id").orderBy("y0", "y1", "obj_id")
+    top = F.max("y1").over(up.rowsBetween(W.unboundedPreceding, -1))
+    marked = parts.withColumn("__new", F.coalesce((F.col("y0") >= top), F.lit(True)).cast("int"))
+    marked = marked.withColumn("__n", F.sum("__new").over(up.rowsBetween(W.unboundedPreceding, 0)))
+    row = F.max("__n").over(W.partitionBy("page_id")) - F.col("__n")
+    return marked.select("page_id", "obj_id", row.alias("row"), (F.row_number().over(W.partitionBy("page_id", "__n").orderBy("x0", "obj_id")) - 1).alias("col"))

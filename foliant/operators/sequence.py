@@ -7,6 +7,7 @@ rows are as many as its lines, and skew is that of document lengths.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -114,6 +115,31 @@ def continuity(lines: DataFrame, page_width: int) -> DataFrame:
     return lines.withColumn("score", score).withColumn("joins", F.coalesce(F.col("score") >= F.when(scene == 2, 7).otherwise(6), F.lit(False)))
 
 
+def merge_scene(a_page: Column, b_page: Column, same_section: Column, a_column: Column, b_column: Column, columns: Column, first_page: Column, narrow: Column) -> Column:
+    """How two texts that follow each other stand: same_column or next_column of a page, page_same_column or
+    page_next_column over a page break; null for others, for first pages and for narrow texts. (WIN-09)"""
+    here, next_ = a_page == b_page, a_page + 1 == b_page
+    turned = (a_column + 1 == columns) & (b_column == 0)
+    return F.when(
+        same_section & a_column.isNotNull() & b_column.isNotNull(),
+        F.when(here & ~first_page & ~narrow, F.when(a_column == b_column, "same_column").when(a_column + 1 == b_column, "next_column"))
+        .when(next_ & (a_column == 0) & (b_column == 0) & (columns == 1), "page_same_column")
+        .when(next_ & turned, "page_next_column"),
+    )
+
+
+def continuity_score(scene: Column, full: Column, aligned: Column, alike: Column, stop: Column, indent_a: Column, indent_b: Column) -> Column:
+    """How far a text goes on in the next one, by what is known of their ends. (WIN-07)"""
+    yes = lambda c, a, b=0: F.when(c, a).otherwise(b)
+    over_page = scene == "page_next_column"
+    return yes(scene != "same_column", 2) + yes(full, 2, -3) + yes(aligned, 2) + yes(alike, 1) + yes(stop, -2, 1) + yes(indent_b, -2) + yes(indent_a & indent_b, -2) + yes(over_page, 1)
+
+
+def goes_on(scene: Column, score: Column) -> Column:
+    """Whether a score reaches its scene's threshold. (WIN-08)"""
+    return F.coalesce(score >= F.when(scene == "page_next_column", 7).otherwise(6), F.lit(False)) & scene.isNotNull()
+
+
 def balanced_split(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], parts: int, into: str = "part") -> DataFrame:
     """Number ``parts`` shares of each group whose sizes differ by one at most."""
     return df.withColumn(into, F.ntile(parts).over(W.partitionBy(*group).orderBy(*order)))
@@ -142,11 +168,19 @@ def head_tail_sample(df: DataFrame, group: Sequence[str], order: Sequence[str],
 def admit(waiting: DataFrame, caps: dict[int, int], capacity: int) -> DataFrame:
     """The tasks that may start: first come first served within each priority's cap, then the capacity.
 
-    Rows have priority, arrival and id. No more than the sum of the caps passes to the last sort.
+    Rows have priority, arrival and id. Each priority's first rows are kept in every task and merged,
+    so no task sorts all rows of a priority. (SRT-16)
     """
-    cap = F.create_map(*[F.lit(v) for kv in caps.items() for v in kv])
-    n = F.row_number().over(W.partitionBy("priority").orderBy("arrival", "id"))
-    return waiting.withColumn("__n", n).where(F.col("__n") <= cap[F.col("priority")]).drop("__n").orderBy("arrival", "id").limit(capacity)
+    parts = [waiting.where(F.col("priority") == p).orderBy("arrival", "id").limit(n) for p, n in caps.items()]
+    return reduce(DataFrame.unionByName, parts).orderBy("arrival", "id").limit(capacity)
+
+
+def fair_share(running: DataFrame, capacity: int) -> DataFrame:
+    """job, item, admitted: of each job's items in order, as many as an even share of the capacity, rounded
+    up, are in flight. (STM-01, STM-02)"""
+    share = -(-capacity // max(1, running.select("job").distinct().count()))
+    n = F.row_number().over(W.partitionBy("job").orderBy("at", "item"))
+    return running.select("job", "item", (n <= share).alias("admitted"))
 
 
 def siblings(df: DataFrame, parent: str, order: str, key: str) -> DataFrame:

@@ -52,10 +52,14 @@ def region_claim(objects: DataFrame, regions: DataFrame, ratio: float) -> DataFr
 
 
 def two_pass_claim(objects: DataFrame, regions: DataFrame, first: float = 0.7, second: float = 0.4) -> DataFrame:
-    """page_id, region_id, obj_id, pass: what the strict pass leaves goes by the lax one."""
-    one = region_claim(objects, regions, first).withColumn("pass", F.lit(1))
-    rest = objects.join(one.select("page_id", "obj_id"), ["page_id", "obj_id"], "left_anti")
-    return one.unionByName(region_claim(rest, regions, second).withColumn("pass", F.lit(2)))
+    """page_id, region_id, obj_id, pass: what the strict pass leaves goes by the lax one. One join: a
+    window prefers the strict pass, then the first region. (JON-06)"""
+    r = prefixed(regions.select("page_id", "region_id", *EDGES), "r_")
+    share = F.when(g.area(box("r_")) > 0, g.contained_ratio(box("r_"), box()))
+    found = objects.select("page_id", "obj_id", *EDGES).join(r, "page_id").withColumn("__s", share).where(F.col("__s") >= min(first, second))
+    found = found.withColumn("pass", F.when(F.col("__s") >= first, 1).otherwise(2))
+    n = F.row_number().over(W.partitionBy("page_id", "obj_id").orderBy("pass", "r_region_id"))
+    return found.withColumn("__n", n).where("__n = 1").select("page_id", F.col("r_region_id").alias("region_id"), "obj_id", "pass")
 
 
 def best_region(objects: DataFrame, regions: DataFrame, least: float = 0.5) -> DataFrame:

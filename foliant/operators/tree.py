@@ -96,9 +96,8 @@ def is_ancestor(path: Column, other: Column) -> Column:
 
 def toc_item(text: Column) -> Column:
     """(no, title, page, level) of a contents line; null where it has no page number."""
-    no = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)*)?\.?\s*(.*?)[\s.·…]*(\d+)\s*$", 1)
-    title = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)*)?\.?\s*(.*?)[\s.·…]*(\d+)\s*$", 2)
-    page = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)*)?\.?\s*(.*?)[\s.·…]*(\d+)\s*$", 3)
+    line = r"(?U)^\s*(\d+(?:\.\d+)*)?\.?\s*(.*?)[\s.·…]*(\d+)\s*$"
+    no, title, page = (F.regexp_extract(text, line, i) for i in (1, 2, 3))
     level = F.when(no == "", 1).otherwise(F.size(F.split(no, r"\.")))
     return F.when(page != "", F.struct(no.alias("no"), title.alias("title"), page.cast("int").alias("page"), level.alias("level")))
 

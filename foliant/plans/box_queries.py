@@ -222,7 +222,7 @@ def table_html(s, d):
 
 @query(with_sql(BOXES, _CELLS, """h AS (SELECT table_id // 8 AS chain, table_id, list(col || kind ORDER BY col) AS h FROM (SELECT table_id, CAST(col AS VARCHAR) AS col, left(text, 1) AS kind FROM cells WHERE "row" = 0) GROUP BY 1, 2)""") + "SELECT chain, table_id, coalesce(lag(h) OVER (PARTITION BY chain ORDER BY table_id) = h, false) AS repeats FROM h")
 def header_repeat(s, d):
-    cells = _cells(s, d).withColumn("chain", F.floor(F.col("table_id") / 8)).withColumn("text", F.left("text", F.lit(1)))
+    cells = _cells(s, d).withColumn("chain", F.floor(F.col("table_id") / 8)).withColumn("text", F.substring_index("text", "<", 1))
     return tables.repeated_header(cells, "chain")
 
 

@@ -63,11 +63,11 @@ def section_starts(s, d):
 _CANON = r"lower(regexp_replace({}, '[ \t\n\r\f\x0b\x1c-\x1f\x85\xa0\x{{2028}}\x{{2029}}\x{{3000}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{1680}}]+', '', 'g'))"
 
 
-@query(with_sql(LINES, "o AS (SELECT doc_id, page_no, line_no AS node, CASE WHEN line_no % 2 = 0 THEN text ELSE '#' || substr(text, 2) END AS title FROM lines WHERE length(text) BETWEEN 1 AND 60)", f"a AS (SELECT doc_id, page_no, node, {_CANON.format('title')} AS t FROM o)", f"b AS (SELECT doc_id, page_no, line_no AS seq, {_CANON.format('text')} AS u FROM lines)")
+@query(with_sql(LINES, "o AS (SELECT doc_id, page_no, line_no AS node, CASE WHEN line_no % 2 = 0 THEN text ELSE '#' || substr(text, 2) END AS title FROM lines WHERE text <> '')", f"a AS (SELECT doc_id, page_no, node, {_CANON.format('title')} AS t FROM o)", f"b AS (SELECT doc_id, page_no, line_no AS seq, {_CANON.format('text')} AS u FROM lines)")
   + "SELECT a.doc_id, node, min(seq) AS seq FROM a JOIN b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND (t = u OR (length(t) >= 5 AND length(t) = length(u) AND substr(t, 2) = substr(u, 2))) GROUP BY 1, 2")
 def outline_matches(s, d):
     rows = lines(s, d).withColumn("seq", F.col("line_no").cast("long"))
-    outline = rows.where(F.length("text").between(1, 60)).select("doc_id", "page_no", F.col("seq").alias("node"), F.when(F.col("seq") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("#"), F.substring("text", F.lit(2), F.length("text")))).alias("title"))
+    outline = rows.where(F.col("text") != "").select("doc_id", "page_no", F.col("seq").alias("node"), F.when(F.col("seq") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("#"), F.substring("text", F.lit(2), F.length("text")))).alias("title"))
     return flow.outline_matches(outline, rows)
 
 
@@ -98,14 +98,14 @@ def page_ranges(s, d):
     return pages.select("doc_id", r.alias("r")).where("r is not null").select("doc_id", F.col("r.first").alias("first_page"), F.col("r.last").alias("last_page"))
 
 
-_LABELLED = "labelled AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN 'Key ' || line_no || ': ' || left(text, 20) ELSE replace(text, ':', ' ') END AS text FROM lines)"
+_LABELLED = "labelled AS (SELECT doc_id, line_no, CASE WHEN line_no % 3 = 0 THEN 'Key ' || line_no || ': ' || text ELSE replace(text, ':', ' ') END AS text FROM lines)"
 
 
 @query(with_sql(LINES, _LABELLED, "e AS (SELECT *, CASE WHEN line_no % 3 = 0 THEN 1 ELSE 0 END AS n FROM labelled)", "k AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY line_no) AS entry, sum(n) OVER (PARTITION BY doc_id) AS labels FROM e)")
   + "SELECT doc_id, CAST(entry AS BIGINT) AS entry, 'Key ' || min(line_no) AS k, md5(string_agg(trim(CASE WHEN n = 1 THEN substr(text, instr(text, ':') + 1) ELSE text END), ' ' ORDER BY line_no)) AS digest FROM k WHERE labels >= 2 GROUP BY doc_id, entry")
 def key_value_rows(s, d):
     n = F.col("line_no").cast("long")
-    text = F.when(n % 3 == 0, F.concat(F.lit("Key "), n.cast("string"), F.lit(": "), F.left("text", F.lit(20)))).otherwise(F.replace("text", F.lit(":"), F.lit(" ")))
+    text = F.when(n % 3 == 0, F.concat(F.lit("Key "), n.cast("string"), F.lit(": "), F.col("text"))).otherwise(F.replace("text", F.lit(":"), F.lit(" ")))
     rows = lines(s, d).select("doc_id", n.alias("line_no"), text.alias("text"))
     return flow.key_value_rows(rows, ["doc_id"], "line_no").select("doc_id", "entry", F.col("key").alias("k"), F.md5(F.col("value").cast("binary")).alias("digest"))
 
@@ -120,11 +120,11 @@ def number_styles(s, d):
     return lines(s, d).select(style.alias("style")).groupBy("style").agg(F.count("*").alias("n")).select("style", num.style_rank(F.col("style")).alias("rank"), "n")
 
 
-@query(with_sql(LINES, r"t AS (SELECT doc_id, line_no, left(text, 30) || ' ..... ' || (line_no + 1) AS text FROM lines WHERE regexp_matches(text, '^[A-Za-z]'))") + "SELECT doc_id, line_no, line_no + 1 AS page, 1 AS level FROM t")
+@query(with_sql(LINES, r"t AS (SELECT doc_id, line_no, regexp_replace(text, '[\s\x0b\x1c-\x1f\x85\p{Z}.·…]+$', '') AS title FROM lines WHERE regexp_matches(text, '^[A-Za-z]'))") + "SELECT doc_id, line_no, line_no + 1 AS page, 2 AS level, '7.' || line_no % 9 AS no, md5(title) AS title FROM t")
 def toc_items(s, d):
     n = F.col("line_no").cast("long")
-    rows = lines(s, d).where(F.col("text").rlike("^[A-Za-z]")).select("doc_id", n.alias("line_no"), F.concat(F.left("text", F.lit(30)), F.lit(" ..... "), (n + 1).cast("string")).alias("text"))
-    return rows.select("doc_id", "line_no", tree.toc_item(F.col("text")).alias("t")).select("doc_id", "line_no", F.col("t.page").cast("long").alias("page"), F.col("t.level").alias("level"))
+    rows = lines(s, d).where(F.col("text").rlike("^[A-Za-z]")).select("doc_id", n.alias("line_no"), F.concat(F.lit("7."), (n % 9).cast("string"), F.lit(" "), F.col("text"), F.lit(" ..... "), (n + 1).cast("string")).alias("text"))
+    return rows.select("doc_id", "line_no", tree.toc_item(F.col("text")).alias("t")).select("doc_id", "line_no", F.col("t.page").cast("long").alias("page"), F.col("t.level").alias("level"), F.col("t.no").alias("no"), F.md5(F.col("t.title").cast("binary")).alias("title"))
 
 
 _SPACE = r"[ \t\n\r\f\x0b\x1c-\x1f\x85\xa0\x{2028}\x{2029}\x{3000}\x{2000}-\x{200a}\x{202f}\x{205f}\x{1680}]"
