@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     if not plain:
         same = made.where("doc_id is not null").select("doc", "doc_id").distinct()
         links = links.unionByName(same.join(same.groupBy("doc_id").agg(F.min("doc").alias("b")), "doc_id").select(F.col("doc").alias("a"), "b").where("a != b"))
-    links = materialize(links, rows=pairs.count() + n)
+    links = materialize(links, like=docs)
     roots = components(links, links.count())
     # buckets that the links leave in several components, once for each set of members
     rooted = near.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "hub", F.coalesce("root", "doc").alias("root"))
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     more = materialize(compare_blocks(blocks, k, percent), like=docs)
     if not more.isEmpty():
         found = materialize(more.distinct(), rows=more.count())
-        links = links.unionByName(materialize(confirm(found, texts, k, percent), rows=found.count()))
+        links = links.unionByName(materialize(confirm(found, texts, k, percent), like=docs))
         roots = components(links, links.count())
     final = roots.select(F.col("node").alias("doc"), "root")
     if plain:
