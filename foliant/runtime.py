@@ -21,7 +21,7 @@ PACKAGE = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
 #: A side of a join with more rows than this is never broadcast by hand.
 BROADCAST_ROWS = 20_000
 #: Rows or bytes of a task that writes a table whose size is known.
-TASK_ROWS, TASK_BYTES = 25_000, 16_000_000
+TASK_ROWS, TASK_BYTES = 25_000, 8_000_000
 
 _scratch: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
