@@ -86,6 +86,23 @@ class _Memo(dict):
         return value
 
 
+def check_supported(spec: dict) -> None:
+    """Refuse a vocabulary file that asks for anything that this module doesn't do."""
+    split, level = {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    cuts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    model = spec["model"]
+    right = {
+        "normalizer": steps in ([{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}], [{"type": "NFC"}, {"type": "Lowercase"}]),
+        "pre_tokenizer": [{k: v for k, v in c.items() if k != "trim_offsets"} for c in cuts] == [split, level],
+        "decoder": spec.get("decoder") is None and spec.get("post_processor") is None,
+        "model": model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "added_tokens": not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if wrong := [k for k, ok in right.items() if not ok]:
+        raise ValueError(f"this vocabulary's {', '.join(wrong)} can't be read")
+
+
 class BPE:
     """A byte-level BPE vocabulary whose words end in a suffix (``</w>``)."""
 
@@ -94,6 +111,7 @@ class BPE:
         import regex
 
         spec = json.loads(data)
+        check_supported(spec)
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         chars = byte_chars()
@@ -135,6 +153,7 @@ class BPE:
         self.offsets = np.concatenate([[0], np.cumsum([len(n) for n in names])]).tolist()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.marks = tuple({t[:2] for t in self.special})
         self.words = regex.compile(WORDS)
         self.recent, self.library = recent_characters(), _library_words()
         self.ascii_words = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
@@ -201,7 +220,7 @@ class BPE:
     def pieces(self, text: str) -> Iterator[tuple[str, list[str]]]:
         """Special tokens and the words between them."""
         at = 0
-        if self.split_special is not None and "<|" in text:
+        if any(m in text for m in self.marks):
             for m in self.split_special.finditer(text):
                 yield "", self.split_words(text[at : m.start()])
                 yield m[0], []

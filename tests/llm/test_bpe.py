@@ -87,3 +87,13 @@ def test_a_missing_library_is_an_error(monkeypatch):
     monkeypatch.setitem(sys.modules, "tokenizers", None)
     with pytest.raises(ImportError):
         bpe.BPE(queries.vocabulary())
+
+
+def test_files_that_ask_for_something_else_are_refused():
+    import json
+
+    good = json.loads(queries.vocabulary())
+    bpe.check_supported(good)
+    for part, value in (("decoder", {"type": "ByteLevel"}), ("normalizer", {"type": "Sequence", "normalizers": [{"type": "NFKC"}]}), ("pre_tokenizer", None), ("model", good["model"] | {"byte_fallback": True})):
+        with pytest.raises(ValueError, match=part):
+            bpe.check_supported(good | {part: value})
