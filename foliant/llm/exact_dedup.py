@@ -75,7 +75,7 @@ def identities(docs: DataFrame, block: int = BLOCK, digest: Callable[[Column], C
         left, right = F.when(F.col("i") % 2 == 0, F.col("name")), F.when(F.col("i") % 2 == 1, F.col("name"))
         pairs = rows.where("blocks > 1").groupBy(*_KEPT, "blocks", F.floor(F.col("i") / 2).cast("int").alias("i")).agg(F.max(left).alias("a"), F.coalesce(F.max(right), F.lit(-1).cast("long")).alias("b"))
         pairs = materialize(pairs, rows=many)
-        names = materialize(number(pairs, F.struct("a", "b"), many, 16 * BUCKET).select("key.*", "name"), rows=many)
+        names = number(pairs, F.struct("a", "b"), many, 16 * BUCKET).select("key.*", "name")
         rows = materialize(pairs.join(names, ["a", "b"]).select(*_KEPT, F.ceil(F.col("blocks") / 2).cast("int").alias("blocks"), "i", "name"), rows=many)
         done.append(rows.where("blocks = 1").select(*_KEPT, "name"))
     out = done[0]
