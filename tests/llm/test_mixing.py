@@ -46,6 +46,37 @@ def test_edges_and_partitions(spark):
         assert Counter(map(tuple, got)) == Counter(map(tuple, other))
 
 
+def test_taken_counts_words_one_by_one(spark, sf_dir):
+    """What each document gives, counted word by word from the slots and the places of documents."""
+    odd = spark.createDataFrame(with_nulls(), SCHEMA).select("doc_id", "source", "text")
+    for docs, block in ((spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"), 512), (odd, 64)):
+        sizes = docs.select("doc_id", "source", mixing.size().alias("size"))
+        sources = mixing.plan(mixing.targets(sizes), block)
+        words = {r.key: [0] * r.source_size for r in sources.collect()}
+        for s in mixing.slots(sources, 42, block).collect():
+            for w in range(s.block_no * block, s.block_no * block + s.words):
+                words[s.key][w] += 1
+        want = Counter((r.doc_id, r.source, r.size, sum(words[r.key][r.start : r.start + r.size])) for r in mixing.placed(sizes, sources, 42).collect())
+        got = Counter((r.doc_id, r.source, r.size, r.taken) for r in mixing.mix(docs, block=block).collect())
+        assert got == want
+
+
+def test_slots_are_made_in_many_tasks(spark):
+    sizes = spark.createDataFrame([(1, "a", 40 * mixing.SLOTS_A_TASK)], "doc_id long, source string, size long")
+    made = mixing.slots(mixing.plan(mixing.targets(sizes), 1), 42, 1)
+    assert made.rdd.getNumPartitions() == 40
+    assert made.count() == 40 * mixing.SLOTS_A_TASK
+
+
+def test_rows_that_repeat_an_id_in_two_sources_are_mixed_apart(spark):
+    rows = [(1, "w " * 600, "a"), (1, "v " * 5, "b"), (2, "u " * 600, "a"), (3, "x " * 5, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {(r.doc_id, r.source): (r.size, r.taken) for r in mixing.mix(docs).collect()}
+    times = Counter((r.doc_id, r.source) for r in mixing.mix_documents(docs).collect())
+    for k, (size, t) in taken.items():
+        assert t // size <= times[k] <= -(-t // size)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixing.mix(docs).count() == 0

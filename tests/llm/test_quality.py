@@ -3,8 +3,10 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pytest
 
 from foliant.llm import quality, queries, trees
+from tests.llm import brute
 from tests.llm.fixtures import SCHEMA, edge_rows, with_nulls
 
 
@@ -73,3 +75,44 @@ def test_trees_learn_and_flatten():
     one = forest.score(x[:1])
     assert one[0] == forest.score(x[:10])[0]
     assert np.isfinite(trees.fit(x[:10], np.ones(10)).score(x)).all()
+
+
+def test_flat_traversal_is_a_walk_through_the_trees():
+    from foliant.llm.trees import fit
+
+    r = np.random.default_rng(6)
+    x = np.round(r.standard_normal((400, 5)), 1)
+    y = (x[:, 0] * x[:, 1] + 0.3 * r.standard_normal(400) > 0).astype(float)
+    forest = fit(x, y, trees=25, depth=3)
+    got = forest.score(x)
+    assert np.allclose(got, [brute.walked(forest, row) for row in x.tolist()], atol=1e-9)
+    # more trees fit better; equal rows score equally
+    loss = lambda f: -np.mean(np.log(np.where(y == 1, f.score(x), 1 - f.score(x))))
+    assert loss(fit(x, y, trees=1, depth=3)) > loss(forest) > 0
+    assert (forest.score(np.concatenate([x, x]))[400:] == got).all()
+
+
+def test_one_split_is_the_best_of_all():
+    """A single tree of depth 1 against trying every cut of every feature."""
+    from foliant.llm.trees import fit
+
+    r = np.random.default_rng(7)
+    x = r.integers(0, 6, (60, 3)).astype(float)
+    y = (x[:, 2] > 2).astype(float)
+    y[:6] = 1 - y[:6]
+    f = fit(x, y, trees=1, depth=1, bins=64)
+    p = (y.sum() + 0.5) / 61
+    grad, hess = y - p, np.full(60, p * (1 - p))
+    gain = lambda m: grad[m].sum() ** 2 / (hess[m].sum() + 1)
+    best = max(((gain(x[:, j] <= c) + gain(x[:, j] > c), j, c) for j in range(3) for c in np.unique(x[:, j])[:-1]), key=lambda t: t[0])
+    assert f.feature[0, 0] == best[1]
+    assert ((x[:, best[1]] > f.cut[0, 0]) == (x[:, best[1]] > best[2])).all()
+
+
+def test_very_long_and_tied_texts_have_defined_scores(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    forest = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = [(1, "word and other words. " * 50_000), (2, None), (3, ""), (4, "same"), (5, "same"), (None, "same")]
+    got = [(r.doc_id, r.score) for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect()]
+    want = forest.score(np.array([quality.statistics(t or "") for _, t in rows]))
+    assert [s for _, s in got] == pytest.approx(want.tolist()) and got[1][1] == got[2][1] and got[3][1] == got[4][1] == got[5][1]
