@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import sys
@@ -43,6 +44,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def trim_driver(spark: SparkSession) -> None:
+    """Let the driver's JVM collect its garbage once its heap has grown to more than half of what it may take.
+
+    Plans, metrics and relations of finished queries are garbage, but G1 lets the heap grow before it
+    collects the old ones. A full collection gives memory back, and lets Spark drop the shuffle files
+    and broadcasts that no table needs any more.
+    """
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * heap.totalMemory() > heap.maxMemory():
+        gc.collect()  # what Python has forgotten only lets go of its Java objects then
+        spark._jvm.java.lang.System.gc()
+
+
 def compacted(df: DataFrame, like: DataFrame) -> DataFrame:
     """``df`` in no more partitions than the bytes of ``like`` need, and two for each core at least.
 
@@ -62,6 +76,7 @@ def materialize(df: DataFrame, partitions: Sequence[str] = (), rows: int | None
     ends, or with ``drop_scratch``.
     """
     spark = df.sparkSession
+    trim_driver(spark)
     path = f"{shared_dir(spark)}/foliant-{uuid.uuid4().hex}"
     _scratch.append((spark, path))
     if rows is not None:
