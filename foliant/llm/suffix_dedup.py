@@ -242,32 +242,31 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removed_windows(docs: DataFrame, hot_runs: int = HOT_RUNS, hash_bits: int = 64) -> DataFrame:
     """doc, lo, n of rows (doc, text): windows that start at lo .. lo + n - 1 of that text are repeats."""
     found = docs.select("doc", "text").mapInArrow(partial(_find_runs, hash_bits), _RUNS)
-    matched = materialize(found.repartition("h").sortWithinPartitions("h", "r", "doc", "lo").mapInArrow(partial(_match_runs, hot_runs), _RUNS))
+    matched = materialize(found.repartition("h").sortWithinPartitions("h", "r", "doc", "lo").mapInArrow(partial(_match_runs, hot_runs), _RUNS), release=True)
     out = matched.where(F.col("kind") == REMOVED).select("doc", "lo", "n")
     # the texts are shuffled once for the runs of all kinds
     wanted = matched.where(F.col("kind") != REMOVED)
     per = wanted.groupBy("doc").agg(F.collect_set(F.struct("kind", "h", "r", "part", "lo", "n")).alias("runs"))
-    data = docs.select("doc", "text").join(per.hint("shuffle_hash"), "doc").mapInArrow(_contexts, _CONTEXTS)
+    # written before they are dealt, so that the shuffled texts are gone by then
+    data = materialize(docs.select("doc", "text").join(per.hint("shuffle_hash"), "doc").mapInArrow(_contexts, _CONTEXTS), release=True)
     hot = not matched.where(F.col("kind") == HOT).isEmpty()
-    if hot:
-        data = materialize(data)
     side = (F.col("kind") == SORTED).cast("int")
     met = data.where(F.col("kind") != HOT).withColumn("side", side).withColumn("place", F.when(F.col("side") == 1, F.col("h")).otherwise(F.xxhash64("h", "r", "part")))
-    met = materialize(met.repartition("side", "place").sortWithinPartitions("side", "place").mapInArrow(_meet, _FOUND))
+    met = materialize(met.repartition("side", "place").sortWithinPartitions("side", "place").mapInArrow(_meet, _FOUND), release=True)
     out = out.unionByName(met.where(F.col("kind") == REMOVED).select("doc", "lo", "n"))
     misfits = met.where(F.col("kind") == MISFIT).select("h").distinct()
     if not misfits.isEmpty():
         every = data.join(misfits, "h").repartition("h").sortWithinPartitions("h")
-        out = out.unionByName(materialize(every.select("h", "doc", "lo", "n", "data").mapInArrow(_sort_blocks, _FOUND)).select("doc", "lo", "n"))
+        out = out.unionByName(materialize(every.select("h", "doc", "lo", "n", "data").mapInArrow(_sort_blocks, _FOUND), release=True).select("doc", "lo", "n"))
     return out.unionByName(_repeated_by_digest(data.where(F.col("kind") == HOT))) if hot else out
 
 
 def _repeated_by_digest(data: DataFrame) -> DataFrame:
     """doc, lo, n of the windows of hot anchors' runs that an earlier window equals."""
-    windows = materialize(data.mapInArrow(_digests, "w binary, doc long, s long"))
+    windows = materialize(data.mapInArrow(_digests, "w binary, doc long, s long"), release=True)
     # the first document, then the first start in it, by sums that need no row of the others
-    first_doc = materialize(windows.groupBy("w").agg(F.min("doc").alias("d"), F.count("*").alias("c")).where("c > 1").select("w", "d"))
-    first = materialize(windows.join(first_doc, "w").where("doc = d").groupBy("w").agg(F.min("doc").alias("d"), F.min("s").alias("f")))
+    first_doc = materialize(windows.groupBy("w").agg(F.min("doc").alias("d"), F.count("*").alias("c")).where("c > 1").select("w", "d"), release=True)
+    first = materialize(windows.join(first_doc, "w").where("doc = d").groupBy("w").agg(F.min("doc").alias("d"), F.min("s").alias("f")), release=True)
     return windows.join(first, "w").where("doc != d or s != f").select("doc", F.col("s").alias("lo"), F.lit(1).alias("n"))
 
 

@@ -24,6 +24,9 @@ BROADCAST_ROWS = 20_000
 #: Rows or bytes of a task that writes a table whose size is known.
 TASK_ROWS, TASK_BYTES = 25_000, 8_000_000
 
+#: With it, Spark removes a query's shuffle files when the query ends, not once the driver has collected its plan.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _scratch: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
@@ -67,13 +70,14 @@ def compacted(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)) if size < 1 << 50 else 1 << 30)
 
 
-def materialize(df: DataFrame, partitions: Sequence[str] = (), rows: int | None = None, like: DataFrame | None = None) -> DataFrame:
+def materialize(df: DataFrame, partitions: Sequence[str] = (), rows: int | None = None, like: DataFrame | None = None, release: bool = False) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet under the shared folder and read it back.
 
     Unlike ``checkpoint()`` this computes the plan once, and the copy survives lost executors.
     ``rows``, where it is known, is the most rows that ``df`` can have, ``like`` a table that is as
     large: tasks, and so files, are then as many as these need. The files go when the driver
-    ends, or with ``drop_scratch``.
+    ends, or with ``drop_scratch``. With ``release`` the shuffle files that ``df`` took go as soon as
+    it is written.
     """
     spark = df.sparkSession
     trim_driver(spark)
@@ -83,7 +87,14 @@ def materialize(df: DataFrame, partitions: Sequence[str] = (), rows: int | None
         df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
     if like is not None:
         df = compacted(df, like)
-    df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    if release:
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partitions).parquet(path) if partitions else df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from foliant import runtime
 from foliant.llm import anchors, queries, suffix_dedup
 from foliant.llm.suffixes import common_prefixes, suffix_array
 from tests.llm import brute
@@ -63,6 +67,31 @@ def test_members_of_a_run_meet_their_leader_in_parts():
     assert set(members.part) == set(leaders.part) and set(leaders.doc) == {0} and leaders.part.is_unique
 
 
+def test_shuffle_files_go_as_soon_as_a_table_is_written(spark, monkeypatch):
+    """Runs, texts and runs' bytes are shuffled one after the other, and no table finds the files of those before."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        found = files.getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    write, left, there = suffix_dedup.materialize, [], shuffled()
+
+    def watched(df, **options):
+        out, end = write(df, **options), time.time() + 5
+        while (now := shuffled() - there) and time.time() < end:  # Spark removes them in the background
+            time.sleep(0.05)
+        left.append(now)
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "materialize", watched)
+    docs = spark.createDataFrame(edge_rows(), SCHEMA).select(F.col("doc_id").alias("doc"), "text").distinct()
+    setting = spark.conf.get(runtime.SHUFFLE_CLEANUP)
+    suffix_dedup.removed_windows(docs)
+    assert left == [set()] * 3
+    assert spark.conf.get(runtime.SHUFFLE_CLEANUP) == setting
+
+
 def test_empty_and_kept_bytes(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert suffix_dedup.digests(docs).count() == 0
