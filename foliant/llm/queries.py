@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant.llm import bpe, chat, embed_dedup, exact_dedup, minhash, mixing, quality, secrets, suffix_dedup, url_filter
 from foliant.runtime import ship, table
 
-URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "allow"), ("com/fr/", "allow"), ("com/de/", "block")]
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 VOCABULARY = "word_bpe_49k.json"
 
 
