@@ -35,7 +35,7 @@ from foliant.llm.batches import bounds, groups
 from foliant.llm.components import components
 from foliant.llm.keys import keyed
 from foliant.llm.minhash_sets import band_keys, one_permutation, set_digests, shingle_set, shingles
-from foliant.runtime import compacted, join_dimension, materialize
+from foliant.runtime import by_rows, compacted, join_dimension, materialize
 
 BANDS, ROWS = 32, 6
 #: Characters that are hashed together, and documents on each side of a compared block.
@@ -108,7 +108,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
                     keep[i] = similar(len(hub & other), len(hub) + len(other), percent)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    met = rows.join(texts, "doc").repartition("b", "part").sortWithinPartitions("b", "part", "side", "doc")
+    met = by_rows(rows, 2 * most).join(texts, "doc").repartition("b", "part").sortWithinPartitions("b", "part", "side", "doc")
     return met.select("b", "doc", "side", "text").mapInArrow(run, "a long, b long")
 
 
@@ -220,14 +220,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sets = made.where("n_shingles > 0 and doc_id is not null").dropDuplicates(["doc"]) if not plain else made.where("n_shingles > 0")
     # what joins back to the rows of hot groups is written first, so that Spark may split the join
     first = materialize(sets.groupBy("n_shingles", "one", "two").agg(F.min("doc").alias("rep")), rows=n)
-    equal = sets.select("doc", "n_shingles", "one", "two").join(first, ["n_shingles", "one", "two"])
+    equal = sets.select("doc", "n_shingles", "one", "two").join(by_rows(first, n), ["n_shingles", "one", "two"])
     equal = materialize(equal.select(F.col("doc").alias("a"), F.col("rep").alias("b")), rows=n)
     reps = equal.where("a = b").select(F.col("a").alias("doc"))
     keys = materialize(sets.select("doc", F.explode("keys").alias("key")).join(reps.hint("shuffle_hash"), "doc", "left_semi").select("key", "doc"), rows=n * bands)
     hubs = materialize(keys.groupBy("key").agg(F.min("doc").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"), rows=n * bands)
-    near = materialize(keys.join(hubs, "key").select("key", "doc", "hub"), rows=n * bands)
+    near = materialize(keys.join(by_rows(hubs, hubs.count()), "key").select("key", "doc", "hub"), rows=n * bands)
+    met = near.count()
     pairs = near.where("doc != hub").select(F.col("doc").alias("a"), F.col("hub").alias("b")).distinct().unionByName(equal.where("a != b"))
-    pairs = materialize(pairs, rows=near.count() + n)
+    pairs = materialize(pairs, rows=met + n)
     wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     texts = read.select("doc", "text").join(wanted.hint("shuffle_hash"), "doc", "left_semi")
     texts = materialize(texts if plain else texts.dropDuplicates(["doc"]), like=docs)
@@ -236,27 +237,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         same = made.where("doc_id is not null").select("doc", "doc_id").distinct()
         links = links.unionByName(same.join(same.groupBy("doc_id").agg(F.min("doc").alias("b")), "doc_id").select(F.col("doc").alias("a"), "b").where("a != b"))
     links = materialize(links, like=docs)
-    roots = components(links, links.count())
+    linked = links.count()
+    roots = components(links, linked)
     # buckets that the links leave in several components, once for each set of members
-    rooted = near.join(roots.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "hub", F.coalesce("root", "doc").alias("root"))
+    rooted = near.join(by_rows(roots.withColumnRenamed("node", "doc"), linked), "doc", "left").select("key", "doc", "hub", F.coalesce("root", "doc").alias("root"))
     mark = F.xxhash64(F.lit(7), "doc").cast("decimal(38,0)")
     split = rooted.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.count("*").alias("n"), F.sum(mark).alias("mark")).where("first != last")
-    split = split.groupBy("n", "mark", "first").agg(F.min("key").alias("key")).select("key", "first")
-    members = rooted.join(split, "key").select(F.col("key").alias("bucket"), "doc", "root", "first")
-    members = materialize(members.join(sets.select("doc", "n_shingles").hint("shuffle_hash"), "doc"), rows=near.count())
-    blocks = _blocks(members).join(texts, "doc")
+    split = materialize(split.groupBy("n", "mark", "first").agg(F.min("key").alias("key")).select("key", "first"), rows=met)
+    members = rooted.join(by_rows(split, split.count()), "key").select(F.col("key").alias("bucket"), "doc", "root", "first")
+    members = materialize(members.join(sets.select("doc", "n_shingles").hint("shuffle_hash"), "doc"), rows=met)
+    dealt = materialize(_blocks(members), like=docs)
+    blocks = by_rows(dealt, dealt.count()).join(texts, "doc")
     more = materialize(compare_blocks(blocks, k, percent), like=docs)
     if not more.isEmpty():
         found = materialize(more.distinct(), rows=more.count())
         links = links.unionByName(materialize(confirm(found, texts, k, percent), like=docs))
-        roots = components(links, links.count())
+        linked = links.count()
+        roots = components(links, linked)
     final = roots.select(F.col("node").alias("doc"), "root")
     if plain:
         final = final.withColumnRenamed("root", "component")
     else:
         ids = made.where("doc_id is not null").groupBy("doc").agg(F.min("doc_id").alias("component"))
         final = final.join(ids.withColumnRenamed("doc", "root"), "root").select("doc", "component")
-    out = made.select("doc", "doc_id", "n_shingles").join(final, "doc", "left")
+    out = made.select("doc", "doc_id", "n_shingles").join(by_rows(final, linked), "doc", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 

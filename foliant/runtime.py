@@ -144,6 +144,15 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def by_rows(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows at most, as a side of a join: broadcast if these are few, else dealt by the key.
+
+    Left alone, Spark goes by the bytes of a table's files. Numbers are packed so well in these that it would
+    send tables of a million rows through the driver, several for each query, and the larger the table the more.
+    """
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
 def join_dimension(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 64) -> DataFrame:
     """Join a table with skewed keys to a table with one row per key.
 
@@ -154,7 +163,7 @@ def join_dimension(big: DataFrame, small: DataFrame, on: Sequence[str], how: str
         return big.join(F.broadcast(small), list(on), how)
     salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)))
     spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(spread, [*on, "__salt"], how).drop("__salt")
+    return salted.join(spread.hint("merge"), [*on, "__salt"], how).drop("__salt")
 
 
 def numbered(df: DataFrame, keys: Sequence[str], into: str, first: int = 1) -> DataFrame:
