@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.grouped import Fold, fold_groups
-from foliant.operators.sequence import merge_intervals
 
 EDGES = ["x0", "y0", "x1", "y1"]
 Page = Mapping[str, np.ndarray]
@@ -245,21 +244,30 @@ def line_order(objects: DataFrame, within: float = 10) -> DataFrame:
 def rect_lines(rects: DataFrame, within: float = 1, gap: float = 3, least: float = 5) -> DataFrame:
     """page_id, y, x0, x1: flat rectangles (page_id, obj_id, x0, x1, c: the middle of their height) as lines.
 
-    Those within a distance of a group's first one are a line, which ends at gaps; short ones go. (TAB-25)
+    Those within a distance of a group's first one are a line, which ends at gaps; short ones go. Rectangles
+    without an edge or a middle are none. (TAB-25)
     """
 
     def fold(p: Page):
-        first, number, out = None, 0, []
-        for c in p["c"].tolist():
-            if first is None or c - first > within:
-                first, number = c, number + 1
-            out.append((number, first))
-        return range(len(out)), {"group_no": [n for n, _ in out], "y": [f for _, f in out]}
-
-    kind = dict(rects.dtypes)["c"]
-    marked = fold_groups(rects, "page_id", ["c", "x0", "obj_id"], ["c"], ["page_id", "x0", "x1"], fold, {"group_no": "int", "y": kind})
-    joined = merge_intervals(marked, ["page_id", "group_no", "y"], "x0", "x1", gap)
-    return joined.where(F.col("hi") - F.col("lo") >= least).select("page_id", "y", F.col("lo").alias("x0"), F.col("hi").alias("x1"))
+        lines: list[tuple[float, list]] = []
+        for c, *span in zip(p["c"].tolist(), p["x0"].tolist(), p["x1"].tolist(), strict=True):
+            if not lines or c - lines[-1][0] > within:
+                lines.append((c, []))
+            lines[-1][1].append(span)
+        out = []
+        for y, spans in lines:
+            joined: list[list] = []
+            for lo, hi in sorted(spans):
+                if joined and lo <= joined[-1][1] + gap:
+                    joined[-1][1] = max(joined[-1][1], hi)
+                else:
+                    joined.append([lo, hi])
+            out += [(y, lo, hi) for lo, hi in joined if hi - lo >= least]
+        return [0] * len(out), {n: [o[i] for o in out] for i, n in enumerate(("y", "x0", "x1"))}
+
+    kinds = dict(rects.dtypes)
+    whole = rects.dropna(subset=["c", "x0", "x1"])
+    return fold_groups(whole, "page_id", ["c", "x0", "obj_id"], ["c", "x0", "x1"], ["page_id"], fold, {"y": kinds["c"], "x0": kinds["x0"], "x1": kinds["x1"]})
 
 
 def line_grid(lines: DataFrame) -> DataFrame:
