@@ -23,6 +23,8 @@ PACKAGE = os.path.basename(os.path.dirname(os.path.abspath(__file__)))
 BROADCAST_ROWS = 20_000
 #: Rows or bytes of a task that writes a table whose size is known.
 TASK_ROWS, TASK_BYTES = 25_000, 8_000_000
+#: Bytes of a table's files whose rows are sorted in one task, where the table is dealt by a key.
+SORT_BYTES = 2_000_000
 
 #: With it, Spark removes a query's shuffle files when the query ends, not once the driver has collected its plan.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -60,13 +62,29 @@ def trim_driver(spark: SparkSession) -> None:
         spark._jvm.java.lang.System.gc()
 
 
+def _size(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by ``key`` into a task for each ``SORT_BYTES`` of its files, for windows by this key.
+
+    Left alone, Spark packs what is dealt into about as many tasks as there are cores, so a task's sorts and
+    sums grow with the table. Where two tasks for each core at most are needed, the choice stays Spark's.
+    """
+    size = _size(df)
+    parts = -(-size // SORT_BYTES)
+    few = parts <= 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if few or size >= 1 << 50 else df.repartition(parts, key)
+
+
 def compacted(df: DataFrame, like: DataFrame) -> DataFrame:
     """``df`` in no more partitions than the bytes of ``like`` need, and two for each core at least.
 
     Many small files cost more than they hold. ``like`` is the table that ``df`` is made of; where
     Catalyst overestimates its size, the partitions stay as they are.
     """
-    size = int(str(like._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = _size(like)
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)) if size < 1 << 50 else 1 << 30)
 
 

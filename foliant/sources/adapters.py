@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foliant.runtime import dealt
+
 #: Lines of a page, and the measures of the line grid.
 PAGE_LINES, LINE_HEIGHT, CHAR_WIDTH, TOP = 40, 12, 6, 800
 
@@ -28,8 +30,9 @@ def boxes(lineitem: DataFrame) -> DataFrame:
     """page_id, obj_id, kind, x0, y0, x1, y1: a page for each order, all integers.
 
     The number within the page orders by all columns, since the line number isn't unique. One
-    shuffle by page; what follows by page needs no other.
+    shuffle by page; what follows by page needs no other. Its tasks get more as the table grows, not larger.
     """
+    lineitem = dealt(lineitem, "l_orderkey")
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
     n = F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)).cast("long")
     part, supp, quantity, line = (F.col(c).cast("long") for c in ("l_partkey", "l_suppkey", "l_quantity", "l_linenumber"))
