@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.numbers import CELL_TYPES
@@ -57,15 +58,31 @@ def one_to_many(upper: DataFrame, lower: DataFrame, within: float = 5) -> DataFr
     seam is left out altogether unless every cell of both rows takes part, and every upper cell
     is filled from edge to edge.
     """
-    a = upper.select("seam", F.col("place").alias("upper"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
-    b = lower.select("seam", F.col("place").alias("lower"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    under = F.when((F.col("b0") >= F.col("a0") - within) & (F.col("b1") <= F.col("a1") + within), F.struct("upper", "a0", "a1"))
+    named = lambda df, side: df.select("seam", F.lit(side).alias("side"), "place", "x0", "x1")
+    return facing(named(upper, 0).unionByName(named(lower, 1)), within)
+
+
+def facing(cells: DataFrame, within: float = 5) -> DataFrame:
+    """``one_to_many`` of the cells of both rows in one table (seam, side, place, x0, x1); side 0 is the upper row.
+
+    Windows by seam: each lower cell sees the upper row as an array, and no pairs of cells are made.
+    """
+    seam = W.partitionBy("seam")
+    above = F.col("side") == 0
+    row = F.collect_list(F.when(above, F.struct(F.col("place").alias("upper"), F.col("x0").alias("a0"), F.col("x1").alias("a1")))).over(seam)
     # a lower cell that fits under two goes to the first
-    met = b.join(a, "seam").groupBy("seam", "lower", "b0", "b1").agg(F.min(under).alias("u")).select("seam", "lower", "b0", "b1", "u.*")
-    groups = met.groupBy("seam", "upper", "a0", "a1").agg(F.count("*").alias("n"), F.min("b0").alias("lo"), F.max("b1").alias("hi"))
-    whole = groups.groupBy("seam").agg(F.count("upper").alias("covered"), F.bool_and(F.col("upper").isNotNull() & (F.col("lo") <= F.col("a0")) & (F.col("hi") >= F.col("a1"))).alias("ok"))
-    whole = whole.where("ok").join(a.groupBy("seam").agg(F.count("*").alias("uppers")), "seam").where("covered = uppers").select("seam")
-    return met.join(groups.select("seam", "upper", "n"), ["seam", "upper"]).join(whole, "seam", "left_semi").select("seam", "upper", "lower", "n")
+    fits = F.filter("row", lambda u: (F.col("x0") >= u["a0"] - within) & (F.col("x1") <= u["a1"] + within))
+    met = cells.where("seam is not null").withColumn("row", row).where(~above & (F.size("row") > 0))
+    met = met.select("seam", F.col("place").alias("lower"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.size("row").alias("uppers"), F.array_min(fits).alias("u"))
+    met = met.select("seam", "lower", "b0", "b1", "uppers", "u.*")
+    group = W.partitionBy("seam", "upper", "a0", "a1")
+    own, before = F.struct("lower", "b0", "b1"), group.orderBy("lower", "b0", "b1")
+    # of cells that are there twice, one
+    met = met.withColumn("again", F.coalesce(F.lag(own).over(before) == own, F.lit(False))).where("not again")
+    met = met.withColumns({"n": F.count("*").over(group), "lo": F.min("b0").over(group), "hi": F.max("b1").over(group), "first": F.row_number().over(before) == 1})
+    filled = F.col("upper").isNotNull() & (F.col("lo") <= F.col("a0")) & (F.col("hi") >= F.col("a1"))
+    whole = {"covered": F.count_if("first").over(seam), "ok": F.bool_and(filled).over(seam)}
+    return met.withColumns(whole).where("ok and covered = uppers").select("seam", "upper", "lower", "n")
 
 
 def header_verdicts(matches: DataFrame) -> DataFrame:
