@@ -73,14 +73,18 @@ def expanded(nodes: DataFrame, group: Column) -> DataFrame:
 
     Rows (doc_id, node_id, parent_id, path); groups within groups are taken out at once if they are marked.
     """
-    marked = nodes.withColumn("__g", F.coalesce(group, F.lit(False)))
+    marked = materialize(nodes.withColumn("__g", F.coalesce(group, F.lit(False))))
     up = marked.where("__g").select("doc_id", F.col("node_id").alias("parent_id"), F.col("parent_id").alias("__up"))
-    out = marked.where("not __g").drop("__g")
+    # a group's parent may be a group: hooks of groups alone are followed, each round twice as far
     while True:
-        moved = materialize(out.join(up.withColumn("__m", F.lit(True)), ["doc_id", "parent_id"], "left"))
-        out = moved.withColumn("parent_id", F.when(F.col("__m"), F.col("__up")).otherwise(F.col("parent_id"))).select(*nodes.columns)
+        over = up.select("doc_id", F.col("parent_id").alias("__up"), F.col("__up").alias("__top"), F.lit(True).alias("__m"))
+        moved = up.join(over, ["doc_id", "__up"], "left")
+        moved = materialize(moved.select("doc_id", "parent_id", F.when(F.col("__m"), F.col("__top")).otherwise(F.col("__up")).alias("__up"), "__m"))
         if moved.where("__m").isEmpty():
-            return out
+            break
+        up = moved.drop("__m")
+    out = marked.where("not __g").join(up.withColumn("__m", F.lit(True)), ["doc_id", "parent_id"], "left")
+    return out.withColumn("parent_id", F.when(F.col("__m"), F.col("__up")).otherwise(F.col("parent_id"))).select(*nodes.columns)
 
 
 def node_of(objects: DataFrame, nodes: DataFrame) -> DataFrame:
