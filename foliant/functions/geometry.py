@@ -266,18 +266,22 @@ def quad_is_rect(q: Column) -> Column:
     return (q[0]["x"] == q[1]["x"]) & (q[2]["x"] == q[3]["x"]) & (q[0]["y"] == q[3]["y"]) & (q[1]["y"] == q[2]["y"])
 
 
+def _about(q: Column, move) -> Column:
+    """``move`` of each corner and the centre of the quad's box. The centre is found once, not for each use of it."""
+    return F.transform(F.array(center(quad_bbox(q))), lambda c: F.transform(q, lambda p: move(p, c)))[0]
+
+
 def quad_rotate(q: Column, degrees: float, digits: int = 3) -> Column:
     """About the centre of its box."""
-    b = quad_bbox(q)
-    cx, cy, r = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2, F.radians(F.lit(float(degrees)))
-    turn = lambda p: F.struct(F.bround(cx + (p["x"] - cx) * F.cos(r) - (p["y"] - cy) * F.sin(r), digits).alias("x"), F.bround(cy + (p["x"] - cx) * F.sin(r) + (p["y"] - cy) * F.cos(r), digits).alias("y"))
-    return F.transform(q, turn)
+    r = F.radians(F.lit(float(degrees)))
+    def turn(p, c):
+        x, y = p["x"] - c["x"], p["y"] - c["y"]
+        return F.struct(F.bround(c["x"] + x * F.cos(r) - y * F.sin(r), digits).alias("x"), F.bround(c["y"] + x * F.sin(r) + y * F.cos(r), digits).alias("y"))
+    return _about(q, turn)
 
 
 def quad_scale(q: Column, sx: float, sy: float) -> Column:
-    b = quad_bbox(q)
-    cx, cy = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2
-    return F.transform(q, lambda p: F.struct((cx + (p["x"] - cx) * sx).alias("x"), (cy + (p["y"] - cy) * sy).alias("y")))
+    return _about(q, lambda p, c: F.struct((c["x"] + (p["x"] - c["x"]) * sx).alias("x"), (c["y"] + (p["y"] - c["y"]) * sy).alias("y")))
 
 
 def quad_angle(q: Column) -> Column:

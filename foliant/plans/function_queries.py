@@ -103,8 +103,9 @@ def quad_metrics(s, d):
 def quad_turned(s, d):
     """GEO-25, GEO-26: a quad turned by a quarter, and scaled, about its centre; the first corner."""
     q = g.quad(_double())
-    turned, wide = g.quad_rotate(q, 90), g.quad_scale(q, 2, 0.5)
-    return boxes(s, d).select(*_ID, _milli(turned[0]["x"], "turned_x"), _milli(turned[0]["y"], "turned_y"), _milli(wide[0]["x"], "wide_x"), _milli(wide[0]["y"], "wide_y"))
+    rows = boxes(s, d).select(*_ID, g.quad_rotate(q, 90).alias("turned"), g.quad_scale(q, 2, 0.5).alias("wide"))
+    turned, wide = F.col("turned"), F.col("wide")
+    return rows.select(*_ID, _milli(turned[0]["x"], "turned_x"), _milli(turned[0]["y"], "turned_y"), _milli(wide[0]["x"], "wide_x"), _milli(wide[0]["y"], "wide_y"))
 
 
 @query(with_sql(BOXES) + "SELECT page_id, obj_id, 2 AS a, 2 AS b, 0 AS c, 4 AS d, x0 + 3 AS e, x0 + y0 + 5 AS f, -2 * x0 AS inverse_e, -y0 AS inverse_f, 90000 AS quarter FROM boxes")
