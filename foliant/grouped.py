@@ -20,6 +20,12 @@ from pyspark.sql.types import _parse_datatype_string
 #: From a group's columns to places in it (or any place, for new rows) and further columns.
 Fold = Callable[[Mapping[str, np.ndarray]], tuple[Sequence[int], Mapping[str, Sequence]]]
 
+#: From columns of many groups that are as long as each other, a row of each array for a group, to which of
+#: their rows stay, and further columns (by row and place).
+Together = Callable[[Mapping[str, np.ndarray]], tuple[np.ndarray, Mapping[str, np.ndarray]]]
+
+#: Longest groups that are folded together.
+SHORT = 32
 _PLACE = "__place"
 
 
@@ -44,10 +50,11 @@ def _with_starts(table: pa.Table) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]
         yield batch, np.flatnonzero(batch.column(_PLACE).to_numpy() == 1)
 
 
-def fold_groups(df: DataFrame, key: str, order: Sequence[str | Column], reads: Sequence[str], keeps: Sequence[str], fold: Fold, adds: Mapping[str, str]) -> DataFrame:
+def fold_groups(df: DataFrame, key: str, order: Sequence[str | Column], reads: Sequence[str], keeps: Sequence[str], fold: Fold, adds: Mapping[str, str], together: Together | None = None) -> DataFrame:
     """Columns ``keeps`` of the rows that ``fold`` names, with its columns ``adds`` (name: type).
 
-    ``fold`` sees the columns ``reads`` of one group in ``order``. A null key is a group.
+    ``fold`` sees the columns ``reads`` of one group in ``order``. A null key is a group. ``together``, where
+    it is given, does the same for a batch's groups of one length, up to ``SHORT`` rows.
     """
     place = F.row_number().over(W.partitionBy(key).orderBy(*order)).alias(_PLACE)
     used = list(dict.fromkeys([key, *keeps, *reads]))
@@ -59,7 +66,15 @@ def fold_groups(df: DataFrame, key: str, order: Sequence[str | Column], reads: S
             columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in reads}
             at: list[np.ndarray] = []
             more: dict[str, list] = {n: [] for n in adds}
-            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), batch.num_rows], strict=True):
+            sizes = np.diff(starts, append=batch.num_rows)
+            for n in np.unique(sizes[sizes <= SHORT]).tolist() if together else []:
+                rows = starts[sizes == n][:, None] + np.arange(n)
+                stay, values = together({c: v[rows] for c, v in columns.items()})
+                at.append(rows[stay])
+                for name in more:
+                    more[name].extend(values[name][stay].tolist())
+            single = sizes > SHORT if together else np.ones(len(starts), bool)
+            for a, b in zip(starts[single].tolist(), (starts + sizes)[single].tolist(), strict=True):
                 places, values = fold({c: v[a:b] for c, v in columns.items()})
                 if len(places):
                     at.append(np.asarray(places, np.int64) + a)

@@ -6,32 +6,33 @@ a page's objects are few, whatever the number of pages. All orders are total (ti
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from operator import itemgetter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliant.grouped import Fold, fold_groups
+from foliant.grouped import Fold, Together, fold_groups
 
 EDGES = ["x0", "y0", "x1", "y1"]
 Page = Mapping[str, np.ndarray]
 
 
-def by_page(objects: DataFrame, fold: Fold, order: Sequence[str | Column], reads: Sequence[str] = (), keeps: Sequence[str] = ("page_id", "obj_id"), **adds: str) -> DataFrame:
-    return fold_groups(objects, "page_id", order, [*reads, *EDGES], keeps, fold, adds)
+def by_page(objects: DataFrame, fold: Fold, order: Sequence[str | Column], reads: Sequence[str] = (), keeps: Sequence[str] = ("page_id", "obj_id"), together: Together | None = None, **adds: str) -> DataFrame:
+    return fold_groups(objects, "page_id", order, [*reads, *EDGES], keeps, fold, adds, together)
 
 
 def edges(page: Page) -> np.ndarray:
-    return np.stack([page[e] for e in EDGES], 1).astype(float)
+    return np.stack([page[e] for e in EDGES], -1).astype(float)
 
 
 def _overlap(a: np.ndarray, b: np.ndarray, mode: str) -> np.ndarray:
-    """Of one box and many: plain intersection over the union or the smaller area."""
-    w = np.minimum(a[2], b[:, 2]) - np.maximum(a[0], b[:, 0])
-    h = np.minimum(a[3], b[:, 3]) - np.maximum(a[1], b[:, 1])
+    """Of one box and many, of one page or of each of many: plain intersection over the union or the smaller area."""
+    w = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    h = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     common = np.maximum(0, w) * np.maximum(0, h)
-    one, many = (a[2] - a[0]) * (a[3] - a[1]), (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+    one, many = (a[..., 2] - a[..., 0]) * (a[..., 3] - a[..., 1]), (b[..., 2] - b[..., 0]) * (b[..., 3] - b[..., 1])
     whole = np.minimum(one, many) if mode == "small" else one + many - common
     return np.where(whole > 0, common / np.where(whole > 0, whole, 1), 0.0)
 
@@ -53,7 +54,15 @@ def nms(objects: DataFrame, same: float = 0.6, different: float = 0.98) -> DataF
     def fold(p: Page):
         return keep_best(edges(p), p["kind"], same, different), {}
 
-    return by_page(objects, fold, [F.desc("score"), "obj_id"], ["kind"])
+    def together(p: Page):
+        b, kinds = edges(p), p["kind"]
+        kept = np.ones(kinds.shape, bool)
+        for i in range(kinds.shape[1] - 1):
+            limit = np.where(kinds[:, i + 1 :] == kinds[:, i : i + 1], same, different)
+            kept[:, i + 1 :] &= ~kept[:, i : i + 1] | (_overlap(b[:, i : i + 1], b[:, i + 1 :], "union") < limit)
+        return kept, {}
+
+    return by_page(objects, fold, [F.desc("score"), "obj_id"], ["kind"], together=together)
 
 
 def without_overlaps(objects: DataFrame, ratio: float = 0.7, inline: float = 0.5, smallest: float = 6) -> DataFrame:
@@ -165,6 +174,41 @@ def cut_order(b: np.ndarray) -> list[int]:
     return out
 
 
+def _short_gap(spans: list[tuple[float, float]]) -> float | None:
+    """``_gap`` of a few intervals without arrays."""
+    spans.sort(key=itemgetter(0))
+    end = spans[0][1]
+    for lo, hi in spans[1:]:
+        if lo >= end:
+            return (lo + end) / 2
+        if hi > end:
+            end = hi
+    return None
+
+
+def short_cut_order(b: list[list[float]]) -> list[int]:
+    """``cut_order`` of a few boxes, for which arrays cost more than they save."""
+    out: list[int] = []
+    stack = [list(range(len(b)))]
+    while stack:
+        i = stack.pop()
+        if len(i) > 1:
+            x = _short_gap([(b[k][0], b[k][2]) for k in i])
+            if x is not None:
+                left, right = [k for k in i if b[k][2] <= x], [k for k in i if b[k][0] >= x]
+                if left and right and len(left) + len(right) == len(i):
+                    stack += [right, left]
+                    continue
+            y = _short_gap([(-b[k][3], -b[k][1]) for k in i])
+            if y is not None:
+                below = [k for k in i if b[k][3] <= -y]
+                if 0 < len(below) < len(i):
+                    stack += [below, [k for k in i if b[k][3] > -y]]
+                    continue
+        out += i
+    return out
+
+
 def xy_cut(objects: DataFrame) -> DataFrame:
     """page_id, obj_id, place in reading order."""
 
@@ -172,7 +216,15 @@ def xy_cut(objects: DataFrame) -> DataFrame:
         order = cut_order(edges(p))
         return order, {"place": range(len(order))}
 
-    return by_page(objects, fold, ["obj_id"], place="int")
+    def together(p: Page):
+        b = edges(p)
+        cut = cut_order if np.isnan(b).any() else short_cut_order
+        order = np.array([cut(page) for page in (b if cut is cut_order else b.tolist())])
+        place = np.empty(order.shape, np.int64)
+        np.put_along_axis(place, order, np.arange(order.shape[1])[None, :], 1)
+        return np.ones(order.shape, bool), {"place": place}
+
+    return by_page(objects, fold, ["obj_id"], together=together, place="int")
 
 
 def two_columns(objects: DataFrame, page_width: float) -> DataFrame:
@@ -208,6 +260,10 @@ def merge_regions(regions: DataFrame) -> DataFrame:
     return by_page(regions, fold, ["obj_id"], keeps=["page_id"], **dict.fromkeys(EDGES, "double"))
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a - b) ** 2).sum(-1))
+
+
 def without_duplicates(blocks: DataFrame, color: Sequence[str], near: float = 18, union: float = 0.86, small: float = 0.82) -> DataFrame:
     """page_id, obj_id that stay: from the largest down, a block goes if a kept one of nearly its colour
     covers nearly its place. (AGG-23)"""
@@ -216,13 +272,22 @@ def without_duplicates(blocks: DataFrame, color: Sequence[str], near: float = 18
         b, kept = edges(p), []
         colors = np.stack([p[c] for c in color], 1).astype(float)
         for i in range(len(b)):
-            k = [j for j in kept if np.linalg.norm(colors[i] - colors[j]) <= near]
+            k = [j for j in kept if _apart(colors[i], colors[j]) <= near]
             if not k or not ((_overlap(b[i], b[k], "union") >= union) | (_overlap(b[i], b[k], "small") >= small)).any():
                 kept.append(i)
         return kept, {}
 
+    def together(p: Page):
+        b, colors = edges(p), np.stack([p[c] for c in color], -1).astype(float)
+        kept = np.ones(b.shape[:2], bool)
+        for i in range(1, b.shape[1]):
+            own, before = b[:, i : i + 1], b[:, :i]
+            covers = (_overlap(own, before, "union") >= union) | (_overlap(own, before, "small") >= small)
+            kept[:, i] = ~(kept[:, :i] & (_apart(colors[:, i : i + 1], colors[:, :i]) <= near) & covers).any(1)
+        return kept, {}
+
     size = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
-    return by_page(blocks, fold, [F.desc(size), "y0", "x0", "y1", "x1", "obj_id"], color)
+    return by_page(blocks, fold, [F.desc(size), "y0", "x0", "y1", "x1", "obj_id"], color, together=together)
 
 
 def line_order(objects: DataFrame, within: float = 10) -> DataFrame:
