@@ -1,9 +1,9 @@
 """Seams of tables that go on over pages: which parts join, which cells face each other, and which
 of those are one cell. (TAB-38, TAB-39, JON-15, JON-17, JON-18, WIN-11)
 
-The verdict of each case on each pair of facing cells is a column expression, so all are computed
-in one pass by Catalyst. What a case leaves open may follow a neighbour; this depends on
-the order of cases and cells, and is a fold over a seam's few pairs.
+The verdict of each case on each pair of facing cells is a column expression; Catalyst looks at them in
+order up to the first that decides. What a case leaves open may follow a neighbour; this depends on
+the order of cases and cells, and is a fold over a seam's few pairs, of many seams together.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foliant.functions.numbers import CELL_TYPES
-from foliant.functions.text import first_match
+from foliant.functions.text import any_match, first_match
 from foliant.grouped import fold_groups
 
 SERIAL = r"^([0-9]+|第[0-9]+项)$"
@@ -108,8 +108,8 @@ def verdicts() -> list[tuple[str, Column]]:
     """
     a, b = F.col("a_text"), F.col("b_text")
     both, texts = F.concat(a, b), (a != "") & (b != "")
-    a_type, b_type, type_ = (first_match(c, CELL_TYPES) for c in (a, b, both))
-    fa, fb = _fraction(a), _fraction(b)
+    a_type, b_type = first_match(a, CELL_TYPES), first_match(b, CELL_TYPES)
+    typed = lambda c: any_match(c, [p for _, p in CELL_TYPES])
     known = F.array_union("a_others", "b_others")
     full = lambda *names: F.greatest(*(F.col(n) for n in names))
     spans = (F.col("a_row_span") > 1) | (F.col("b_row_span") > 1)
@@ -133,12 +133,12 @@ def verdicts() -> list[tuple[str, Column]]:
                 texts,
                 F.when(_fraction(both) == 2, a != "-")
                 .when(a.rlike(PERCENT) & b.rlike(PERCENT), no)
-                .when(fa.isNotNull() & fb.isNotNull() & (((fa > 0) & (fb > 0)) | (fa == 0) | (fb == 0)), no)
-                .when((fa.isNotNull() & b.isin(*NOTHING)) | (fb.isNotNull() & a.isin(*NOTHING)), no),
+                .when(a.rlike(GROUPED) & b.rlike(GROUPED), no)  # whatever their decimals
+                .when((a.rlike(GROUPED) & b.isin(*NOTHING)) | (b.rlike(GROUPED) & a.isin(*NOTHING)), no),
             ),
         ),
         ("recurs", F.when(texts, F.when(F.array_contains(known, both), yes).when(F.array_contains(known, b) | F.array_contains(known, a), no))),
-        ("type", F.when(texts, F.when(a_type.isNotNull() & a_type.eqNullSafe(b_type), no).when(type_.isNotNull(), yes).when(~a_type.eqNullSafe(b_type), no))),
+        ("type", F.when(texts, F.when(typed(a) & (a_type == b_type), no).when(typed(both), yes).when(typed(a) | typed(b), no))),
         ("phrase", F.when(texts & F.col("item"), F.when(F.col("both_phrase"), yes).when(F.col("a_phrase") & F.col("b_phrase"), no))),
         ("picture", F.when((a != "") & ~F.col("a_figure") & (b == "") & F.col("b_figure"), no)),
         ("spans", F.when((F.col("a_row_span") > 1) & (F.col("b_row_span") > 1) & ~F.col("a_blank") & ~F.col("b_blank"), F.coalesce(F.col("b_below") >= F.col("b_above") + 10, no))),
@@ -157,27 +157,27 @@ def verdicts() -> list[tuple[str, Column]]:
 CASES = ["layout", "rows", "serial", "equal", "number", "recurs", "type", "phrase", "picture", "spans", "blank", "pictures", "room", "top"]
 
 
-def settled(verdict: list[list[bool | None]], like_left: list[bool], like_right: list[bool]) -> tuple[list[bool], list[str]]:
+def settled(first: np.ndarray, like_left: np.ndarray, like_right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each pair of a seam is one cell, and what decided: a case, a neighbour, or the rest.
 
-    ``verdict`` has the cases' verdicts for each pair; ``like_left`` and ``like_right`` whether the rows
-    next to the seam put a pair and its neighbour side by side in the same way.
+    A row of each array is a seam, all of one length. ``first`` has twice the number of the first case that
+    decides a pair, and 1 more if it merges; -1 where none does. ``like_left`` and ``like_right`` tell whether
+    the rows next to the seam put a pair and its neighbour side by side in the same way.
     """
-    n = len(verdict)
-    merged: list[bool | None] = [None] * n
-    by = ["rest"] * n
+    n = first.shape[1]
+    merged, by = np.full(first.shape, -1), np.full(first.shape, "rest", object)
     for k, name in enumerate(CASES):
+        new = (merged < 0) & (first >> 1 == k)
+        merged[new], by[new] = first[new] & 1, name
         for i in range(n):
-            if merged[i] is None and verdict[i][k] is not None:
-                merged[i], by[i] = bool(verdict[i][k]), name
-        for i in range(n):
-            for beside, like in ((i - 1, like_left[i]), (i + 1, like_right[i])):
-                if merged[i] is None and 0 <= beside < n and like and merged[beside] is not None:
-                    merged[i], by[i] = merged[beside], "neighbour"
-        if None not in merged:
+            for beside, like in ((i - 1, like_left), (i + 1, like_right)):
+                if 0 <= beside < n:
+                    takes = (merged[:, i] < 0) & like[:, i] & (merged[:, beside] >= 0)
+                    merged[takes, i], by[takes, i] = merged[takes, beside], "neighbour"
+        if (merged >= 0).all():
             break
-    rest = any(x is True for x in merged)
-    return [rest if x is None else x for x in merged], by
+    rest = (merged == 1).any(1, keepdims=True)
+    return np.where(merged < 0, rest, merged == 1), by
 
 
 def cascade(pairs: DataFrame) -> DataFrame:
@@ -185,17 +185,24 @@ def cascade(pairs: DataFrame) -> DataFrame:
 
     ``pairs`` has seam, place (the order along the seam), like_left, like_right, a_header (the first
     part is but a header) and what ``verdicts`` reads. Under a header nothing merges.
+
+    A pair's later verdicts count for nothing once a case has decided it, so they aren't looked at.
     """
-    marked = pairs.select("seam", "place", "like_left", "like_right", "a_header", F.array(*(v for _, v in verdicts())).alias("verdict"))
+    first = F.coalesce(*(v.cast("int") + 2 * k for k, (_, v) in enumerate(verdicts())), F.lit(-1))
+    marked = pairs.select("seam", "place", "like_left", "like_right", "a_header", first.alias("first"))
+
+    def together(p):
+        yes = {c: np.asarray(p[c] == True, bool) for c in ("like_left", "like_right", "a_header")}  # noqa: E712 (nulls are no)
+        merged, by = settled(p["first"], yes["like_left"], yes["like_right"])
+        header = yes["a_header"].any(1)
+        merged[header], by[header] = False, "header"
+        return np.ones(merged.shape, bool), {"merged": merged, "decided_by": by}
 
     def fold(p):
-        if any(p["a_header"]):
-            return range(len(p["a_header"])), {"merged": [False] * len(p["a_header"]), "decided_by": ["header"] * len(p["a_header"])}
-        rows = [[None if x is None or x != x else bool(x) for x in np.asarray(v, object)] for v in p["verdict"]]
-        merged, by = settled(rows, list(p["like_left"]), list(p["like_right"]))
-        return range(len(merged)), {"merged": merged, "decided_by": by}
+        _, more = together({c: v[None, :] for c, v in p.items()})
+        return range(len(p["first"])), {c: v[0].tolist() for c, v in more.items()}
 
-    return fold_groups(marked, "seam", ["place"], ["verdict", "like_left", "like_right", "a_header"], ["seam", "place"], fold, {"merged": "boolean", "decided_by": "string"})
+    return fold_groups(marked, "seam", ["place"], ["first", "like_left", "like_right", "a_header"], ["seam", "place"], fold, {"merged": "boolean", "decided_by": "string"}, together)
 
 
 def merged_rows(upper: DataFrame, lower: DataFrame, decided: DataFrame) -> DataFrame:
