@@ -234,11 +234,13 @@ def split_captions(c: Column, start: str = r"(?:Table|Figure|表|图)\s*\d+") ->
 def find_all(c: Column, pattern: str) -> Column:
     """Array of (start, text) of the matches, which don't overlap; start counts from 0. (STR-09, STR-10)"""
     found = F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,text:string>>").alias("out"))
+    # the place after the last match, and where matches start; the text is searched from that place, not cut
+    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("out"))
     def step(a, m):
-        start = F.instr(F.substring(c, a["at"] + 1, F.length(c)), m) - 1 + a["at"]
-        return F.struct((start + F.length(m)).alias("at"), F.concat(a["out"], F.array(F.struct(start.cast("int").alias("start"), m.alias("text")))).alias("out"))
-    return F.aggregate(found, empty, step, lambda a: a["out"])
+        start = F.when(m == "", a["at"]).otherwise(F.call_function("locate", m, c, a["at"]))
+        return F.transform(F.array(start), lambda s: F.struct((s + F.length(m)).alias("at"), F.array_append(a["out"], s - 1).alias("out")))[0]
+    starts = F.aggregate(found, empty, step, lambda a: a["out"])
+    return F.zip_with(starts, found, lambda s, m: F.struct(s.alias("start"), m.alias("text")))
 
 
 def positions(c: Column) -> Column:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from foliant import grouped
 from foliant.functions import geometry as g
-from foliant.operators import layout
+from foliant.functions import text as tx
+from foliant.operators import layout, seams
 
 
 def _pages(spark):
@@ -55,3 +56,38 @@ def test_the_centre_of_a_quad_is_found_once(spark):
     assert [tuple(p) for p in got.w] == [(-2.0, 0.5), (-2.0, 1.5), (6.0, 1.5), (6.0, 0.5)] and got.n is None
     text = rows.select(turned.alias("t"))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("array_max(") == 2  # once for each axis
+
+
+def _settled_alone(verdict, like_left, like_right):
+    """Cell by cell, with all verdicts of each pair."""
+    n = len(verdict)
+    merged, by = [None] * n, ["rest"] * n
+    for k, name in enumerate(seams.CASES):
+        for i in range(n):
+            if merged[i] is None and verdict[i][k] is not None:
+                merged[i], by[i] = verdict[i][k], name
+        for i in range(n):
+            for beside, like in ((i - 1, like_left[i]), (i + 1, like_right[i])):
+                if merged[i] is None and 0 <= beside < n and like and merged[beside] is not None:
+                    merged[i], by[i] = merged[beside], "neighbour"
+    return [any(x is True for x in merged) if x is None else x for x in merged], by
+
+
+def test_seams_are_settled_together_by_first_verdicts():
+    rng = np.random.default_rng(4)
+    for n in range(1, 6):
+        verdict = [[[(None, None, None, None, None, None, None, True, False)[v] for v in row] for row in seam] for seam in rng.integers(0, 9, (200, n, len(seams.CASES)))]
+        left, right = rng.integers(0, 2, (2, 200, n)) == 1
+        first = np.array([[next((2 * k + v for k, v in enumerate(row) if v is not None), -1) for row in seam] for seam in verdict])
+        merged, by = seams.settled(first, left, right)
+        for i in range(200):
+            assert (merged[i].tolist(), by[i].tolist()) == _settled_alone(verdict[i], left[i], right[i])
+
+
+def test_matches_are_searched_in_the_text_not_in_copies_of_its_rest(spark):
+    rows = spark.createDataFrame([("aeebe",), ("",), (None,), ("é𝄞e e ee",), ("xyz",)], "t string")
+    got = rows.select(tx.find_all(F.col("t"), "e+").alias("f"), tx.find_all(F.col("t"), "e*").alias("g"))
+    assert "substring" not in got._jdf.queryExecution().optimizedPlan().toString()
+    f, g = zip(*((r.f and [tuple(x) for x in r.f], r.g and [tuple(x) for x in r.g]) for r in got.collect()), strict=True)
+    assert f == ([(1, "ee"), (4, "e")], [], None, [(2, "e"), (4, "e"), (6, "ee")], [])
+    assert g[0][:3] == [(0, ""), (1, "ee"), (3, "")] and g[0][-2][1] == "e"
