@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,10 +58,29 @@ def look_back(items: DataFrame, found: Column, stops: Column, most: int = 8, gro
     return items.withColumn("parent", F.when(hit > F.coalesce(stop, F.lit(-1)), hit))
 
 
+def _heads(forms: Column) -> Column:
+    """Hashes of the first three characters of both ``title_forms``, and of those after the first character, and
+    whether a form is shorter, but not empty."""
+    head = lambda c, at: F.hash(F.substring(c, at, 3))
+    short = lambda c: F.length(c).between(1, 2)
+    plain, bare = forms["plain"], forms["bare"]
+    return F.struct(head(plain, 1).alias("p"), head(plain, 2).alias("pt"), head(bare, 1).alias("b"), head(bare, 2).alias("bt"), (short(plain) | short(bare)).alias("short"))
+
+
+def _may_match(a: Column, b: Column) -> Column:
+    """Whether ``title_score`` can be above 0 by the ``_heads`` of both: texts that are equal, begin with each other or
+    are so but for a first character have a head in common, or one of them is short."""
+    common = [a[x] == b[y] for k in "pb" for x in (k, f"{k}t") for y in (k, f"{k}t")]
+    return reduce(Column.__or__, common, a["short"] | b["short"])
+
+
 def title_scores(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs of a document's contents items and texts, with ``score``; forms are made before the join. (STR-37)"""
-    own = items.withColumn("__t", title_forms(F.col("title")))
-    return own.join(texts.withColumn("__s", title_forms(F.col("text"))), "doc_id").withColumn("score", title_score(F.col("__s"), F.col("__t"))).drop("__s", "__t")
+    """Pairs of a document's contents items and texts, with ``score``; forms are made before the join, and only
+    pairs that have a head in common are compared. (STR-37)"""
+    own = items.withColumn("__t", title_forms(F.col("title"))).withColumn("__th", _heads(F.col("__t")))
+    other = texts.withColumn("__s", title_forms(F.col("text"))).withColumn("__sh", _heads(F.col("__s")))
+    score = F.when(_may_match(F.col("__sh"), F.col("__th")), title_score(F.col("__s"), F.col("__t"))).otherwise(0)
+    return own.join(other, "doc_id").withColumn("score", score).drop("__s", "__t", "__sh", "__th")
 
 
 def title_matches(items: DataFrame, texts: DataFrame, least: int = 70) -> DataFrame:

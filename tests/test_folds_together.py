@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foliant import grouped
 from foliant.functions import geometry as g
 from foliant.functions import text as tx
-from foliant.operators import layout, seams
+from foliant.operators import contents, layout, seams
 
 
 def _pages(spark):
@@ -91,3 +91,16 @@ def test_matches_are_searched_in_the_text_not_in_copies_of_its_rest(spark):
     f, g = zip(*((r.f and [tuple(x) for x in r.f], r.g and [tuple(x) for x in r.g]) for r in got.collect()), strict=True)
     assert f == ([(1, "ee"), (4, "e")], [], None, [(2, "e"), (4, "e"), (6, "ee")], [])
     assert g[0][:3] == [(0, ""), (1, "ee"), (3, "")] and g[0][-2][1] == "e"
+
+
+def test_titles_without_a_head_in_common_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    words = [*("".join(rng.choice(list("ab1. x"), rng.integers(0, 7))) for _ in range(60)), "1.2 abba", "#abba", "abba", "xabba", "a", "ab", None, "(1) ab", "é𝄞e", "𝄞e"]
+    texts = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "doc_id long, seq long, text string")
+    items = spark.createDataFrame([(1, i, w) for i, w in enumerate(words)], "doc_id long, item long, title string")
+    got = {(r.item, r.seq): r.score for r in contents.title_scores(items, texts).collect()}
+    t, x = (df.withColumn("f", tx.title_forms(F.col(c))) for df, c in ((items, "title"), (texts, "text")))
+    every = t.join(x.withColumnRenamed("f", "s"), "doc_id").select("item", "seq", tx.title_score(F.col("s"), F.col("f")).alias("score")).collect()
+    assert got == {(r.item, r.seq): r.score for r in every} and len({*got.values()}) > 5
+    compared = contents.title_scores(items, texts).select("score")._jdf.queryExecution().optimizedPlan().toString()
+    assert "hash(" in compared
